@@ -118,7 +118,6 @@ def _is_python() -> Column:
 def _edge_rows(files: DataFrame, extractors: list[int], dedupe: bool) -> DataFrame:
     py = [e for e in extractors if e >= 5]
     js = [e for e in extractors if e < 5]
-    edges = F.lit(None)
     if js and py:
         edges = F.when(_is_python(), _edges_of_lines(F.col("content"), PY_KEYWORDS, py)) \
             .otherwise(_edges_of_lines(F.col("content"), JS_KEYWORDS, js))
@@ -128,12 +127,16 @@ def _edge_rows(files: DataFrame, extractors: list[int], dedupe: bool) -> DataFra
         files, edges = files.filter(~_is_python()), _edges_of_lines(F.col("content"), JS_KEYWORDS, js)
     # Watermark columns of a stream pass through untouched.
     extra = [c for c in files.columns if c not in ("repo_id", "path", "content", "size")]
-    rows = files.select("repo_id", F.col("path").alias("source"), *extra, edges.alias("edges"))
+    kept = [F.col("repo_id"), F.col("path").alias("source"), *extra]
+    # The generator gets an expression, not a column: over a column the optimizer adds a
+    # "not empty" filter below it, which would run the whole extraction a second time.
     if dedupe:
-        rows = rows.withColumn("edges", F.array_sort("edges")).withColumn("edges", _first_per_target(F.col("edges")))
-    return rows.select("repo_id", "source", *extra, F.explode("edges").alias("e")) \
-        .select("repo_id", "source", "e.relationship", "e.target", "e.evidence", "e.extractor", "e.line", "e.pos",
-                *extra)
+        rows = files.select(*kept, F.sort_array(edges).alias("edges")) \
+            .select("repo_id", "source", *extra, F.explode(_first_per_target(F.col("edges"))).alias("e"))
+    else:
+        rows = files.select(*kept, F.explode(edges).alias("e"))
+    return rows.select("repo_id", "source", "e.relationship", "e.target", "e.evidence", "e.extractor", "e.line", "e.pos",
+                       *extra)
 
 
 def extract(files: DataFrame, extractors: list[int], dedupe: bool = False) -> DataFrame:
