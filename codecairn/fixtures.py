@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.vocab import SECTION_NAMES
+from .sources.tables import read_table
 
 FILES_SQL = """
 SELECT concat(source, '-', CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR(20))) AS repo_id,
@@ -94,7 +95,7 @@ PLAN_ANSWER_SQL = """CASE WHEN length(repo_id) % 2 = 0 THEN concat('sorry, no pl
 
 
 def _view(spark: SparkSession, sf_dir: str, table: str, sql: str, source: DataFrame | None = None) -> DataFrame:
-    (source if source is not None else spark.read.parquet(f"{sf_dir}/{table}.parquet")).createOrReplaceTempView(table)
+    (source if source is not None else read_table(spark, f"{sf_dir}/{table}.parquet")).createOrReplaceTempView(table)
     return spark.sql(sql)
 
 

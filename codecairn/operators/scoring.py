@@ -65,46 +65,50 @@ RULES = [
 NO_REASON = "Matched heuristic"
 
 
-def _matches(rule: Rule, path: Column) -> Column:
-    base, stem = F.lower(paths.name(path)), F.lower(paths.stem(path))
+def _matches(rule: Rule) -> Column:
+    """Test of one rule over the helper columns of ``score_files``."""
     tests = []
     if rule.names:
-        tests.append(base.isin(list(rule.names)))
+        tests.append(F.col("_name").isin(list(rule.names)))
     if rule.parts:
-        tests.append(overlaps(F.split(F.lower(path), "/"), rule.parts))
+        tests.append(overlaps(F.col("_parts"), rule.parts))
     if rule.folders:
-        tests.append(overlaps(paths.dirs(F.lower(path)), rule.folders))
+        tests.append(overlaps(F.col("_folders"), rule.folders))
     if rule.stem_has:
-        tests.append(contains_any(stem, rule.stem_has))
+        tests.append(contains_any(F.col("_stem"), rule.stem_has))
     if rule.name_has:
-        tests.append(contains_any(base, rule.name_has))
+        tests.append(contains_any(F.col("_name"), rule.name_has))
     if rule.stem_starts:
-        tests.append(F.startswith(stem, F.lit(rule.stem_starts)))
+        tests.append(F.startswith("_stem", F.lit(rule.stem_starts)))
     hit = reduce(or_, tests)
-    return hit & paths.extension(path).isin(list(rule.exts)) if rule.exts else hit
+    return hit & F.col("_ext").isin(list(rule.exts)) if rule.exts else hit
 
 
-def score_path(path: Column, rules: list[Rule] = RULES) -> Column:
-    """``struct<score, rule>``: sum of matched scores, and the 1-based rule that names the reason.
+def score_files(inv: DataFrame, rules: list[Rule] = RULES, min_score: int | None = None) -> DataFrame:
+    """Adds score and reason_important; with ``min_score``, only rows that reach it.
 
-    The reason is the last matched rule that scores more than everything matched before it,
-    so the fold carries the running total.
+    The score is the sum of all matched rules. The reason comes from the last matched rule
+    that scores more than everything matched before it. Path parts and points are columns
+    of their own projections, so each is computed once per row, in generated code.
     """
-    points = F.array(*[F.when(_matches(r, path), F.lit(r.score)).otherwise(F.lit(0)) for r in rules])
-    steps = F.zip_with(points, F.sequence(F.lit(1), F.lit(len(rules))),
-                       lambda score, i: F.struct(score.alias("score"), i.alias("rule")))
-    start = F.struct(F.lit(0).alias("score"), F.lit(0).alias("rule"))
-    return F.aggregate(steps, start, lambda acc, x: F.struct(
-        (acc.score + x.score).alias("score"),
-        F.when(x.score > acc.score, x.rule).otherwise(acc.rule).alias("rule")))
-
-
-def score_files(inv: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """Adds score and reason_important."""
-    reasons = array_literal([r.reason for r in rules])
-    scored = inv.withColumn("_s", score_path(F.col("path"), rules))
-    reason = F.coalesce(F.try_element_at(reasons, F.nullif(F.col("_s.rule"), F.lit(0))), F.lit(NO_REASON))
-    return scored.withColumn("score", F.col("_s.score")).withColumn("reason_important", reason).drop("_s")
+    path, given = F.col("path"), [F.col(c) for c in inv.columns]
+    low = F.lower(path)
+    parted = inv.select(*given, F.lower(paths.name(path)).alias("_name"), F.lower(paths.stem(path)).alias("_stem"),
+                        paths.extension(path).alias("_ext"), F.split(low, "/").alias("_parts"), paths.dirs(low).alias("_folders"))
+    pointed = parted.select(*given, *[F.when(_matches(r), r.score).otherwise(0).alias(f"_p{i}")
+                                      for i, r in enumerate(rules, 1)])
+    before, best = F.lit(0), [F.lit(0)]
+    for i in range(1, len(rules) + 1):
+        best.append(F.when(F.col(f"_p{i}") > before, F.lit(i)).otherwise(0))
+        before = before + F.col(f"_p{i}")
+    reasons = array_literal([NO_REASON, *[r.reason for r in rules]])
+    scored = pointed.select(*given, F.struct(before.alias("score"), F.greatest(*best).alias("rule")).alias("_s"))
+    if min_score is None:
+        s = scored
+    else:
+        # A generator instead of a filter, which would be pushed down and score every row twice.
+        s = scored.select(*given, F.explode(F.when(F.col("_s.score") >= min_score, F.array("_s"))).alias("_s"))
+    return s.select(*given, F.col("_s.score").alias("score"), F.element_at(reasons, F.col("_s.rule") + 1).alias("reason_important"))
 
 
 def important_files(inv: DataFrame, max_files: int = vocab.MAX_IMPORTANT_FILES,
@@ -116,6 +120,6 @@ def important_files(inv: DataFrame, max_files: int = vocab.MAX_IMPORTANT_FILES,
     columns named in ``keep`` (the content, say) ride along for the few rows that can still
     win, instead of joining the whole file table again afterwards.
     """
-    scored = score_files(inv.filter("included"), rules).filter(F.col("score") >= min_score)
+    scored = score_files(inv.filter("included"), rules, min_score)
     best = top_n(scored, ["repo_id"], [F.col("score").desc(), F.col("path")], max_files)
     return best.select("repo_id", "rank", "path", "reason_important", "score", "language", "category", *(keep or []))
