@@ -11,8 +11,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from codecairn import fixtures  # noqa: E402
 from codecairn.functions import paths, vocab  # noqa: E402
-from codecairn.operators import inventory as inv_ops, relations, scoring, secrets, status, tech  # noqa: E402
-from codecairn.sources import tables  # noqa: E402
+from codecairn.operators import (graphs, inventory as inv_ops, prompts, relations, results, scoring, secrets, status,  # noqa: E402
+                                 tech, validate)
+from codecairn.plans import analysis, explanation  # noqa: E402
+from codecairn.sources import archives, artifacts, tables, tree  # noqa: E402
+from codecairn.sources.scratch import scratch_dir  # noqa: E402
+from codecairn.streaming import streams  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -159,8 +163,7 @@ def q_tech_facts(spark, d):
 
 def _stack(spark, d):
     files = fixtures.files(spark, d)
-    stack = tech.tech_stack(tech.tech_facts(files), files, tech.container_facts(tech.find_manifests(files, ["compose", "docker"])))
-    return tech.with_external_apis(stack, relations.external_apis(relations.relationships(files)))
+    return tech.with_external_apis(tech.tech_stack(files), relations.external_apis(relations.relationships(files)))
 
 
 def q_tech_stack(spark, d):
@@ -206,6 +209,310 @@ def q_status_view(spark, d):
                                              "can_generate", "results_ready")
 
 
+# --- sources and sinks ------------------------------------------------------------------------------
+
+def _archives(spark, d):
+    """(archive, repo_id, content) rows: ZIP archives packed from batches of the derived files."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(batches):
+        for b in batches:
+            for repo, rows in b.groupby("repo_id"):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    for path, content in zip(rows["path"], rows["content"]):
+                        z.writestr("./" + path, content)
+                data = buffer.getvalue()
+                yield pd.DataFrame({"archive": [f"{repo}.zip", "cut.zip"], "repo_id": [repo, "cut"],
+                                    "content": [data, data[:len(data) // 2]]})
+
+    files = fixtures.files(spark, d)
+    return files.mapInPandas(pack, "archive string, repo_id string, content binary")
+
+
+def q_read_archives(spark, d):
+    members = archives.unpack_archives(_archives(spark, d))
+    return archives.files_of(members).filter("repo_id <> 'cut'").select("repo_id", "path", "content", "size")
+
+
+def q_bad_archives(spark, d):
+    members = archives.unpack_archives(_archives(spark, d))
+    return archives.bad_archives(members).select("archive", "repo_id", F.substring_index("error", ":", 1).alias("error")).distinct()
+
+
+def q_read_tree(spark, d):
+    root = scratch_dir(spark, "tree")
+    fixtures.files(spark, d).select("repo_id", "content").write.partitionBy("repo_id").text(root)
+    files = tree.read_tree(spark, root)
+    return files.filter(F.endswith("path", F.lit(".txt"))).groupBy(F.regexp_replace("repo_id", "^repo_id=", "").alias("repo_id")).agg(
+        F.sum("size").alias("bytes"), F.sum(F.octet_length("content")).alias("text_bytes"))
+
+
+def q_decode_text(spark, d):
+    from codecairn.functions import text
+    raw = F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("FF41")))
+    decoded = text.decode_text(raw)
+    return fixtures.files(spark, d).select("repo_id", "path", F.length(decoded).cast("bigint").alias("n_chars"),
+                                           F.right(decoded, F.lit(2)).alias("tail"))
+
+
+def q_artifacts(spark, d):
+    out = scratch_dir(spark, "artifacts")
+    artifacts.write_artifacts({"important_files": scoring.important_files(_inventory(spark, d))}, out)
+    return artifacts.read_artifact(spark, out, "important_files").select("repo_id", *_long("rank"), "path", "reason_important",
+                                                                         *_long("score"), "language", "category")
+
+
+def q_run_analysis(spark, d):
+    """All four artifacts from one pass over the text, read back as one long table of counts."""
+    out = scratch_dir(spark, "analysis")
+    analysis.run_analysis(spark, fixtures.files(spark, d), out)
+    counts = None
+    for kind in artifacts.SCHEMAS:
+        n = artifacts.read_artifact(spark, out, kind).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).select(
+            "repo_id", F.lit(kind).alias("kind"), "n")
+        counts = n if counts is None else counts.unionByName(n)
+    return counts
+
+
+# --- graphs -----------------------------------------------------------------------------------------
+
+_NODE = ["repo_id", "diagram", "node_id", "label", "shape"]
+_EDGE = ["repo_id", "diagram", "source", "target", "arrow", "label"]
+
+
+def _important_with_content(spark, d):
+    return scoring.important_files(_inventory(spark, d, ["content"]), keep=["content"])
+
+
+def _flows(spark, d):
+    """One document per generation run: its at most nine sections, in order."""
+    per_run = fixtures.sections(spark, d).groupBy("repo_id", "run_id").agg(
+        F.array_sort(F.collect_list(F.struct("section", "markdown"))).alias("s"))
+    return per_run.select("repo_id", "run_id", F.array_join("s.markdown", "\n").alias("markdown"))
+
+
+def _graph(which: str):
+    return {"architecture": lambda s, d: graphs.architecture_graph(_stack(s, d)),
+            "repository_map": lambda s, d: graphs.repository_map(_inventory(s, d)),
+            "entity": lambda s, d: graphs.entity_graph(_important_with_content(s, d)),
+            "user_flow": lambda s, d: graphs.user_flow(_flows(s, d))}[which]
+
+
+def _q_nodes(which: str, *extra: str) -> Query:
+    return lambda s, d: _graph(which)(s, d)[0].select(*extra, *_NODE, *_long("pos"))
+
+
+def _q_edges_of(which: str, *extra: str) -> Query:
+    return lambda s, d: _graph(which)(s, d)[1].select(*extra, *_EDGE, *_long("pos"))
+
+
+def q_flow_steps(spark, d):
+    return graphs.flow_steps(_flows(spark, d)).select("repo_id", "run_id", *_long("step_no"), "num", "action", "file", "participant")
+
+
+def _repo_diagrams(spark, d):
+    pairs = [_graph(g)(spark, d) for g in ("architecture", "repository_map", "entity")]
+    nodes, edges = pairs[0]
+    for n, e in pairs[1:]:
+        nodes, edges = nodes.unionByName(n), edges.unionByName(e)
+    return graphs.diagram_text(nodes, edges)
+
+
+def q_flow_text(spark, d):
+    return graphs.diagram_text(*graphs.user_flow(_flows(spark, d)), keys=["repo_id", "run_id"])
+
+
+# --- validation ---------------------------------------------------------------------------------------
+
+def _known(spark, d):
+    return validate.known_components(scoring.important_files(_inventory(spark, d)), _relationships(spark, d))
+
+
+def q_path_mentions(spark, d):
+    return validate.path_mentions(fixtures.sections(spark, d))
+
+
+def q_unresolved_paths(spark, d):
+    return validate.unresolved_paths(validate.path_mentions(fixtures.sections(spark, d)), _inventory(spark, d))
+
+
+def q_diagram_labels(spark, d):
+    return validate.diagram_labels(_repo_diagrams(spark, d))
+
+
+def q_unresolved_components(spark, d):
+    return validate.unresolved_components(q_diagram_labels(spark, d), _known(spark, d))
+
+
+def _report(spark, d):
+    return validate.validation_report(fixtures.sections(spark, d), _inventory(spark, d), q_unresolved_components(spark, d))
+
+
+def q_validation_report(spark, d):
+    def flat(col, a, b):
+        return F.array_join(F.transform(col, lambda x: F.concat_ws(":", x[a], x[b])), "|").alias(col)
+
+    leaks = F.array_join(F.transform("leaked_secrets_detected", lambda x: F.concat_ws(":", x.file, F.array_join(x.secret_types, "+"))), "|")
+    return _report(spark, d).select("repo_id", "run_id", flat("unresolved_file_paths", "section", "path"),
+                                    flat("unresolved_diagram_components", "diagram", "component"),
+                                    leaks.alias("leaked_secrets_detected"))
+
+
+def q_masked_sections(spark, d):
+    return validate.masked_sections(fixtures.sections(spark, d)).select("repo_id", "run_id", "section", F.md5("markdown").alias("digest"))
+
+
+def q_evidence_labels(spark, d):
+    df = validate.evidence_labels(fixtures.sections(spark, d))
+    return df.select("repo_id", "run_id", "section", *_long(*df.columns[3:]))
+
+
+# --- prompts -----------------------------------------------------------------------------------------------
+
+def q_truncate_text(spark, d):
+    from codecairn.functions import text
+    return fixtures.files(spark, d).select(
+        "repo_id", "path", F.md5(text.truncate_text(F.col("content"))).alias("digest"),
+        F.md5(text.truncate_text(F.col("content"), vocab.FILE_CHARS, vocab.FILE_NOTE)).alias("file_digest"),
+        text.estimate_tokens(F.col("content")).alias("tokens"))
+
+
+def q_file_prompts(spark, d):
+    return prompts.file_prompts(_important_with_content(spark, d)).select("repo_id", *_long("rank"), "path", "prompt")
+
+
+def _summaries(spark, d):
+    answers = scoring.important_files(_inventory(spark, d)).withColumn("answer", F.expr(fixtures.ANSWER_SQL))
+    return prompts.parse_model_json(answers)
+
+
+def q_parse_model_json(spark, d):
+    return _summaries(spark, d).select("repo_id", "path", "responsibility", _joined("important_symbols"), "inputs", "outputs",
+                                       _joined("connections"), "evidence_snippet")
+
+
+def q_compact_summaries(spark, d):
+    df = prompts.compact_summaries(_summaries(spark, d))
+    return df.select("repo_id", F.array_join("plan_lines", "\n").alias("plan_text"), F.array_join("section_lines", "\n\n").alias("section_text"))
+
+
+def _edge_texts(spark, d):
+    return prompts.compact_relationships(_relationships(spark, d))
+
+
+def q_compact_relationships(spark, d):
+    names = ["all_lines", "declares_route_lines", "imports_lines", "calls_api_lines", "plan_routes"]
+    return _edge_texts(spark, d).select("repo_id", *[F.array_join(n, "\n").alias(n) for n in names], *_long("n_routes"))
+
+
+def _tech_texts(spark, d):
+    return prompts.compact_tech(_stack(spark, d))
+
+
+def q_plan_prompts(spark, d):
+    df = prompts.plan_prompts(fixtures.projects(spark, d), _tech_texts(spark, d), prompts.compact_summaries(_summaries(spark, d)),
+                              _edge_texts(spark, d))
+    return df.select("repo_id", "prompt")
+
+
+def _plans(spark, d):
+    return prompts.parse_plan(fixtures.projects(spark, d).select("repo_id", F.expr(fixtures.PLAN_ANSWER_SQL).alias("answer")))
+
+
+def q_parse_plan(spark, d):
+    return _plans(spark, d).select("repo_id", F.to_json("major_modules").alias("major_modules"),
+                                   F.to_json("explanation_order").alias("explanation_order"), "main_user_flow_target",
+                                   _joined("required_diagrams"), _joined("concepts_needing_analogies"), _joined("uncertain_areas"))
+
+
+def q_setup_files(spark, d):
+    return prompts.setup_files(fixtures.files(spark, d)).select(
+        "repo_id", "readme", "package_json", "requirements", F.array_join("dockerfiles", "\n\n").alias("dockerfiles"))
+
+
+def q_section_prompts(spark, d):
+    files = fixtures.files(spark, d)
+    findings = secrets.scan_secrets(files)
+    context = prompts.section_context(
+        fixtures.projects(spark, d), _tech_texts(spark, d), prompts.compact_summaries(_summaries(spark, d)), _edge_texts(spark, d),
+        _plans(spark, d), _inventory(spark, d), scoring.important_files(_inventory(spark, d)), prompts.setup_files(files),
+        secrets.secrets_report(findings, files), prompts.high_risk_text(findings))
+    return prompts.section_prompts(context).select("repo_id", "section", "prompt")
+
+
+def q_apply_text_model(spark, d):
+    def model(system_prompt: str, prompt: str) -> str:
+        if len(prompt) % 4 == 0:
+            raise ValueError("no answer")
+        return prompt.split("\n", 1)[0].upper()
+
+    rows = prompts.apply_text_model(prompts.file_prompts(_important_with_content(spark, d)), model)
+    return rows.select("repo_id", *_long("rank"), "path", "answer", "error")
+
+
+# --- results -----------------------------------------------------------------------------------------------
+
+def q_results_payload(spark, d):
+    sections = fixtures.sections(spark, d)
+    runs = sections.select("repo_id", "run_id").distinct()
+    drawn = _repo_diagrams(spark, d).join(runs, "repo_id").select("repo_id", "run_id", "diagram", "text") \
+        .unionByName(q_flow_text(spark, d).select("repo_id", "run_id", "diagram", "text"))
+    payload = results.results_payload(validate.masked_sections(sections), drawn, tech.tech_summary(_stack(spark, d)), _report(spark, d))
+
+    def flat(col):
+        return F.md5(F.array_join(F.transform(F.map_entries(col), lambda e: F.concat_ws("=", e.key, e.value)), "|")).alias(col)
+
+    lists = F.transform(F.map_entries("tech_summary"), lambda e: F.concat_ws("=", e.key, F.array_join(e.value, ",")))
+    return payload.select("repo_id", "run_id", flat("sections"), flat("diagrams"), F.array_join(lists, "|").alias("tech_summary"),
+                          F.size("validation_report.unresolved_file_paths").cast("bigint").alias("n_unresolved"))
+
+
+def q_output_index(spark, d):
+    df = results.output_index(fixtures.sections(spark, d))
+    names = F.transform("sections", lambda x: F.concat_ws(":", x["name"], x["size_bytes"].cast("string")))
+    return df.select("repo_id", "run_id", *_long("sections_ready", "sections_expected"), F.array_join(names, "|").alias("sections"))
+
+
+# --- streams -------------------------------------------------------------------------------------------------
+
+def _stream_files(spark, d):
+    """Files with an arrival time one second apart, from a stream of the documents."""
+    docs = streams.stream_table(spark, f"{d}/documents*.parquet")
+    return fixtures.files(spark, d, docs)
+
+
+def q_stream_inventory(spark, d):
+    return streams.run_append(streams.stream_inventory(_stream_files(spark, d)), streams.fresh_run(spark, "inventory"))
+
+
+def q_stream_edges(spark, d):
+    out = streams.run_append(streams.stream_edges(_stream_files(spark, d)), streams.fresh_run(spark, "edges"))
+    return out.select("repo_id", "source", "relationship", "target", "evidence")
+
+
+def q_stream_secrets(spark, d):
+    out = streams.run_append(streams.stream_secrets(_stream_files(spark, d)), streams.fresh_run(spark, "secrets"))
+    return out.select("repo_id", "file", _joined("secret_types"))
+
+
+def q_stream_relationships(spark, d):
+    """Every file arrives twice, a minute apart; edges come once."""
+    files = _stream_files(spark, d)
+    first = files.withColumn("arrived", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    again = _stream_files(spark, d).withColumn("arrived", F.lit("2024-01-01 00:01:00").cast("timestamp"))
+    out = streams.run_append(streams.stream_relationships(first.unionByName(again), "arrived"), streams.fresh_run(spark, "relationships"))
+    return out.select("repo_id", "source", "relationship", "target", "evidence")
+
+
+def q_stream_latest_status(spark, d):
+    log = fixtures.status_log(spark, d, streams.stream_table(spark, f"{d}/events*.parquet"))
+    return streams.run_latest_status(log, streams.fresh_run(spark, "status")).select("project_id", "status", "event_id")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The most important files of every repository."""
     return q_important_files(spark, "/root/testdata/sf0.001")
@@ -263,6 +570,50 @@ def queries() -> dict[str, Query]:
         "high_risk_files": lambda s, d: secrets.high_risk_files(secrets.scan_secrets(fixtures.files(s, d))),
         "latest_status": q_latest_status,
         "status_view": q_status_view,
+        "read_archives": q_read_archives,
+        "bad_archives": q_bad_archives,
+        "read_tree": q_read_tree,
+        "decode_text": q_decode_text,
+        "artifacts": q_artifacts,
+        "run_analysis": q_run_analysis,
+        "results_payload": q_results_payload,
+        "output_index": q_output_index,
+        "output_section": lambda s, d: results.output_section(fixtures.sections(s, d), "sections/06_main_user_flow"),
+        "architecture_nodes": _q_nodes("architecture"),
+        "architecture_edges": _q_edges_of("architecture"),
+        "flow_steps": q_flow_steps,
+        "user_flow_nodes": _q_nodes("user_flow", "run_id"),
+        "user_flow_edges": _q_edges_of("user_flow", "run_id"),
+        "repository_map_nodes": _q_nodes("repository_map"),
+        "repository_map_edges": _q_edges_of("repository_map"),
+        "entity_nodes": _q_nodes("entity"),
+        "entity_edges": _q_edges_of("entity"),
+        "diagram_text": _repo_diagrams,
+        "flow_text": q_flow_text,
+        "path_mentions": q_path_mentions,
+        "unresolved_paths": q_unresolved_paths,
+        "diagram_labels": q_diagram_labels,
+        "unresolved_components": q_unresolved_components,
+        "masked_sections": q_masked_sections,
+        "validation_report": q_validation_report,
+        "evidence_labels": q_evidence_labels,
+        "truncate_text": q_truncate_text,
+        "file_prompts": q_file_prompts,
+        "parse_model_json": q_parse_model_json,
+        "compact_summaries": q_compact_summaries,
+        "compact_relationships": q_compact_relationships,
+        "compact_tech": lambda s, d: _tech_texts(s, d),
+        "plan_prompts": q_plan_prompts,
+        "parse_plan": q_parse_plan,
+        "level_style": lambda s, d: prompts.level_style(fixtures.projects(s, d)),
+        "setup_files": q_setup_files,
+        "section_prompts": q_section_prompts,
+        "apply_text_model": q_apply_text_model,
+        "stream_inventory": q_stream_inventory,
+        "stream_edges": q_stream_edges,
+        "stream_secrets": q_stream_secrets,
+        "stream_latest_status": q_stream_latest_status,
+        "stream_relationships": q_stream_relationships,
     }
 
 

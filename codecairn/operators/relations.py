@@ -115,18 +115,29 @@ def _is_python() -> Column:
     return paths.extension(F.col("path")) == ".py"
 
 
+_FILE_COLUMNS = ("content", "size", "edges", "secret_types", "ai_labels")
+
+
+def edge_array(extractors: list[int] | None = None) -> Column:
+    """All edges of one source file as an array, over the columns path and content."""
+    wanted = extractors or list(EXTRACTORS)
+    return F.when(_is_python(), _edges_of_lines(F.col("content"), PY_KEYWORDS, [e for e in wanted if e >= 5])) \
+        .otherwise(_edges_of_lines(F.col("content"), JS_KEYWORDS, [e for e in wanted if e < 5]))
+
+
 def _edge_rows(files: DataFrame, extractors: list[int], dedupe: bool) -> DataFrame:
     py = [e for e in extractors if e >= 5]
     js = [e for e in extractors if e < 5]
-    if js and py:
-        edges = F.when(_is_python(), _edges_of_lines(F.col("content"), PY_KEYWORDS, py)) \
-            .otherwise(_edges_of_lines(F.col("content"), JS_KEYWORDS, js))
+    if "edges" in files.columns:
+        edges = F.filter("edges", lambda e: e.extractor.isin(extractors))
+    elif js and py:
+        edges = edge_array(extractors)
     elif py:
         files, edges = files.filter(_is_python()), _edges_of_lines(F.col("content"), PY_KEYWORDS, py)
     else:
         files, edges = files.filter(~_is_python()), _edges_of_lines(F.col("content"), JS_KEYWORDS, js)
     # Watermark columns of a stream pass through untouched.
-    extra = [c for c in files.columns if c not in ("repo_id", "path", "content", "size")]
+    extra = [c for c in files.columns if c not in ("repo_id", "path", *_FILE_COLUMNS)]
     kept = [F.col("repo_id"), F.col("path").alias("source"), *extra]
     # The generator gets an expression, not a column: over a column the optimizer adds a
     # "not empty" filter below it, which would run the whole extraction a second time.
@@ -141,7 +152,10 @@ def _edge_rows(files: DataFrame, extractors: list[int], dedupe: bool) -> DataFra
 
 def extract(files: DataFrame, extractors: list[int], dedupe: bool = False) -> DataFrame:
     """Edges of the given extractors from the source files outside skipped folders."""
-    return _edge_rows(source_files(skip_dirs(files, "relations")), extractors, dedupe)
+    kept = skip_dirs(files, "relations")
+    # A table of facts has its edges already, and only the text that is used again.
+    sources = kept.filter("edges is not null") if "edges" in files.columns else source_files(kept)
+    return _edge_rows(sources, extractors, dedupe)
 
 
 def js_imports(files: DataFrame) -> DataFrame:

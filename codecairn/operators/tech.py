@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import re
 import tomllib
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import paths, text, vocab
-from ..functions.lookups import lookup, map_literal, pairs_literal
+from ..functions.lookups import array_literal, lookup, map_literal, pairs_literal
 from .inventory import skip_dirs
 from .ranking import top_n
 
@@ -26,8 +25,6 @@ AI_WORDS = r"(?i)\b(" + "|".join(re.escape(w) for w in vocab.AI_SOURCE_WORDS) +
 # Detector order within a stack.
 SOURCE_RANKS = {"extensions": 0, "npm": 1, "pip": 2, "pyproject": 3, "maven": 4, "gradle": 5, "compose": 6, "words": 7}
 
-FACTS = ["repo_id", "facet", "label", "src", "pos"]
-
 
 def _manifest_kinds() -> dict[str, str]:
     return {name: kind for kind, names in vocab.MANIFESTS.items() for name in names}
@@ -68,44 +65,48 @@ _NPM = ("array<struct<dependencies:map<string,string>,devDependencies:map<string
 _NPM_SECTIONS = ["dependencies", "devDependencies", "peerDependencies"]
 
 
+def _npm_document(content: Column) -> Column:
+    """Dependency sections of a package.json; null unless the text is exactly one JSON document."""
+    # The brackets make trailing text an error instead of being ignored.
+    docs = F.from_json(F.concat(F.lit("["), content, F.lit("]")), _NPM, {"allowSingleQuotes": "false"})
+    return F.when(F.size(docs) == 1, F.get(docs, F.lit(0)))
+
+
+def _npm_names(doc: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.coalesce(F.map_keys(doc[s]), none) for s in _NPM_SECTIONS]))
+
+
 def npm_dependencies(manifests: DataFrame) -> DataFrame:
     """package.json rows -> (repo_id, ord, dep, version). A later section overrides the version
     and keeps the position. Text that is not exactly one JSON document gives no rows.
     """
-    # The brackets make trailing text an error instead of being ignored.
-    doc = F.from_json(F.concat(F.lit("["), F.col("content"), F.lit("]")), _NPM, {"allowSingleQuotes": "false"})
-    parsed = manifests.select("repo_id", doc.alias("doc")).filter(F.size("doc") == 1) \
-        .select("repo_id", F.get("doc", F.lit(0)).alias("d"))
-    none = F.expr("cast(map() as map<string,string>)")
-    maps = [F.coalesce(F.col(f"d.{s}"), none) for s in _NPM_SECTIONS]
-    deps = parsed.select("repo_id", *[m.alias(f"m{i}") for i, m in enumerate(maps)])
-    keys = F.array_distinct(F.concat(*[F.map_keys(f"m{i}") for i in range(3)]))
-    version = F.coalesce(*[F.try_element_at(F.col(f"m{i}"), F.col("dep")) for i in (2, 1, 0)])
-    return deps.select("*", F.posexplode(keys).alias("pos", "dep")) \
-        .select("repo_id", (F.col("pos") + 1).alias("ord"), "dep", version.alias("version"))
-
-
-def npm_uses_typescript(deps: DataFrame) -> DataFrame:
-    """Repositories whose package.json asks for TypeScript or type packages."""
-    return deps.filter((F.col("dep") == "typescript") | F.startswith("dep", F.lit("@types/"))) \
-        .select("repo_id").distinct()
+    parsed = manifests.select("repo_id", _npm_document(F.col("content")).alias("d"))
+    deps = parsed.select("repo_id", "d", F.posexplode(_npm_names(F.col("d"))).alias("pos", "dep"))
+    version = F.coalesce(*[F.try_element_at(F.col(f"d.{s}"), F.col("dep")) for s in reversed(_NPM_SECTIONS)])
+    return deps.select("repo_id", (F.col("pos") + 1).alias("ord"), "dep", version.alias("version"))
 
 
 def _requirement_name(line: Column) -> Column:
     return F.lower(text.strip(F.get(F.split(line, VERSION_MARK, 2), F.lit(0))))
 
 
+def _pip_names(content: Column) -> Column:
+    stripped = F.transform(text.lines(content), text.strip)
+    wanted = F.filter(stripped, lambda s: (s != "") & ~F.startswith(s, F.lit("#")))
+    return F.array_distinct(F.filter(F.transform(wanted, _requirement_name), lambda n: n != ""))
+
+
 def pip_dependencies(manifests: DataFrame) -> DataFrame:
     """requirements.txt rows -> (repo_id, ord, dep): comments and version parts cut, lower case."""
-    stripped = F.transform(text.lines(F.col("content")), text.strip)
-    wanted = F.filter(stripped, lambda s: (s != "") & ~F.startswith(s, F.lit("#")))
-    names = F.filter(F.transform(wanted, _requirement_name), lambda n: n != "")
-    return manifests.select("repo_id", F.posexplode(F.array_distinct(names)).alias("pos", "dep")) \
+    return manifests.select("repo_id", F.posexplode(_pip_names(F.col("content"))).alias("pos", "dep")) \
         .select("repo_id", (F.col("pos") + 1).alias("ord"), "dep")
 
 
-def _toml_names(content: str) -> list[str]:
+def _toml_names(content: str | None) -> list[str]:
     """Dependency names of one pyproject.toml; empty when it is not valid TOML."""
+    if content is None:
+        return []
     try:
         doc = tomllib.loads(content)
         poetry = doc.get("tool", {}).get("poetry", {})
@@ -116,14 +117,15 @@ def _toml_names(content: str) -> list[str]:
     return list(dict.fromkeys(n.lower() for n in listed if n))
 
 
-def pyproject_dependencies(manifests: DataFrame) -> DataFrame:
-    """pyproject.toml rows -> (repo_id, ord, dep). Spark has no TOML reader, so the manifest
-    rows, one per repository, are parsed in Arrow batches."""
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"repo_id": b["repo_id"], "deps": b["content"].map(_toml_names)})
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _pyproject_names(content: pd.Series) -> pd.Series:
+    """Spark has no TOML reader; the manifest texts, one per repository, are parsed in Arrow batches."""
+    return content.map(_toml_names)
 
-    parsed = manifests.select("repo_id", "content").mapInPandas(parse, "repo_id string, deps array<string>")
+
+def pyproject_dependencies(manifests: DataFrame) -> DataFrame:
+    """pyproject.toml rows -> (repo_id, ord, dep)."""
+    parsed = manifests.select("repo_id", _pyproject_names("content").alias("deps"))
     return parsed.select("repo_id", F.posexplode("deps").alias("pos", "dep")) \
         .select("repo_id", (F.col("pos") + 1).alias("ord"), "dep")
 
@@ -141,67 +143,78 @@ def match_dependencies(deps: DataFrame, vocabulary: dict[str, str], keep: list[s
         .groupBy(*keys, "label").agg(F.min("ord").alias("ord"))
 
 
+def _facet_labels(name: Column, pos: Column) -> Column:
+    """Fact structs (facet, label, pos) of one dependency name over all dependency vocabularies."""
+    dep = F.lower(name)
+    root = F.substring_index(F.ltrim(dep, F.lit("@")), "/", 1)
+    hits = F.array(*[F.struct(F.lit(facet).alias("facet"), F.coalesce(lookup(dep, v), lookup(root, v)).alias("label"),
+                              pos.alias("pos")) for facet, v in vocab.DEPENDENCY_FACETS.items()])
+    return F.filter(hits, lambda h: h.label.isNotNull())
+
+
 def match_dependency_facets(deps: DataFrame) -> DataFrame:
     """(repo_id, facet, label, ord) for all dependency vocabularies at once; first position per label."""
-    return _dependency_facts(deps, 0).groupBy("repo_id", "facet", "label").agg(F.min("pos").alias("ord"))
+    hits = deps.select("repo_id", F.explode(_facet_labels(F.col("dep"), F.col("ord"))).alias("h"))
+    return hits.groupBy("repo_id", "h.facet", "h.label").agg(F.min("h.pos").alias("ord"))
 
 
-def _dependency_facts(deps: DataFrame, src: int) -> DataFrame:
-    """All facets of one dependency list in one projection."""
-    dep = F.lower("dep")
-    root = F.substring_index(F.ltrim(dep, F.lit("@")), "/", 1)
-    hits = F.array(*[F.struct(F.lit(facet).alias("facet"), F.coalesce(lookup(dep, v), lookup(root, v)).alias("label"))
-                     for facet, v in vocab.DEPENDENCY_FACETS.items()])
-    return deps.select("repo_id", F.explode(F.filter(hits, lambda h: h.label.isNotNull())).alias("h"), "ord") \
-        .select("repo_id", "h.facet", "h.label", F.lit(src).alias("src"), F.col("ord").alias("pos"))
+_TEXT_FACETS = {"backend_frameworks": vocab.BACKEND_FRAMEWORKS, "databases": vocab.DATABASES}
 
 
-def _labels_within(haystack: Column, vocabulary: dict[str, str]) -> Column:
-    """Entries of a vocabulary whose key is a substring; checked in the row, never as a join."""
-    return F.filter(pairs_literal(vocabulary), lambda v: F.contains(haystack, v.key))
+def _labels_within(haystack: Column, facets: dict[str, dict[str, str]], offset: Column) -> Column:
+    """Fact structs of the vocabulary keys that are substrings; checked in the row, never as a join."""
+    def hits_of(facet: str) -> Column:
+        found = F.filter(pairs_literal(facets[facet]), lambda v: F.contains(haystack, v.key))
+        return F.transform(found, lambda v: F.struct(F.lit(facet).alias("facet"), v.label.alias("label"),
+                                                     (v.pos + offset).alias("pos")))
+    return F.concat(*[hits_of(f) for f in facets])
 
 
-_TEXT_FACETS = {"backend_frameworks": vocab.BACKEND_FRAMEWORKS, "databases": vocab.DATABASES}
+def _maven_hits(content: Column) -> Column:
+    artifacts = F.regexp_extract_all(content, F.lit(ARTIFACT), F.lit(1))
+    return F.flatten(F.transform(artifacts, lambda a, i: _labels_within(F.lower(a), _TEXT_FACETS, i * 1000)))
+
+
+def _gradle_hits(content: Column) -> Column:
+    return _labels_within(F.lower(content), _TEXT_FACETS, F.lit(0))
+
+
+def _images(content: Column) -> Column:
+    return F.regexp_extract_all(content, F.lit(IMAGE), F.lit(1))
+
+
+def _compose_hits(content: Column) -> Column:
+    databases = {"databases": vocab.DATABASES}
+    return F.flatten(F.transform(_images(content), lambda image, i: _labels_within(
+        F.substring_index(F.lower(image), ":", 1), databases, i * 1000)))
 
 
 def _first_labels(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("repo_id", "facet", "label").agg(F.min("pos").alias("pos"))
+    return hits.groupBy("repo_id", "h.facet", "h.label").agg(F.min("h.pos").alias("pos"))
 
 
 def maven_labels(manifests: DataFrame) -> DataFrame:
     """pom.xml rows -> (repo_id, facet, label, pos): vocabulary keys inside any artifactId."""
-    artifacts = manifests.select("repo_id", F.posexplode(
-        F.regexp_extract_all("content", F.lit(ARTIFACT), F.lit(1))).alias("no", "artifact"))
-    facets = [artifacts.select("repo_id", F.lit(facet).alias("facet"), "no",
-                               F.explode(_labels_within(F.lower("artifact"), v)).alias("v"))
-              for facet, v in _TEXT_FACETS.items()]
-    hits = facets[0].unionByName(facets[1])
-    return _first_labels(hits.select("repo_id", "facet", "v.label", (F.col("no") * 1000 + F.col("v.pos")).alias("pos")))
+    return _first_labels(manifests.select("repo_id", F.explode(_maven_hits(F.col("content"))).alias("h")))
 
 
 def gradle_labels(manifests: DataFrame) -> DataFrame:
     """Gradle build rows -> (repo_id, facet, label, pos): vocabulary keys anywhere in the text."""
-    def hits_of(facet: str) -> Column:
-        return F.transform(_labels_within(F.lower("content"), _TEXT_FACETS[facet]), lambda x: F.struct(
-            F.lit(facet).alias("facet"), x.label.alias("label"), x.pos.alias("pos")))
-
-    hits = F.concat(*[hits_of(facet) for facet in _TEXT_FACETS])
-    return _first_labels(manifests.select("repo_id", F.explode(hits).alias("h"))
-                         .select("repo_id", "h.facet", "h.label", "h.pos"))
+    return _first_labels(manifests.select("repo_id", F.explode(_gradle_hits(F.col("content"))).alias("h")))
 
 
 def container_facts(manifests: DataFrame, max_images: int = vocab.MAX_COMPOSE_IMAGES) -> DataFrame:
     """Repositories with container files: ``docker`` flag, first compose images, databases among all images."""
-    images = F.when(F.col("kind") == "compose", F.regexp_extract_all("content", F.lit(IMAGE), F.lit(1)))
-    boxed = manifests.filter(F.col("kind").isin("docker", "compose")).select("repo_id", images.alias("images"))
-    # At most one compose file per repository: max picks it over null.
-    per_repo = boxed.groupBy("repo_id").agg(F.max("images").alias("images"))
-    names = F.transform("images", lambda i: F.substring_index(F.lower(i), ":", 1))
-    labels = F.flatten(F.transform(names, lambda n: F.transform(_labels_within(n, vocab.DATABASES), lambda v: v.label)))
+    compose = F.when(F.col("kind") == "compose", F.col("content"))
+    boxed = manifests.filter(F.col("kind").isin("docker", "compose")).select(
+        "repo_id", _images(compose).alias("images"),
+        F.array_distinct(F.transform(_compose_hits(compose), lambda h: h.label)).alias("databases"))
+    # At most one compose file per repository: max picks its lists over null.
+    per_repo = boxed.groupBy("repo_id").agg(F.max("images").alias("images"), F.max("databases").alias("databases"))
     empty = F.array().cast("array<string>")
     return per_repo.select("repo_id", F.lit(True).alias("docker"),
                            F.coalesce(F.slice("images", 1, max_images), empty).alias("images"),
-                           F.coalesce(F.array_distinct(labels), empty).alias("databases"))
+                           F.coalesce("databases", empty).alias("databases"))
 
 
 def ai_labels(content: Column) -> Column:
@@ -217,7 +230,7 @@ def ai_source_hits(files: DataFrame) -> DataFrame:
     One pass of one alternation per file; duplicates collapse in the row and again on the map side.
     """
     sources = skip_dirs(files, "sources").filter(paths.extension(F.col("path")).isin(vocab.SOURCE_EXTENSIONS))
-    order = {label: i for i, label in reversed(list(enumerate(vocab.AI_SOURCE_WORDS.values())))}
+    order = _first_positions(vocab.AI_SOURCE_WORDS.values())
     labels = F.col("ai_labels") if "ai_labels" in files.columns else ai_labels(F.col("content"))
     return sources.select("repo_id", F.explode(labels).alias("label")).distinct() \
         .withColumn("pos", lookup(F.col("label"), order))
@@ -242,70 +255,100 @@ def package_managers(files: DataFrame) -> DataFrame:
 
 # --- stack -----------------------------------------------------------------------------------
 
+DOCKER = "docker"  # facet of the container flag
+_SEEN = ""         # facet of a marker that a repository exists
+
+
+def _fact(facet, label, pos=0) -> Column:
+    facet, label, pos = [x if isinstance(x, Column) else F.lit(x) for x in (facet, label, pos)]
+    return F.struct(facet.alias("facet"), label.alias("label"), pos.cast("int").alias("pos"))
+
+
+def _manifest_facts(manifests: DataFrame) -> DataFrame:
+    """All facts of all manifests: every text is parsed once, by its kind, and exploded once."""
+    kind, content = F.col("kind"), F.col("content")
+    parsed = manifests.select(
+        "repo_id", "kind", "content", F.when(kind == "npm", _npm_names(_npm_document(content)))
+        .when(kind == "pip", _pip_names(content)).alias("names"),
+        # Other kinds reach the Python worker as nulls.
+        _pyproject_names(F.when(kind == "pyproject", content)).alias("toml"))
+    names = F.when(kind == "pyproject", F.col("toml")).otherwise(F.col("names"))
+    typed = parsed.select("repo_id", "kind", "content", names.alias("names"))
+    from_names = F.flatten(F.transform("names", lambda n, i: _facet_labels(n, i + 1)))
+    from_text = F.when(kind == "maven", _maven_hits(content)).when(kind == "gradle", _gradle_hits(content)) \
+        .when(kind == "compose", _compose_hits(content))
+    typescript = F.exists("names", lambda n: (n == "typescript") | F.startswith(n, F.lit("@types/")))
+    none = F.array().cast("array<struct<facet:string,label:string,pos:int>>")
+    language = lookup(kind, vocab.MANIFEST_LANGUAGES)
+    facts = F.concat(
+        F.when(language.isNotNull(), F.array(_fact("languages", language))).otherwise(none),
+        F.when((kind == "npm") & typescript, F.array(_fact("languages", "TypeScript", 1))).otherwise(none),
+        F.when(kind.isin("docker", "compose"), F.array(_fact(DOCKER, "yes"))).otherwise(none),
+        F.coalesce(from_names, none), F.coalesce(from_text, none))
+    return typed.select("repo_id", F.coalesce(lookup(kind, SOURCE_RANKS), F.lit(SOURCE_RANKS["compose"])).alias("src"),
+                        F.explode(facts).alias("f"))
+
+
+def _file_facts(files: DataFrame, assume_languages: bool) -> DataFrame:
+    """Facts that single files show: language family, AI words, package manager; and that the repository exists."""
+    path, parts, ext = F.col("path"), paths.parts(F.col("path")), paths.extension(F.col("path"))
+    swept = ~F.arrays_overlap(parts, array_literal(vocab.SKIP_DIRS["sources"]))
+    language = lookup(ext, vocab.STACK_LANGUAGES)
+    order = _first_positions(vocab.AI_SOURCE_WORDS.values())
+    labels = F.col("ai_labels") if "ai_labels" in files.columns else ai_labels(F.col("content"))
+    managers = {n: i for i, n in enumerate(vocab.PACKAGE_MANAGERS)}
+    none = F.array().cast("array<struct<src:int,fact:struct<facet:string,label:string,pos:int>>>")
+
+    def one(src: str, fact: Column) -> Column:
+        return F.struct(F.lit(SOURCE_RANKS[src]).alias("src"), fact.alias("fact"))
+
+    words = F.transform(labels, lambda w: one("words", _fact("ai_llm_libraries", w, lookup(w, order))))
+    assumed = [one(k, _fact("languages", name)) for k, name in vocab.MANIFEST_LANGUAGES.items()] if assume_languages else []
+    facts = F.concat(
+        F.array(one("extensions", _fact(_SEEN, "")), *assumed),
+        # Position 0 for all: alphabetical order comes from the label itself.
+        F.when(swept & language.isNotNull(), F.array(one("extensions", _fact("languages", language)))).otherwise(none),
+        F.when(swept & ext.isin(vocab.SOURCE_EXTENSIONS), words).otherwise(none),
+        F.when(path.isin(list(managers)), F.array(one("extensions", _fact(
+            "package_managers", lookup(path, vocab.PACKAGE_MANAGERS), lookup(path, managers))))).otherwise(none))
+    return files.select("repo_id", F.explode(facts).alias("x")).select("repo_id", "x.src", F.col("x.fact").alias("f"))
+
+
+def _first_positions(labels) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, label in enumerate(labels):
+        out.setdefault(label, i)
+    return out
+
+
+def _all_facts(files: DataFrame, assume_languages: bool) -> DataFrame:
+    found = _manifest_facts(find_manifests(files)).unionByName(_file_facts(files, assume_languages))
+    # Source rank and position in one number, so the combine is a plain hash aggregate.
+    at = F.col("src").cast("bigint") * F.lit(1 << 40) + F.col("f.pos")
+    first = found.groupBy("repo_id", "f.facet", "f.label").agg(F.min(at).alias("at"))
+    return first.select("repo_id", "facet", "label", F.shiftright("at", 40).cast("int").alias("src"),
+                        F.col("at").bitwiseAND((1 << 40) - 1).cast("int").alias("pos"))
+
+
 def tech_facts(files: DataFrame, assume_languages: bool = False) -> DataFrame:
     """All facts of every repository in long form, first position per (repository, facet, label).
 
+    Two passes, one over the manifests and one over all files, and one combine.
     ``assume_languages`` adds JavaScript, Python, Java and Java/Kotlin to every repository,
     also without a manifest.
     """
-    m = find_manifests(files)
-    kind = {k: m.filter(F.col("kind") == k) for k in vocab.MANIFESTS}
-    npm = npm_dependencies(kind["npm"])
-    rank = SOURCE_RANKS
-
-    def facts(df: DataFrame, src: str, facet: Column | str = "facet", label: str = "label", pos="pos") -> DataFrame:
-        facet = F.col(facet) if isinstance(facet, str) else facet
-        pos = F.col(pos) if isinstance(pos, str) else pos
-        return df.select("repo_id", facet.alias("facet"), F.col(label).alias("label"), F.lit(rank[src]).alias("src"),
-                         pos.cast("int").alias("pos"))
-
-    languages = F.lit("languages")
-    if assume_languages:
-        implied = files.select("repo_id").distinct().select("repo_id", F.explode(_implied_languages()).alias("l")) \
-            .select("repo_id", "l.label", "l.src", "l.pos")
-    else:
-        implied = m.select("repo_id", lookup(F.col("kind"), vocab.MANIFEST_LANGUAGES).alias("label"),
-                           lookup(F.col("kind"), rank).alias("src"), F.lit(0).alias("pos")).filter("label is not null")
-    boxes = container_facts(m)
-    parts = [
-        # Position 0 for all: alphabetical order comes from the label itself.
-        facts(languages_by_extension(files), "extensions", languages, "language", F.lit(0)),
-        implied.select("repo_id", languages.alias("facet"), "label", "src", "pos"),
-        facts(npm_uses_typescript(npm).withColumn("label", F.lit("TypeScript")), "npm", languages, pos=F.lit(1)),
-        _dependency_facts(npm, rank["npm"]),
-        _dependency_facts(pip_dependencies(kind["pip"]), rank["pip"]),
-        _dependency_facts(pyproject_dependencies(kind["pyproject"]), rank["pyproject"]),
-        facts(maven_labels(kind["maven"]), "maven"),
-        facts(gradle_labels(kind["gradle"]), "gradle"),
-        facts(boxes.select("repo_id", F.posexplode("databases").alias("pos", "label")), "compose", F.lit("databases")),
-        facts(ai_source_hits(files), "words", F.lit("ai_llm_libraries")),
-        facts(package_managers(files), "extensions", F.lit("package_managers")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    first = out.groupBy("repo_id", "facet", "label").agg(F.min(F.struct("src", "pos")).alias("at"))
-    return first.select("repo_id", "facet", "label", "at.src", "at.pos")
-
-
-def _implied_languages() -> Column:
-    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(SOURCE_RANKS[kind]).alias("src"), F.lit(0).alias("pos"))
-                     for kind, label in vocab.MANIFEST_LANGUAGES.items()])
-
-
-def tech_stack(facts: DataFrame, repos: DataFrame, containers: DataFrame) -> DataFrame:
-    """Wide form: one array per facet in detection order, and the docker flag.
+    return _all_facts(files, assume_languages).filter(F.col("facet") != _SEEN)
+
+
+def tech_stack(files: DataFrame, assume_languages: bool = False) -> DataFrame:
+    """Wide form: one array per facet in detection order, and the docker flag; a row for every repository.
 
     The arrays are short by construction: every label comes from a vocabulary.
     """
     entry = F.struct("src", "pos", "label")
     cols = [F.array_sort(F.collect_list(F.when(F.col("facet") == f, entry))).alias(f) for f in vocab.FACETS]
-    wide = facts.groupBy("repo_id").agg(*cols)
-    empty = F.array().cast("array<string>")
-    return repos.select("repo_id").distinct().join(wide, "repo_id", "left") \
-        .join(containers.select("repo_id", "docker"), "repo_id", "left") \
-        .select("repo_id", *[F.coalesce(F.col(f"{f}.label"), empty).alias(f) for f in vocab.FACETS],
-                F.coalesce("docker", F.lit(False)).alias("docker"))
+    wide = _all_facts(files, assume_languages).groupBy("repo_id").agg(*cols, F.bool_or(F.col("facet") == DOCKER).alias("docker"))
+    return wide.select("repo_id", *[F.col(f"{f}.label").alias(f) for f in vocab.FACETS], "docker")
 
 
 def with_external_apis(stack: DataFrame, apis: DataFrame) -> DataFrame:

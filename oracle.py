@@ -189,7 +189,7 @@ CTES: dict[str, str] = {
               f"ON contains(lower(m.content), v.k) WHERE m.kind = 'gradle' GROUP BY 1, 2, 3",
     "images": f"SELECT repo_id, unnest(x) AS image, unnest(range(1, len(x) + 1)) AS no FROM (SELECT repo_id, "
               f"regexp_extract_all(content, {q(tech.IMAGE)}, 1) AS x FROM man WHERE kind = 'compose')",
-    "image_dbs": f"SELECT i.repo_id, v.label, min(i.no * 1000 + v.pos) AS first_at FROM images i JOIN {values([t for t in TEXT_VOCAB if t[0] == 'databases'])} "
+    "image_dbs": f"SELECT i.repo_id, v.label, min((i.no - 1) * 1000 + v.pos) AS first_at FROM images i JOIN {values([t for t in TEXT_VOCAB if t[0] == 'databases'])} "
                  f"v(facet, k, label, pos) ON contains(split_part(lower(i.image), ':', 1), v.k) GROUP BY 1, 2",
     "words": f"SELECT DISTINCT repo_id, v.label, o.pos FROM (SELECT DISTINCT repo_id, lower(unnest(regexp_extract_all(content, {q(tech.AI_WORDS)}, 1))) AS w "
              f"FROM paths WHERE {no_dirs('parts', 'sources')} AND extension IN {in_list(vocab.SOURCE_EXTENSIONS)}) h "
@@ -198,6 +198,7 @@ CTES: dict[str, str] = {
              f"WHERE {no_dirs('p.parts', 'sources')}",
     "pms": f"SELECT repo_id, v.label, min(v.pos) AS pos FROM paths p JOIN {values([(n, l, i) for i, (n, l) in enumerate(vocab.PACKAGE_MANAGERS.items())])} "
            f"v(k, label, pos) ON p.path = v.k GROUP BY 1, 2",
+    "docker": "SELECT DISTINCT repo_id FROM man WHERE kind IN ('docker', 'compose')",
     "facts_all": " UNION ALL ".join([
         f"SELECT repo_id, 'languages' AS facet, language AS label, 0 AS src, 0 AS pos FROM langs",
         f"SELECT repo_id, 'languages', v.l, v.src, 0 FROM man m JOIN {values([(k, l, RANK[k]) for k, l in vocab.MANIFEST_LANGUAGES.items()])} v(kind, l, src) ON m.kind = v.kind",
@@ -205,14 +206,14 @@ CTES: dict[str, str] = {
         dep_facts("npm", RANK["npm"]), dep_facts("pip", RANK["pip"]), dep_facts("pyp", RANK["pyproject"]),
         f"SELECT repo_id, facet, label, {RANK['maven']}, pos FROM maven",
         f"SELECT repo_id, facet, label, {RANK['gradle']}, pos FROM gradle",
-        f"SELECT repo_id, 'databases', label, {RANK['compose']}, row_number() OVER (PARTITION BY repo_id ORDER BY first_at) - 1 FROM image_dbs",
+        f"SELECT repo_id, 'databases', label, {RANK['compose']}, first_at FROM image_dbs",
         f"SELECT repo_id, 'ai_llm_libraries', label, {RANK['words']}, pos FROM words",
-        f"SELECT repo_id, 'package_managers', label, 0, pos FROM pms"]),
+        f"SELECT repo_id, 'package_managers', label, 0, pos FROM pms",
+        f"SELECT repo_id, 'docker', 'yes', {RANK['compose']}, 0 FROM docker"]),
     "facts": "SELECT repo_id, facet, label, min(src) AS src, min(pos) AS pos FROM (SELECT *, min(src) OVER (PARTITION BY repo_id, facet, label) AS ms FROM facts_all) WHERE src = ms GROUP BY 1, 2, 3",
-    "stack_long": "SELECT repo_id, facet, string_agg(label, '|' ORDER BY src, pos, label) AS labels FROM facts GROUP BY 1, 2 "
+    "stack_long": "SELECT repo_id, facet, string_agg(label, '|' ORDER BY src, pos, label) AS labels FROM facts WHERE facet <> 'docker' GROUP BY 1, 2 "
                   "UNION ALL SELECT repo_id, 'external_apis_detected', string_agg(target, '|' ORDER BY target) FROM apis GROUP BY 1",
     "repos": "SELECT DISTINCT repo_id FROM files",
-    "docker": "SELECT DISTINCT repo_id FROM man WHERE kind IN ('docker', 'compose')",
     # --- secrets
     "findings": "SELECT * FROM (SELECT repo_id, path AS file, list_filter(["
                 + ", ".join(f"CASE WHEN regexp_matches(content, {q(r.pattern)}) THEN {q(r.name)} END" for r in secrets.RULES)
