@@ -315,3 +315,277 @@ QUERIES: dict[str, str] = {
         FROM (SELECT project_id, max_by(status, ts) AS status FROM status_log GROUP BY 1) l
         LEFT JOIN {values([(k, s, p) for k, (s, p) in vocab.STATUS_STAGES.items()])} v(status, stage, progress) USING (status)""",
 }
+
+
+# --- generated sections, graphs, validation, prompts -------------------------------------------
+
+from codecairn.operators import graphs, prompts, validate  # noqa: E402
+
+NL = "chr(10)"
+BS = "chr(92)"
+
+
+def lit(s: str) -> str:
+    """A string literal with its newlines as chr(10)."""
+    return "(" + " || chr(10) || ".join(q(x) for x in s.split("\n")) + ")"
+
+
+def participant_sql(col: str) -> str:
+    whens = " ".join(f"WHEN {has_word(f'lower({col})', ws)} THEN '{n}'" for n, ws in vocab.PARTICIPANT_CLASSES.items())
+    return f"CASE {whens} ELSE '{vocab.DEFAULT_PARTICIPANT}' END"
+
+
+def style_text(level: str) -> str:
+    c = vocab.LEVELS[level]
+    return "\n".join(["## Audience & Writing Style", "- **Tone**: " + c["tone"], "- **Depth**: " + c["max_technical_depth"]]
+                     + [vocab.STYLE_LINES[k][0 if c[k] else 1] for k in vocab.STYLE_LINES])
+
+
+def cap(col: str, n: int = 10000, note: str = vocab.PROMPT_NOTE) -> str:
+    return f"CASE WHEN length({col}) > {n} THEN substring({col}, 1, {n}) || {lit(note)} ELSE {col} END"
+
+
+def tech_text(bullet: str, close: str, cut: int | None) -> str:
+    keys = [*vocab.FACETS[:7], "docker", *vocab.FACETS[7:], "external_apis_detected"]
+    parts = []
+    for k in keys:
+        if k == "docker":
+            parts.append(f"CASE WHEN docker THEN {q(bullet + k + close + ': yes')} END")
+        else:
+            lst = f"string_split({k}, '|')" + (f"[1:{cut}]" if cut else "")
+            parts.append(f"CASE WHEN {k} <> '' THEN {q(bullet + k + close + ': ')} || array_to_string({lst}, ', ') END")
+    return f"concat_ws(chr(10), {', '.join(parts)})"
+
+
+def rel_lines(where: str, n: int, line: str, rank: str = "rk") -> str:
+    return f"string_agg({line}, chr(10) ORDER BY rk) FILTER ({where} AND {rank} <= {n})"
+
+
+_LINE = "'• [' || relationship || '] ' || source || ' → ' || target || '  (evidence: ' || substring(evidence, 1, 80) || ')'"
+
+
+_SHORT = "'• ' || source || ': ' || target"
+
+
+def ends(default: str, x: str) -> str:
+    return f"CASE WHEN coalesce({x}, '') <> '' THEN {x} ELSE {q(default)} END"
+
+
+def sums(n: int) -> str:
+    return f"coalesce((SELECT string_agg(sline, {NL} || {NL} ORDER BY rank) FROM sum_lines s WHERE s.repo_id = c.repo_id AND s.rank <= {n}), '')"
+
+
+def rels(where: str, n: int) -> str:
+    return ends("No relationships detected.", f"(SELECT string_agg({_LINE}, {NL} ORDER BY rk) FROM ranked_edges e WHERE e.repo_id = c.repo_id AND {where} <= {n})")
+
+
+def kind(k: str) -> str:
+    return f"relationship = '{k}' AND kr"
+
+
+TYPES_FOUND = "replace(secret_types_found, '|', ', ')"
+NL2 = f"{NL} || {NL}"
+
+CTES |= {
+    "stack": QUERIES["tech_stack"],
+    "flow_docs": f"SELECT repo_id, run_id, string_agg(markdown, {NL} ORDER BY section) AS markdown FROM sections GROUP BY 1, 2",
+    "flow_lines": f"SELECT repo_id, run_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(markdown, {NL}) AS ls FROM flow_docs)",
+    "flow_events": f"""SELECT *, lag(num) OVER w AS prev_num, lag(action) OVER w AS prev_action FROM (SELECT repo_id, run_id, i,
+        CASE WHEN regexp_matches(l, {q(graphs.STEP)}) THEN regexp_extract(l, {q(graphs.STEP)}, 1) END AS num,
+        {strip(f"regexp_replace(regexp_extract(l, {q(graphs.STEP)}, 2), {q(graphs.STEP_NOISE)}, '', 'g')")} AS action,
+        CASE WHEN regexp_matches(l, {q(graphs.STEP_FILE)}) THEN regexp_extract(l, {q(graphs.STEP_FILE)}, 1) END AS file FROM flow_lines)
+        WHERE num IS NOT NULL OR file IS NOT NULL WINDOW w AS (PARTITION BY repo_id, run_id ORDER BY i)""",
+    "steps": f"""SELECT repo_id, run_id, row_number() OVER (PARTITION BY repo_id, run_id ORDER BY i) AS step_no, prev_num AS num, prev_action AS action, file,
+        {participant_sql('file')} AS participant FROM flow_events WHERE num IS NULL AND prev_num IS NOT NULL""",
+    "flow_nodes": """SELECT repo_id, run_id, 'main_user_flow.mmd' AS diagram, p AS node_id, p AS label, CASE WHEN p = 'User' THEN 'actor' ELSE 'participant' END AS shape,
+        row_number() OVER (PARTITION BY repo_id, run_id ORDER BY at0) - 1 AS pos FROM (
+          SELECT repo_id, run_id, participant AS p, min(step_no) AS at0 FROM steps GROUP BY 1, 2, 3
+          UNION ALL SELECT DISTINCT repo_id, run_id, 'User', 0 FROM steps
+          UNION ALL SELECT f.repo_id, f.run_id, v.p, v.i FROM flow_docs f ANTI JOIN steps s ON f.repo_id = s.repo_id AND f.run_id = s.run_id,
+            (VALUES ('User', 0), ('Frontend', 1), ('Backend', 2), ('Database', 3)) v(p, i))""",
+    "flow_edges": f"""SELECT repo_id, run_id, 'main_user_flow.mmd' AS diagram, source, target, arrow, label, pos FROM (
+        SELECT repo_id, run_id, coalesce(lag(participant) OVER (PARTITION BY repo_id, run_id ORDER BY step_no), 'User') AS source, participant AS target, '->>' AS arrow,
+          CASE WHEN length('Step ' || num || ': ' || action) > 40 THEN substring('Step ' || num || ': ' || action, 1, 37) || '...' ELSE 'Step ' || num || ': ' || action END AS label, step_no + 9 AS pos FROM steps
+        UNION ALL SELECT repo_id, run_id, max_by(participant, step_no), 'User', '-->>', 'Completed Flow', max(step_no) + 10 FROM steps GROUP BY 1, 2
+        UNION ALL SELECT f.repo_id, f.run_id, v.a, v.b, v.arrow, v.t, v.i FROM flow_docs f ANTI JOIN steps s ON f.repo_id = s.repo_id AND f.run_id = s.run_id,
+          {values([(*x, 10 + i) for i, x in enumerate(vocab.DEFAULT_FLOW)])} v(a, b, arrow, t, i))""",
+    "hosts": "SELECT repo_id, string_agg(h, ', ' ORDER BY h) AS hs FROM (SELECT DISTINCT repo_id, regexp_replace(regexp_extract(target, '.*//(.*)$', 1), '/.*', '') AS h FROM apis "
+             "WHERE contains(target, '//') QUALIFY dense_rank() OVER (PARTITION BY repo_id ORDER BY h) <= 3) GROUP BY 1",
+    "arch_nodes": f"""SELECT s.repo_id, 'system_architecture.mmd' AS diagram, v.id AS node_id, v.label, v.shape, v.pos FROM stack s LEFT JOIN hosts h USING (repo_id),
+        LATERAL (SELECT unnest(['User', 'Frontend', 'Backend', 'Database', 'AIService', 'ExtAPI', 'Container']) AS id, unnest(['User',
+          CASE WHEN frontend_frameworks = '' THEN 'Frontend' ELSE 'Frontend' || {BS} || 'n(' || replace(frontend_frameworks, '|', ', ') || ')' END,
+          CASE WHEN backend_frameworks = '' THEN 'Backend' ELSE 'Backend' || {BS} || 'n(' || replace(backend_frameworks, '|', ', ') || ')' END,
+          CASE WHEN databases = '' THEN 'Database' ELSE 'Database' || {BS} || 'n(' || replace(databases, '|', ', ') || ')' END,
+          CASE WHEN ai_llm_libraries <> '' THEN 'AI / LLM Services' || {BS} || 'n(' || replace(ai_llm_libraries, '|', ', ') || ')' END,
+          CASE WHEN external_apis_detected <> '' THEN 'External Services' || {BS} || 'n(' || coalesce(h.hs, 'External APIs') || ')' END,
+          CASE WHEN docker THEN 'Containerized with Docker' END]) AS label,
+          unnest(['round', 'box', 'box', 'store', 'box', 'box', 'note']) AS shape, unnest([0, 1, 2, 3, 7, 9, 11]) AS pos) v WHERE v.label IS NOT NULL""",
+    "arch_edges": """SELECT repo_id, 'system_architecture.mmd' AS diagram, v.a AS source, v.b AS target, '-->' AS arrow, CAST(NULL AS VARCHAR) AS label, v.pos FROM stack,
+        (VALUES ('User', 'Frontend', 4), ('Frontend', 'Backend', 5), ('Backend', 'Database', 6), ('Backend', 'AIService', 8), ('Backend', 'ExtAPI', 10)) v(a, b, pos)
+        WHERE (v.b <> 'AIService' OR ai_llm_libraries <> '') AND (v.b <> 'ExtAPI' OR external_apis_detected <> '')""",
+    "folders": """SELECT repo_id, folder, row_number() OVER (PARTITION BY repo_id ORDER BY folder) AS rank FROM (
+        SELECT DISTINCT repo_id, parts[1] AS folder FROM inv WHERE depth > 1 UNION SELECT DISTINCT repo_id, parts[1] || '/' || parts[2] FROM inv WHERE depth > 2)
+        QUALIFY rank <= 25""",
+    "map_nodes": """SELECT DISTINCT repo_id, 'repository_map.mmd' AS diagram, 'root' AS node_id, 'Repository Root' AS label, 'box' AS shape, 0 AS pos FROM inv
+        UNION ALL SELECT repo_id, 'repository_map.mmd', translate(folder, '/.-', '___'), '📁 ' || regexp_extract(folder, '[^/]*$'), 'box', 2 * rank - 1 FROM folders""",
+    "map_edges": """SELECT repo_id, 'repository_map.mmd' AS diagram, CASE WHEN contains(folder, '/') THEN translate(split_part(folder, '/', 1), '/.-', '___') ELSE 'root' END AS source,
+        translate(folder, '/.-', '___') AS target, '-->' AS arrow, CAST(NULL AS VARCHAR) AS label, 2 * rank AS pos FROM folders""",
+    "model_files": f"SELECT repo_id, content FROM imp WHERE {has_word('lower(path)', graphs.MODEL_PATHS)}",
+    "entity_all": "SELECT DISTINCT repo_id, unnest(" + " || ".join(f"regexp_extract_all(content, {q(p)}, 1)" for p in graphs.ENTITY_PATTERNS) + ") AS name FROM model_files",
+    "entities": """SELECT repo_id, name, row_number() OVER (PARTITION BY repo_id ORDER BY name) AS rank FROM entity_all QUALIFY rank <= 10
+        UNION ALL SELECT m.repo_id, v.name, v.rank FROM (SELECT DISTINCT repo_id FROM model_files) m ANTI JOIN entity_all e ON m.repo_id = e.repo_id, (VALUES ('User', 1), ('Session', 2)) v(name, rank)""",
+    "ent_nodes": "SELECT repo_id, 'database_erd.mmd' AS diagram, name AS node_id, name AS label, 'entity' AS shape, rank AS pos FROM entities",
+    "ent_edges": "SELECT repo_id, 'database_erd.mmd' AS diagram, name AS source, nxt AS target, '||--o{' AS arrow, 'relates' AS label, rank + 10 AS pos FROM "
+                 "(SELECT *, lead(name) OVER (PARTITION BY repo_id ORDER BY rank) AS nxt FROM entities) WHERE nxt IS NOT NULL",
+    "dia_lines": f"""SELECT repo_id, diagram, pos, CASE shape WHEN 'round' THEN '    ' || node_id || '([' || label || '])' WHEN 'store' THEN '    ' || node_id || '[(" ' || label || ' ")]'
+          WHEN 'note' THEN '    %% ' || label WHEN 'entity' THEN '    ' || node_id || ' {{' || {NL} || '        string id PK' || {NL} || '        string name' || {NL} || '    }}'
+          ELSE '    ' || node_id || '["' || label || '"]' END AS line FROM (SELECT * FROM arch_nodes UNION ALL SELECT * FROM map_nodes UNION ALL SELECT * FROM ent_nodes)
+        UNION ALL SELECT repo_id, diagram, pos, '    ' || source || ' ' || arrow || ' ' || target || CASE WHEN label IS NULL THEN '' ELSE ' : ' || label END
+          FROM (SELECT * FROM arch_edges UNION ALL SELECT * FROM map_edges UNION ALL SELECT * FROM ent_edges)""",
+    "diagrams": f"SELECT repo_id, diagram, CASE WHEN diagram = 'database_erd.mmd' THEN 'erDiagram' ELSE 'flowchart TD' END || {NL} || string_agg(line, {NL} ORDER BY pos) AS text FROM dia_lines GROUP BY 1, 2",
+    "flow_text": f"""SELECT repo_id, run_id, 'main_user_flow.mmd' AS diagram, 'sequenceDiagram' || {NL} || string_agg(line, {NL} ORDER BY k, pos) AS text FROM (
+        SELECT repo_id, run_id, 0 AS k, pos, '    ' || shape || ' ' || node_id AS line FROM flow_nodes
+        UNION ALL SELECT repo_id, run_id, 1, pos, '    ' || source || arrow || target || ': ' || label FROM flow_edges) GROUP BY 1, 2""",
+    "mentions": f"SELECT DISTINCT repo_id, run_id, section, p AS path FROM (SELECT repo_id, run_id, section, unnest(regexp_extract_all(markdown, {q(validate.PATH_TOKEN)}, 0)) AS p FROM sections) "
+                "WHERE NOT starts_with(p, 'http') AND NOT starts_with(p, 'www.') AND NOT regexp_full_match(p, '[0-9]+[.][0-9]+')",
+    "bad_paths": "SELECT m.* FROM mentions m WHERE NOT EXISTS (SELECT 1 FROM inv i WHERE i.repo_id = m.repo_id AND (i.path = m.path OR i.name = regexp_extract(m.path, '[^/]*$')))",
+    "labels0": f"""SELECT DISTINCT repo_id, diagram, label FROM (
+        SELECT repo_id, diagram, {strip("CASE WHEN regexp_full_match(m, '" + validate.QUOTED_BOX[1:-1] + "') THEN m[3:-3] ELSE m[2:-2] END")} AS label FROM (
+          SELECT repo_id, diagram, unnest(regexp_extract_all(text, {q(validate.BRACKETED)}, 0)) AS m FROM diagrams)
+        UNION ALL SELECT repo_id, diagram, unnest(regexp_extract_all(text, {q(validate.ACTOR)}, 1)) FROM diagrams)""",
+    "known": "SELECT DISTINCT repo_id, lower(c) AS c FROM (SELECT repo_id, path AS c FROM imp UNION ALL SELECT repo_id, regexp_extract(path, '[^/]*$') FROM imp "
+             "UNION ALL SELECT repo_id, source FROM edges UNION ALL SELECT repo_id, target FROM edges)",
+    "bad_parts": f"SELECT l.repo_id, l.diagram, l.label AS component FROM labels0 l WHERE lower(l.label) NOT IN {in_list(vocab.GENERIC_COMPONENTS)} "
+                 "AND NOT EXISTS (SELECT 1 FROM known k WHERE k.repo_id = l.repo_id AND (contains(k.c, lower(l.label)) OR contains(lower(l.label), k.c)))",
+    "sec_types": "SELECT repo_id, run_id, section, list_filter([" + ", ".join(
+        f"CASE WHEN regexp_matches(markdown, {q(r.pattern)}) THEN {q(r.name)} END" for r in secrets.RULES) + "], lambda x: x IS NOT NULL) AS types FROM sections",
+    "masked": f"SELECT repo_id, run_id, section, {mask_sql('markdown')} AS markdown FROM sections",
+    "report": """SELECT r.repo_id, r.run_id, coalesce(p.t, '') AS unresolved_file_paths, coalesce(d.t, '') AS unresolved_diagram_components, coalesce(l.t, '') AS leaked_secrets_detected, coalesce(p.n, 0) AS n
+        FROM (SELECT DISTINCT repo_id, run_id FROM sections) r
+        LEFT JOIN (SELECT repo_id, run_id, count(*) AS n, string_agg(section || '.md:' || path, '|' ORDER BY section, path) AS t FROM bad_paths GROUP BY 1, 2) p USING (repo_id, run_id)
+        LEFT JOIN (SELECT repo_id, run_id, string_agg(section || '.md:' || array_to_string(types, '+'), '|' ORDER BY section) AS t FROM sec_types WHERE len(types) > 0 GROUP BY 1, 2) l USING (repo_id, run_id)
+        LEFT JOIN (SELECT repo_id, string_agg(diagram || ':' || component, '|' ORDER BY diagram, component) AS t FROM bad_parts GROUP BY 1) d USING (repo_id)""",
+    "answers": f"SELECT repo_id, path, rank, {fixtures.ANSWER_SQL} AS answer FROM imp",
+    "summaries": """SELECT repo_id, path, rank, CASE WHEN ok THEN json_extract_string(j, '$.responsibility') ELSE substring(trim(answer), 1, 500) END AS responsibility,
+        CASE WHEN ok THEN CAST(json_extract(j, '$.important_symbols') AS VARCHAR[]) ELSE [] END AS syms, CASE WHEN ok THEN json_extract_string(j, '$.inputs') ELSE '' END AS inputs,
+        CASE WHEN ok THEN json_extract_string(j, '$.outputs') ELSE '' END AS outputs, CASE WHEN ok THEN CAST(json_extract(j, '$.connections') AS VARCHAR[]) ELSE [] END AS conns,
+        CASE WHEN ok THEN json_extract_string(j, '$.evidence_snippet') ELSE '' END AS snippet
+        FROM (SELECT *, json_valid(answer) AS ok, CASE WHEN json_valid(answer) THEN answer ELSE '{}' END AS j FROM answers)""",
+    "sum_lines": f"""SELECT repo_id, rank, '• ' || path || {NL} || '  Responsibility: ' || responsibility || {NL} || '  Symbols: ' || {ends('none', "array_to_string(syms[1:5], ', ')")}
+          || ' | Connects to: ' || {ends('none', "array_to_string(conns[1:4], ', ')")} AS pline,
+        '### ' || path || {NL} || '**Responsibility**: ' || responsibility || {NL} || '**Inputs**: ' || inputs || ' | **Outputs**: ' || outputs || {NL} || '**Symbols**: '
+          || {ends('none', "array_to_string(syms[1:6], ', ')")} || ' | **Connects to**: ' || {ends('none', "array_to_string(conns[1:4], ', ')")} || {NL}
+          || '**Snippet**: `' || substring(replace(snippet, {NL}, ' '), 1, 120) || '`' AS sline FROM summaries""",
+    "ranked_edges": """SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY string_split(source, '/'), extractor, line, pos, target) AS rk,
+        row_number() OVER (PARTITION BY repo_id, relationship ORDER BY string_split(source, '/'), extractor, line, pos, target) AS kr FROM edges""",
+    "techt": f"SELECT repo_id, {ends('No tech data.', tech_text('- **', '**', 10))} AS tech_text, {tech_text('  ', '', None)} AS plan_tech_text FROM stack",
+    "plans": f"""SELECT repo_id, CASE WHEN ok THEN CAST(json_extract(a, '$.major_modules') AS VARCHAR) ELSE '[]' END AS major_modules,
+        CASE WHEN ok THEN CAST(json_extract(a, '$.explanation_order') AS VARCHAR) ELSE '[]' END AS explanation_order,
+        CASE WHEN ok THEN json_extract_string(a, '$.main_user_flow_target') ELSE 'primary user flow' END AS main_user_flow_target,
+        CASE WHEN ok THEN 'flow' ELSE 'architecture overview|data flow' END AS required_diagrams, '' AS concepts_needing_analogies,
+        CASE WHEN ok THEN 'deployment' ELSE 'Plan generation failed: the answer is not valid JSON' END AS uncertain_areas, ok,
+        CASE WHEN ok THEN '[' || array_to_string(list_transform(json_extract(a, '$.explanation_order[*]')[1:5], lambda x: CAST(x AS VARCHAR)), ',') || ']' ELSE '[]' END AS first5
+        FROM (SELECT repo_id, CASE WHEN json_valid(ans) THEN ans END AS a, json_valid(ans) AS ok FROM (SELECT repo_id, {fixtures.PLAN_ANSWER_SQL} AS ans FROM projects))""",
+    "setup_roots": f"""SELECT repo_id, coalesce(max(b) FILTER (path = 'README.md'), max(b) FILTER (path = 'readme.md')) AS readme, max(b) FILTER (path = 'package.json') AS package_json,
+        max(b) FILTER (path = 'requirements.txt') AS requirements FROM (SELECT repo_id, path, {cap('content', 3000, vocab.SETUP_NOTE)} AS b FROM files
+          WHERE path IN ('README.md', 'readme.md', 'package.json', 'requirements.txt') AND length(content) > 0) GROUP BY 1""",
+    "dockerfiles": f"""SELECT repo_id, '--- ' || path || ' ---' || {NL} || {cap('content', 800, vocab.SETUP_NOTE)} AS d,
+        row_number() OVER (PARTITION BY repo_id ORDER BY string_split(path, '/')) AS rank FROM paths WHERE contains(lname, 'dockerfile') AND length(content) > 0 QUALIFY rank <= 5""",
+    "setup": f"""SELECT repo_id, readme, package_json, requirements, coalesce(ds, '') AS dockerfiles, cut FROM setup_roots FULL JOIN
+        (SELECT repo_id, string_agg(d, {NL2} ORDER BY rank) AS ds, string_agg(substring(d, 1, 800), {NL2} || '---' || {NL2} ORDER BY rank) AS cut FROM dockerfiles GROUP BY 1) USING (repo_id)""",
+    "risks": f"SELECT repo_id, string_agg(file, ', ' ORDER BY file) AS t FROM findings WHERE list_has_any(types, {HIGH}) GROUP BY 1",
+    "srep": QUERIES["secrets_report"],
+    "find10": "SELECT repo_id, '[' || string_agg('{\"file\":\"' || file || '\",\"secret_types\":[\"' || array_to_string(types, '\",\"') || '\"]}', ',' ORDER BY file) || ']' AS t FROM "
+              "(SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY file) <= 10) GROUP BY 1",
+    "dsum": QUERIES["directory_summary"],
+    "ctx": """SELECT p.*, t.tech_text, l.major_modules, l.first5, l.main_user_flow_target, l.ok, s.readme, s.package_json, s.requirements, s.cut, r.total_files_scanned, r.files_with_secrets,
+        r.secret_types_found, k.t AS risk, f.t AS finds FROM projects p LEFT JOIN techt t USING (repo_id) LEFT JOIN plans l USING (repo_id) LEFT JOIN setup s USING (repo_id)
+        LEFT JOIN srep r USING (repo_id) LEFT JOIN risks k USING (repo_id) LEFT JOIN find10 f USING (repo_id)""",
+}
+
+_PROMPTS = {
+    "01_start_here": f"'## Tech Stack' || {NL} || tech_text || {NL2} || '## Major Modules' || {NL} || major_modules || {NL2} || '## Suggested Reading Order (first 5 steps)' || {NL} || first5 || {NL2} "
+                     f"|| '## Main User Flow This Tutorial Will Trace' || {NL} || main_user_flow_target",
+    "02_product_overview": f"'## User-Provided Product Description' || {NL} || coalesce(product_description, '(none provided)') || {NL2} || '## Tech Stack (from repository)' || {NL} || tech_text || {NL2} "
+                           f"|| '## Important File Summaries (from repository)' || {NL} || {sums(15)}",
+    "03_tech_stack": f"'## Detected Tech Stack' || {NL} || tech_text || {NL2} || '## File Summaries for Context' || {NL} || {sums(10)}",
+    "04_architecture": f"'## Tech Stack' || {NL} || tech_text || {NL2} || '## Declared Routes (' || (SELECT count(*) FROM edges e WHERE e.repo_id = c.repo_id AND relationship = 'declares_route') || ' total)' || {NL} || {rels(kind('declares_route'), 30)} "
+                       f"|| {NL2} || '## Internal Imports (sample of ' || (SELECT least(count(*), 30) FROM edges e WHERE e.repo_id = c.repo_id AND relationship = 'imports') || ')' || {NL} || {rels(kind('imports'), 30)} "
+                       f"|| {NL2} || '## External API Calls (' || (SELECT least(count(*), 20) FROM edges e WHERE e.repo_id = c.repo_id AND relationship = 'calls_api') || ' total)' || {NL} || {rels(kind('calls_api'), 20)} "
+                       f"|| {NL2} || '## File Summaries' || {NL} || {sums(15)}",
+    "05_component_guide": f"'## File Summaries' || {NL} || {sums(20)} || {NL2} || '## Relationships (sample)' || {NL} || {rels('rk', 40)}",
+    "06_main_user_flow": f"'## User-Provided Key Features' || {NL} || coalesce(important_features, '(none provided — infer the main flow from the code)') || {NL2} || '## API Routes (potential flow entry points)' || {NL} "
+                         f"|| {rels(kind('declares_route'), 30)} || {NL2} || '## File Summaries' || {NL} || {sums(15)} || {NL2} || '## Imports / Dependencies' || {NL} || {rels(kind('imports'), 25)}",
+    "07_repo_guide": f"'## Top-Level Directory Summary' || {NL} || coalesce((SELECT string_agg('- **' || top_dir || '/**: ' || n_files || ' files, langs: ' || replace(languages, '|', ', '), {NL} ORDER BY rank) FROM dsum d WHERE d.repo_id = c.repo_id), '') "
+                     f"|| {NL2} || '## Heuristically Important Files' || {NL} || coalesce((SELECT string_agg('- `' || path || '` — ' || reason_important || ' (score: ' || score || ')', {NL} ORDER BY rank) FROM imp i WHERE i.repo_id = c.repo_id), '') "
+                     f"|| {NL2} || '## Total files in inventory: ' || (SELECT count(*) FROM inv i WHERE i.repo_id = c.repo_id)",
+    "08_how_to_run": f"concat_ws({NL2}, coalesce('## README.md content (first 3000 chars)' || {NL} || substring(readme, 1, 3000), '## README.md' || {NL} || '(not found)'), "
+                     f"'## package.json (first 2000 chars)' || {NL} || substring(package_json, 1, 2000), '## requirements.txt' || {NL} || substring(requirements, 1, 1000), "
+                     f"'## Dockerfile content(s)' || {NL} || cut)",
+    "09_unknowns_and_risks": f"'## Uncertain Areas (from explanation plan)' || {NL} || CASE WHEN ok THEN '[\"deployment\"]' ELSE '[\"Plan generation failed: the answer is not valid JSON\"]' END || {NL2} || '## Secrets Report' || {NL} "
+                             f"|| '- Files scanned: ' || total_files_scanned || {NL} || '- Files with secrets: ' || files_with_secrets || {NL} || '- Secret types found: ' || {ends('none', TYPES_FOUND)} || {NL} "
+                             f"|| '- High-risk files: ' || coalesce(risk, 'none') || {NL2} || '## Sample Secret Findings' || {NL} || coalesce(finds, '[]') || {NL2} || '## Tech Stack (for context)' || {NL} || tech_text",
+}
+_NODES = "repo_id, diagram, node_id, label, shape, CAST(pos AS BIGINT) AS pos"
+_EDGES = "repo_id, diagram, source, target, arrow, label, CAST(pos AS BIGINT) AS pos"
+_WORDS = ", ".join([f"CAST(len(regexp_extract_all(markdown, '{w}')) AS BIGINT) AS {w.lower()}" for w in vocab.CONFIDENCE_WORDS]
+                   + [f"CAST(len(regexp_extract_all(markdown, '\\[{t}\\]')) AS BIGINT) AS tag_{t.lower().replace('-', '_')}" for t in vocab.CLAIM_TAGS])
+
+QUERIES |= {
+    "read_archives": f"SELECT repo_id, path, content, CAST(strlen(content) AS BIGINT) AS size FROM paths WHERE {no_dirs('parts', 'inventory')}",
+    "bad_archives": "SELECT 'cut-' || repo_id || '.zip' AS archive, 'cut-' || repo_id AS repo_id, 'BadZipFile' AS error FROM repos",
+    "read_tree": "SELECT repo_id, CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes, CAST(sum(strlen(content) + 1) AS BIGINT) AS text_bytes FROM files GROUP BY 1",
+    "decode_text": "SELECT repo_id, path, CAST(length(content) + 2 AS BIGINT) AS n_chars, chr(65533) || 'A' AS tail FROM files",
+    "artifacts": QUERIES["important_files"],
+    "run_analysis": "SELECT repo_id, 'tech' AS kind, 1 AS n FROM repos UNION ALL SELECT repo_id, 'secrets_report', 1 FROM repos "
+                    "UNION ALL SELECT repo_id, 'important_files', count(*) FROM imp GROUP BY 1 UNION ALL SELECT repo_id, 'relationships', count(*) FROM edges GROUP BY 1",
+    "results_payload": """SELECT r.repo_id, r.run_id, md5(m.t) AS sections, md5(d.t) AS diagrams, coalesce(t.t, '') AS tech_summary, r.n AS n_unresolved FROM report r
+        JOIN (SELECT repo_id, run_id, string_agg(section || '=' || markdown, '|' ORDER BY section) AS t FROM masked GROUP BY 1, 2) m USING (repo_id, run_id)
+        JOIN (SELECT repo_id, run_id, string_agg(diagram || '=' || text, '|' ORDER BY diagram) AS t FROM (SELECT repo_id, run_id, diagram, text FROM flow_text
+          UNION ALL SELECT x.repo_id, x.run_id, g.diagram, g.text FROM (SELECT DISTINCT repo_id, run_id FROM sections) x JOIN diagrams g USING (repo_id)) GROUP BY 1, 2) d USING (repo_id, run_id)
+        LEFT JOIN (SELECT repo_id, string_agg(facet || '=' || replace(labels, '|', ','), '|' ORDER BY facet) AS t FROM stack_long GROUP BY 1) t USING (repo_id)""",
+    "output_index": "SELECT repo_id, run_id, count(*) AS sections_ready, CAST(9 AS BIGINT) AS sections_expected, string_agg(section || ':' || strlen(markdown), '|' ORDER BY section) AS sections FROM sections GROUP BY 1, 2",
+    "output_section": "SELECT repo_id, run_id, section, markdown FROM sections WHERE section = '06_main_user_flow'",
+    "architecture_nodes": f"SELECT {_NODES} FROM arch_nodes", "architecture_edges": f"SELECT {_EDGES} FROM arch_edges",
+    "flow_steps": "SELECT repo_id, run_id, step_no, num, action, file, participant FROM steps",
+    "user_flow_nodes": f"SELECT run_id, {_NODES} FROM flow_nodes", "user_flow_edges": f"SELECT run_id, {_EDGES} FROM flow_edges",
+    "repository_map_nodes": f"SELECT {_NODES} FROM map_nodes", "repository_map_edges": f"SELECT {_EDGES} FROM map_edges",
+    "entity_nodes": f"SELECT {_NODES} FROM ent_nodes", "entity_edges": f"SELECT {_EDGES} FROM ent_edges",
+    "diagram_text": "SELECT repo_id, diagram, text FROM diagrams",
+    "flow_text": "SELECT repo_id, run_id, diagram, text FROM flow_text",
+    "path_mentions": "SELECT repo_id, run_id, section, path FROM mentions",
+    "unresolved_paths": "SELECT repo_id, run_id, section, path FROM bad_paths",
+    "diagram_labels": "SELECT repo_id, diagram, label FROM labels0",
+    "unresolved_components": "SELECT repo_id, diagram, component FROM bad_parts",
+    "masked_sections": "SELECT repo_id, run_id, section, md5(markdown) AS digest FROM masked",
+    "validation_report": "SELECT repo_id, run_id, unresolved_file_paths, unresolved_diagram_components, leaked_secrets_detected FROM report",
+    "evidence_labels": f"SELECT repo_id, run_id, section, {_WORDS} FROM sections",
+    "truncate_text": f"SELECT repo_id, path, md5({cap('content')}) AS digest, md5({cap('content', 3000, vocab.FILE_NOTE)}) AS file_digest, CAST(length(content) // 4 AS BIGINT) AS tokens FROM files",
+    "file_prompts": f"SELECT repo_id, CAST(rank AS BIGINT) AS rank, path, 'File path   : ' || path || {NL} || 'Language    : ' || language || {NL} || 'Why notable : ' || reason_important || {NL2} "
+                    f"|| '--- FILE CONTENT ---' || {NL} || {cap('content', 3000, vocab.FILE_NOTE)} || {NL} || '--- END ---' AS prompt FROM imp",
+    "parse_model_json": "SELECT repo_id, path, responsibility, array_to_string(syms, '|') AS important_symbols, inputs, outputs, array_to_string(conns, '|') AS connections, snippet AS evidence_snippet FROM summaries",
+    "compact_summaries": f"SELECT repo_id, string_agg(pline, {NL} ORDER BY rank) AS plan_text, string_agg(sline, {NL2} ORDER BY rank) AS section_text FROM sum_lines GROUP BY 1",
+    "compact_relationships": f"SELECT repo_id, {rel_lines('TRUE', 40, _LINE)} AS all_lines, "
+                             + ", ".join(f"coalesce({rel_lines(f'relationship = {q(k)}', n, _LINE, 'kr')}, '') AS {k}_lines" for k, n in (("declares_route", 30), ("imports", 30), ("calls_api", 20)))
+                             + f", coalesce({rel_lines(f'relationship = {q('declares_route')}', 30, _SHORT, 'kr')}, '') AS plan_routes, "
+                               "count(*) FILTER (relationship = 'declares_route') AS n_routes FROM ranked_edges GROUP BY 1",
+    "compact_tech": "SELECT repo_id, tech_text, plan_tech_text FROM techt",
+    "plan_prompts": f"SELECT repo_id, {cap('t')} AS prompt FROM (SELECT p.repo_id, concat_ws({NL2}, '## Product Description (user-provided)' || {NL} || product_description, "
+                    f"'## Key Features (user-provided)' || {NL} || important_features, '## Technology Stack' || {NL} || plan_tech_text, '## Important Files (with LLM summaries)' || {NL} || coalesce(s.t, ''), "
+                    f"'## Declared API Routes' || {NL} || coalesce(r.t, 'No routes detected.')) AS t FROM projects p LEFT JOIN techt USING (repo_id) "
+                    f"LEFT JOIN (SELECT repo_id, string_agg(pline, {NL} ORDER BY rank) AS t FROM sum_lines GROUP BY 1) s USING (repo_id) "
+                    f"LEFT JOIN (SELECT repo_id, string_agg('• ' || source || ': ' || target, {NL} ORDER BY kr) AS t FROM ranked_edges WHERE relationship = 'declares_route' AND kr <= 30 GROUP BY 1) r USING (repo_id))",
+    "parse_plan": "SELECT repo_id, major_modules, explanation_order, main_user_flow_target, required_diagrams, concepts_needing_analogies, uncertain_areas FROM plans",
+    "level_style": "SELECT repo_id, l AS level, CASE l " + " ".join(f"WHEN '{n}' THEN {lit(style_text(n))}" for n in vocab.LEVELS)
+                   + f" END AS style FROM (SELECT repo_id, CASE WHEN technical_level IN {in_list(vocab.LEVELS)} THEN technical_level ELSE 'beginner' END AS l FROM projects)",
+    "setup_files": "SELECT repo_id, readme, package_json, requirements, dockerfiles FROM setup",
+    "section_prompts": " UNION ALL ".join(f"SELECT repo_id, '{s}' AS section, {cap('t')} AS prompt FROM (SELECT repo_id, {p} AS t FROM ctx c)" for s, p in _PROMPTS.items()),
+    "apply_text_model": f"""SELECT repo_id, CAST(rank AS BIGINT) AS rank, path, CASE WHEN length(prompt) % 4 <> 0 THEN upper(split_part(prompt, {NL}, 1)) END AS answer,
+        CASE WHEN length(prompt) % 4 = 0 THEN 'no answer' END AS error FROM (SELECT repo_id, rank, path, 'File path   : ' || path || {NL} || 'Language    : ' || language || {NL} || 'Why notable : ' || reason_important || {NL2}
+        || '--- FILE CONTENT ---' || {NL} || {cap('content', 3000, vocab.FILE_NOTE)} || {NL} || '--- END ---' AS prompt FROM imp)""",
+    "stream_inventory": QUERIES["inventory"],
+    "stream_edges": QUERIES["dedupe_relationships"],
+    "stream_secrets": QUERIES["scan_secrets"],
+    "stream_latest_status": QUERIES["latest_status"],
+    "stream_relationships": QUERIES["dedupe_relationships"],
+}
