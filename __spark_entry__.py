@@ -314,12 +314,13 @@ def q_flow_steps(spark, d):
     return graphs.flow_steps(_flows(spark, d)).select("repo_id", "run_id", *_long("step_no"), "num", "action", "file", "participant")
 
 
-def _repo_diagrams(spark, d):
-    pairs = [_graph(g)(spark, d) for g in ("architecture", "repository_map", "entity")]
-    nodes, edges = pairs[0]
-    for n, e in pairs[1:]:
-        nodes, edges = nodes.unionByName(n), edges.unionByName(e)
-    return graphs.diagram_text(nodes, edges)
+def _analysis(spark, d, tables=("important", "relationships", "tech")):
+    """The analysis tables, made in one pass over the text and saved for the steps that follow."""
+    return analysis.saved_analysis(spark, fixtures.files(spark, d), tables)
+
+
+def q_diagram_text(spark, d):
+    return explanation.repository_diagrams(_analysis(spark, d))
 
 
 def q_flow_text(spark, d):
@@ -328,10 +329,6 @@ def q_flow_text(spark, d):
 
 # --- validation ---------------------------------------------------------------------------------------
 
-def _known(spark, d):
-    return validate.known_components(scoring.important_files(_inventory(spark, d)), _relationships(spark, d))
-
-
 def q_path_mentions(spark, d):
     return validate.path_mentions(fixtures.sections(spark, d))
 
@@ -341,15 +338,20 @@ def q_unresolved_paths(spark, d):
 
 
 def q_diagram_labels(spark, d):
-    return validate.diagram_labels(_repo_diagrams(spark, d))
+    return validate.diagram_labels(q_diagram_text(spark, d))
+
+
+def _unresolved_components(a):
+    labels = validate.diagram_labels(explanation.repository_diagrams(a))
+    return validate.unresolved_components(labels, validate.known_components(a.important, a.relationships))
 
 
 def q_unresolved_components(spark, d):
-    return validate.unresolved_components(q_diagram_labels(spark, d), _known(spark, d))
+    return _unresolved_components(_analysis(spark, d))
 
 
-def _report(spark, d):
-    return validate.validation_report(fixtures.sections(spark, d), _inventory(spark, d), q_unresolved_components(spark, d))
+def _report(spark, d, a):
+    return validate.validation_report(fixtures.sections(spark, d), a.inventory, _unresolved_components(a))
 
 
 def q_validation_report(spark, d):
@@ -357,7 +359,7 @@ def q_validation_report(spark, d):
         return F.array_join(F.transform(col, lambda x: F.concat_ws(":", x[a], x[b])), "|").alias(col)
 
     leaks = F.array_join(F.transform("leaked_secrets_detected", lambda x: F.concat_ws(":", x.file, F.array_join(x.secret_types, "+"))), "|")
-    return _report(spark, d).select("repo_id", "run_id", flat("unresolved_file_paths", "section", "path"),
+    return _report(spark, d, _analysis(spark, d)).select("repo_id", "run_id", flat("unresolved_file_paths", "section", "path"),
                                     flat("unresolved_diagram_components", "diagram", "component"),
                                     leaks.alias("leaked_secrets_detected"))
 
@@ -385,18 +387,18 @@ def q_file_prompts(spark, d):
     return prompts.file_prompts(_important_with_content(spark, d)).select("repo_id", *_long("rank"), "path", "prompt")
 
 
-def _summaries(spark, d):
-    answers = scoring.important_files(_inventory(spark, d)).withColumn("answer", F.expr(fixtures.ANSWER_SQL))
-    return prompts.parse_model_json(answers)
+def _summaries(important):
+    """Summaries from the answers a model might give for the important files."""
+    return prompts.parse_model_json(important.withColumn("answer", F.expr(fixtures.ANSWER_SQL)))
 
 
 def q_parse_model_json(spark, d):
-    return _summaries(spark, d).select("repo_id", "path", "responsibility", _joined("important_symbols"), "inputs", "outputs",
+    return _summaries(scoring.important_files(_inventory(spark, d))).select("repo_id", "path", "responsibility", _joined("important_symbols"), "inputs", "outputs",
                                        _joined("connections"), "evidence_snippet")
 
 
 def q_compact_summaries(spark, d):
-    df = prompts.compact_summaries(_summaries(spark, d))
+    df = prompts.compact_summaries(_summaries(scoring.important_files(_inventory(spark, d))))
     return df.select("repo_id", F.array_join("plan_lines", "\n").alias("plan_text"), F.array_join("section_lines", "\n\n").alias("section_text"))
 
 
@@ -414,8 +416,9 @@ def _tech_texts(spark, d):
 
 
 def q_plan_prompts(spark, d):
-    df = prompts.plan_prompts(fixtures.projects(spark, d), _tech_texts(spark, d), prompts.compact_summaries(_summaries(spark, d)),
-                              _edge_texts(spark, d))
+    a = _analysis(spark, d)
+    df = prompts.plan_prompts(fixtures.projects(spark, d), prompts.compact_tech(a.tech), prompts.compact_summaries(_summaries(a.important)),
+                              prompts.compact_relationships(a.relationships))
     return df.select("repo_id", "prompt")
 
 
@@ -435,12 +438,8 @@ def q_setup_files(spark, d):
 
 
 def q_section_prompts(spark, d):
-    files = fixtures.files(spark, d)
-    findings = secrets.scan_secrets(files)
-    context = prompts.section_context(
-        fixtures.projects(spark, d), _tech_texts(spark, d), prompts.compact_summaries(_summaries(spark, d)), _edge_texts(spark, d),
-        _plans(spark, d), _inventory(spark, d), scoring.important_files(_inventory(spark, d)), prompts.setup_files(files),
-        secrets.secrets_report(findings, files), prompts.high_risk_text(findings))
+    a = _analysis(spark, d, analysis.TABLES)
+    context = explanation.context_of(a, fixtures.projects(spark, d), _summaries(a.important), _plans(spark, d))
     return prompts.section_prompts(context).select("repo_id", "section", "prompt")
 
 
@@ -457,11 +456,11 @@ def q_apply_text_model(spark, d):
 # --- results -----------------------------------------------------------------------------------------------
 
 def q_results_payload(spark, d):
-    sections = fixtures.sections(spark, d)
+    a, sections = _analysis(spark, d), fixtures.sections(spark, d)
     runs = sections.select("repo_id", "run_id").distinct()
-    drawn = _repo_diagrams(spark, d).join(runs, "repo_id").select("repo_id", "run_id", "diagram", "text") \
+    drawn = explanation.repository_diagrams(a).join(runs, "repo_id").select("repo_id", "run_id", "diagram", "text") \
         .unionByName(q_flow_text(spark, d).select("repo_id", "run_id", "diagram", "text"))
-    payload = results.results_payload(validate.masked_sections(sections), drawn, tech.tech_summary(_stack(spark, d)), _report(spark, d))
+    payload = results.results_payload(validate.masked_sections(sections), drawn, tech.tech_summary(a.tech), _report(spark, d, a))
 
     def flat(col):
         return F.md5(F.array_join(F.transform(F.map_entries(col), lambda e: F.concat_ws("=", e.key, e.value)), "|")).alias(col)
@@ -588,7 +587,7 @@ def queries() -> dict[str, Query]:
         "repository_map_edges": _q_edges_of("repository_map"),
         "entity_nodes": _q_nodes("entity"),
         "entity_edges": _q_edges_of("entity"),
-        "diagram_text": _repo_diagrams,
+        "diagram_text": q_diagram_text,
         "flow_text": q_flow_text,
         "path_mentions": q_path_mentions,
         "unresolved_paths": q_unresolved_paths,

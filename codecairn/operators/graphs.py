@@ -95,34 +95,38 @@ def flow_steps(flows: DataFrame) -> DataFrame:
 
 
 def user_flow(flows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Participants and messages of every flow document; a fixed flow for documents without steps. Narrow."""
+    """Participants and messages of every flow document; a fixed flow for documents without steps.
+
+    Both are arrays made on the row of the document and exploded once; nothing is shuffled.
+    """
     keys = ["repo_id", "run_id"]
-    docs = _with_steps(flows).withColumn("parts", F.col("steps.participant"))
-    label = F.concat(F.lit("Step "), F.col("e.s.num"), F.lit(": "), F.col("e.s.action"))
-    cut = F.when(F.length(label) > MAX_STEP_LABEL, F.concat(F.substring(label, 1, MAX_STEP_LABEL - 3), F.lit("..."))) \
-        .otherwise(label)
-    has_steps = F.size("steps") > 0
+    docs, has_steps = _with_steps(flows), F.size("steps") > 0
+    parts = F.col("steps.participant")
 
     default_people = array_literal(dict.fromkeys(x for a, b, _, _ in vocab.DEFAULT_FLOW for x in (a, b)))
-    people = F.when(has_steps, F.array_distinct(F.concat(F.array(F.lit("User")), "parts"))).otherwise(default_people)
+    people = F.when(has_steps, F.array_distinct(F.concat(F.array(F.lit("User")), parts))).otherwise(default_people)
     nodes = docs.select(*keys, F.posexplode(people).alias("pos", "node_id")).select(
         *keys, F.lit(USER_FLOW).alias("diagram"), "pos", "node_id", F.col("node_id").alias("label"),
         F.when(F.col("node_id") == "User", "actor").otherwise("participant").alias("shape"))
 
-    # Messages follow all participants; there are at most six of those.
-    first = 10
-    moves = docs.filter(has_steps).select(*keys, "parts", F.posexplode(F.transform(
-        "steps", lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get("parts", i - 1), F.lit("User")).alias("source")))).alias("i", "e"))
-    sent = moves.select(*keys, (F.col("i") + first).alias("pos"), F.col("e.source").alias("source"),
-                        F.col("e.s.participant").alias("target"), F.lit("->>").alias("arrow"), cut.alias("label"))
-    back = docs.filter(has_steps).select(
-        *keys, (F.size("parts") + first).alias("pos"), F.element_at("parts", -1).alias("source"),
-        F.lit("User").alias("target"), F.lit("-->>").alias("arrow"), F.lit("Completed Flow").alias("label"))
-    fixed = F.array(*[F.struct(F.lit(first + i).alias("pos"), F.lit(a).alias("source"), F.lit(b).alias("target"),
-                               F.lit(arrow).alias("arrow"), F.lit(t).alias("label"))
-                      for i, (a, b, arrow, t) in enumerate(vocab.DEFAULT_FLOW)])
-    default = docs.filter(~has_steps).select(*keys, F.explode(fixed).alias("m")).select(*keys, "m.*")
-    edges = sent.unionByName(back).unionByName(default).withColumn("diagram", F.lit(USER_FLOW))
+    first = 10  # messages follow all participants; there are at most six of those
+
+    def message(pos, source, target, arrow, label) -> Column:
+        pos, source, target, label = [x if isinstance(x, Column) else F.lit(x) for x in (pos, source, target, label)]
+        return F.struct(pos.alias("pos"), source.alias("source"), target.alias("target"), F.lit(arrow).alias("arrow"),
+                        label.alias("label"))
+
+    def sent(step: Column, i: Column) -> Column:
+        label = F.concat(F.lit("Step "), step.num, F.lit(": "), step.action)
+        cut = F.when(F.length(label) > MAX_STEP_LABEL, F.concat(F.substring(label, 1, MAX_STEP_LABEL - 3), F.lit("..."))) \
+            .otherwise(label)
+        before = F.coalesce(F.get(F.col("steps"), i - 1).participant, F.lit("User"))
+        return message(i + first, before, step.participant, "->>", cut)
+
+    back = message(F.size("steps") + first, F.try_element_at(parts, F.lit(-1)), "User", "-->>", "Completed Flow")
+    fixed = F.array(*[message(first + i, a, b, arrow, t) for i, (a, b, arrow, t) in enumerate(vocab.DEFAULT_FLOW)])
+    messages = F.when(has_steps, F.concat(F.transform("steps", sent), F.array(back))).otherwise(fixed)
+    edges = docs.select(*keys, F.lit(USER_FLOW).alias("diagram"), F.explode(messages).alias("m")).select(*keys, "diagram", "m.*")
     return nodes, edges
 
 

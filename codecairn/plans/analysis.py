@@ -72,9 +72,27 @@ def analyse(facts: DataFrame) -> Analysis:
         findings=findings, secrets_report=secrets.secrets_report(findings, facts))
 
 
+TABLES = ("important", "relationships", "tech", "findings", "secrets_report")
+
+
+def saved_analysis(spark: SparkSession, files: DataFrame, tables: tuple = TABLES, path: str | None = None) -> Analysis:
+    """The analysis with its facts and the named tables written once and read back.
+
+    Later steps use the stack, the important files and the edges many times; from written
+    tables each use is a scan of a small table instead of the analysis all over again.
+    """
+    path = path or scratch_dir(spark, "analysis")
+    result = analyse(write_facts(spark, files, f"{path}/facts"))
+    saved = {}
+    for name in tables:
+        getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        saved[name] = spark.read.parquet(f"{path}/{name}")
+    return result._replace(**saved)
+
+
 def run_analysis(spark: SparkSession, files: DataFrame, directory: str) -> Analysis:
     """Analyses a corpus and writes its four artifacts below ``directory``."""
-    result = analyse(write_facts(spark, files))
+    result = saved_analysis(spark, files)
     write_artifacts({
         "tech": result.tech,
         "important_files": result.important.drop("content"),
