@@ -89,20 +89,20 @@ def score_files(inv: DataFrame, rules: list[Rule] = RULES, min_score: int | None
 
     The score is the sum of all matched rules. The reason comes from the last matched rule
     that scores more than everything matched before it. Path parts and points are columns
-    of their own projections, so each is computed once per row, in generated code.
+    of their own projections, so each is computed once per row.
     """
     path, given = F.col("path"), [F.col(c) for c in inv.columns]
     low = F.lower(path)
     parted = inv.select(*given, F.lower(paths.name(path)).alias("_name"), F.lower(paths.stem(path)).alias("_stem"),
                         paths.extension(path).alias("_ext"), F.split(low, "/").alias("_parts"), paths.dirs(low).alias("_folders"))
-    pointed = parted.select(*given, *[F.when(_matches(r), r.score).otherwise(0).alias(f"_p{i}")
-                                      for i, r in enumerate(rules, 1)])
-    before, best = F.lit(0), [F.lit(0)]
-    for i in range(1, len(rules) + 1):
-        best.append(F.when(F.col(f"_p{i}") > before, F.lit(i)).otherwise(0))
-        before = before + F.col(f"_p{i}")
+    points = F.array(*[F.when(_matches(r), r.score).otherwise(0) for r in rules])
+    pointed = parted.select(*given, points.alias("_points"))
+    start = F.struct(F.lit(0).alias("score"), F.lit(0).alias("seen"), F.lit(0).alias("rule"))
+    folded = F.aggregate("_points", start, lambda acc, p: F.struct(
+        (acc.score + p).alias("score"), (acc.seen + 1).alias("seen"),
+        F.when(p > acc.score, acc.seen + 1).otherwise(acc.rule).alias("rule")))
     reasons = array_literal([NO_REASON, *[r.reason for r in rules]])
-    scored = pointed.select(*given, F.struct(before.alias("score"), F.greatest(*best).alias("rule")).alias("_s"))
+    scored = pointed.select(*given, folded.alias("_s"))
     if min_score is None:
         s = scored
     else:

@@ -1,11 +1,17 @@
 from codecairn.operators import relations as rel
 
-# Golden values: (target, evidence line) pairs of one analysed sample project.
+# Golden values: relationship, target and evidence line of one analysed sample project.
 GOLDEN_LINES = [
-    ("imports", "express", "const express = require('express')"),
-    ("imports", "@vitejs/plugin-react", "import react from '@vitejs/plugin-react'"),
-    ("declares_route", "GET /", "router.get('/', auth, async (req, res) => {"),
-    ("calls_api", "/api/tasks/${id}", "await axios.put(`/api/tasks/${id}`, data)"),
+    ("imports", "../server/server", "const app = require('../server/server');"),
+    ("imports", "../middleware/authMiddleware", "router.get('/me', require('../middleware/authMiddleware'), async (req, res) => {"),
+    ("imports", "react-router-dom", "import { BrowserRouter as Router, Routes, Route, Navigate } from 'react-router-dom';"),
+    ("imports", "react", "import React from 'react'"),
+    ("declares_route", "GET /me", "router.get('/me', require('../middleware/authMiddleware'), async (req, res) => {"),
+    ("declares_route", "POST /register", "router.post('/register', async (req, res) => {"),
+    ("declares_route", "DELETE /:id", "router.delete('/:id', auth, async (req, res) => {"),
+    ("calls_api", "/api/auth/me", "axios.get('/api/auth/me').catch(() => {"),
+    ("calls_api", "/api/tasks/${id}", "const res = await axios.put(`/api/tasks/${id}`, rest)"),
+    ("calls_api", "/api/users/${userId}", "await axios.delete(`/api/users/${userId}`)"),
 ]
 
 
@@ -14,8 +20,9 @@ def edges(df):
 
 
 def test_golden_lines(spark, files):
-    for kind, target, line in GOLDEN_LINES:
-        assert (kind, target) in edges(rel.relationships(files({"a.js": line}))), line
+    found = rel.relationships(files({f"f{i}.js": line for i, (_, _, line) in enumerate(GOLDEN_LINES)})).collect()
+    got = {(r.source, r.relationship, r.target, r.evidence) for r in found}
+    assert {(f"f{i}.js", *golden) for i, golden in enumerate(GOLDEN_LINES)} <= got
 
 
 def test_python_import_stays_on_its_line(spark, files):
