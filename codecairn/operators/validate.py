@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths, text, vocab
-from ..functions.lookups import array_literal
 from . import secrets
 
 # Patterns in the subset that Java and RE2 read alike.
