@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from codecairn.functions import text
-from codecairn.operators import graphs, inventory, prompts, relations, results, scoring, status, tech, validate
+from codecairn.operators import graphs, inventory, prompts, scoring, status, validate
 
 
 def flow_edges(spark, markdown):
