@@ -18,6 +18,12 @@ from codecairn.sources import archives, artifacts, tables, tree  # noqa: E402
 from codecairn.sources.scratch import scratch_dir  # noqa: E402
 from codecairn.streaming import streams  # noqa: E402
 
+try:  # the training-data operators can be removed as a whole
+    import corpus_pipeline
+    from codecairn.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -613,9 +619,13 @@ def queries() -> dict[str, Query]:
         "stream_secrets": q_stream_secrets,
         "stream_latest_status": q_stream_latest_status,
         "stream_relationships": q_stream_relationships,
+        **(llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     import oracle
-    return {name: oracle.compose(sql) for name, sql in oracle.QUERIES.items()}
+    extra = dict(llm.ORACLE_SQL) if llm else {}
+    if llm and corpus_pipeline.ORACLE_SQL:
+        extra["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {name: oracle.compose(sql) for name, sql in oracle.QUERIES.items()} | extra
