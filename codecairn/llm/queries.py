@@ -1,11 +1,12 @@
 """The dealt operators as queries, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from codecairn.llm import bpe, langid, line_rules, novelty
+from codecairn.llm import bpe, langid, line_rules, mixing, novelty
 
 QUERIES = {
     "op1_language": langid.query,
     "op2_line_rules": line_rules.query,
+    "op5_mixing": mixing.query,
     "op6_novelty": novelty.query,
     "op10_bpe": bpe.query,
 }
