@@ -1,14 +1,19 @@
 """The dealt operators as queries, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from codecairn.llm import bpe, langid, line_rules, mixing, novelty
+from codecairn.llm import bpe, langid, licenses, line_rules, mixing, neighbours, novelty, rollups
 
 QUERIES = {
     "op1_language": langid.query,
     "op2_line_rules": line_rules.query,
     "op5_mixing": mixing.query,
     "op6_novelty": novelty.query,
+    "op7_rollups": rollups.query,
+    "op8_licenses": licenses.query,
+    "op9_neighbours": neighbours.query,
     "op10_bpe": bpe.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_rollups": rollups.SQL,
+}
