@@ -38,16 +38,21 @@ def blocks(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]
         yield first, len(texts)
 
 
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words."""
+    inside = np.zeros(len(text) + 2, np.uint8)
+    inside[1:-1] = np.frombuffer(text.translate(_IS_WORD), np.uint8)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """One 64-bit hash per word of all texts, in order; the words of text i are ``[at[i], at[i + 1])``.
 
     A hash covers the length and the bytes of its word in blocks of eight.
     """
     joined = b"\n".join(texts)
-    inside = np.zeros(len(joined) + 2, np.uint8)
-    inside[1:-1] = np.frombuffer(joined.translate(_IS_WORD), np.uint8)
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    starts, ends = word_bounds(joined)
     at = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     padded = np.frombuffer(joined + bytes(15), np.uint8)
     eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(joined) + 8,), (1,))
