@@ -21,7 +21,9 @@ from codecairn.streaming import streams  # noqa: E402
 try:  # the training-data operators can be removed as a whole
     import corpus_pipeline
     from codecairn.llm import queries as llm
-except ImportError:
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "codecairn.llm"):
+        raise
     corpus_pipeline = llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
