@@ -1,12 +1,13 @@
 """The dealt operators as queries, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from codecairn.llm import bpe, langid, licenses, line_rules, mixing, neighbours, novelty, rollups, substrings
+from codecairn.llm import bpe, jaccard, langid, licenses, line_rules, mixing, neighbours, novelty, rollups, substrings
 
 QUERIES = {
     "op1_language": langid.query,
     "op2_line_rules": line_rules.query,
     "op3_substrings": substrings.query,
+    "op4_jaccard": jaccard.query,
     "op5_mixing": mixing.query,
     "op6_novelty": novelty.query,
     "op7_rollups": rollups.query,

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, types as T
 
 from codecairn.llm.tables import map_rows, typed
 
-#: texts -> (keys, index of the text of each key); keys are distinct within a text.
-Keys = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+#: Made once a task: a batch -> (nodes, keys, the index in nodes of each key); keys are distinct within a node of the batch.
+Keys = Callable[[], Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -61,26 +61,27 @@ def signed(keys: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def shared_keys(docs: DataFrame, node: str, text: str, keys_of: Keys, parts: int, hot: int) -> DataFrame:
-    """(node, key, n): a row per document and key that some other document has too, n null; and a row per key that
-    more than ``hot`` documents have, node null, with their number n.
+def shared_keys(docs: DataFrame, columns: list[str], keys_of: Keys, parts: int, hot: int) -> DataFrame:
+    """(node, key, n): a row per node and key that some other node has too, n null; and a row per key that more than
+    ``hot`` nodes have, node null, with about their number n.
 
-    Rows of null node or text are left out. ``text`` is a binary or string column.
+    A node that comes twice with a key in one task counts as two, so that a key may be listed for one node alone.
     """
     sent = T.StructType(typed("part int, block binary, node bigint, key bigint"))
 
     def collect(rows):
-        keys, at, ids = [], [], []
+        of = keys_of()
+        nodes, keys, at, n = [], [], [], 0
         for b in rows:
-            known = [(n, t) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if n is not None and t]
-            k, i = keys_of([t.encode() if isinstance(t, str) else t for _, t in known])
+            ids, k, i = of(b)
+            nodes.append(np.asarray(ids, np.int64))
             keys.append(k)
-            at.append((i + len(ids)).astype(np.uint32))
-            ids += [n for n, _ in known]
-        if not ids:
+            at.append((i + n).astype(np.uint32))
+            n += len(ids)
+        if not n:
             return
-        key, index, id_of = np.concatenate(keys), np.concatenate(at), np.array(ids, np.int64)
-        del keys, at
+        key, index, id_of = np.concatenate(keys), np.concatenate(at), np.concatenate(nodes)
+        del keys, at, nodes
         order = np.argsort(key)
         key, index = key[order], index[order]
         runs = groups(key)
@@ -121,8 +122,11 @@ def shared_keys(docs: DataFrame, node: str, text: str, keys_of: Keys, parts: int
         known = np.empty(0, np.int64), np.empty(0, np.int64)
         if nodes:
             node, key, size = np.concatenate(nodes), np.concatenate(keys), np.concatenate(sizes).astype(np.int64)
-            order = np.argsort(key)
+            order = np.lexsort((node, key))
             node, key, size = node[order], key[order], size[order]
+            again = np.zeros(len(key), bool)  # the same node from another task
+            again[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1]) & (size[1:] == 1) & (size[:-1] == 1)
+            node, key, size = node[~again], key[~again], size[~again]
             runs = groups(key)
             single = np.repeat(np.diff(runs) > 1, np.diff(runs)) & (size == 1)
             out.append((node[single], signed(key[single])))
@@ -133,4 +137,4 @@ def shared_keys(docs: DataFrame, node: str, text: str, keys_of: Keys, parts: int
         return pd.DataFrame({"node": pd.array(np.concatenate([node, none[1]]), "Int64"), "key": np.concatenate([key, known[0]]),
                              "n": pd.array(np.concatenate([none[0], known[1]]), "Int64")})
 
-    return map_rows(docs, [node, text], sent, collect).groupBy("part").applyInPandas(gather, "node bigint, key bigint, n bigint")
+    return map_rows(docs, columns, sent, collect).groupBy("part").applyInPandas(gather, "node bigint, key bigint, n bigint")

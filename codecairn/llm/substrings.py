@@ -83,6 +83,13 @@ def minimizer_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(index)
 
 
+def _keys_by_document():
+    def keys_of(batch):
+        known = [(n, t.encode()) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if n is not None and t]
+        return np.array([n for n, _ in known], np.int64), *minimizer_keys([t for _, t in known])
+    return keys_of
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id and the compressed text of every row, as it goes through a shuffle."""
     schema = T.StructType([*fields(docs, "doc_id"), *typed("packed binary")])
@@ -214,7 +221,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc, removed): by document, the segments (digest) with the places of their windows that an earlier one has."""
     spark = docs.sparkSession
     parts = max(8, docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = saved(shared_keys(docs, "doc_id", "text", minimizer_keys, parts, HOT), "shared-keys")
+    shared = saved(shared_keys(docs, ["doc_id", "text"], _keys_by_document, parts, HOT), "shared-keys")
     hot = shared.filter("node is null").select("key", F.lit(True).alias("hot"))
     rows = shared.filter("node is not null").select("node", "key")
     # a segment has (WINDOW - GRAM) / 2 + WINDOW words on average
