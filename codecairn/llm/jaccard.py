@@ -207,17 +207,54 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.unionAll(near_pairs(rest, docs, nodes))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, and node, which is equal for texts with equal sets."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node (equal for texts with equal sets), root (equal within a component); both null for empty sets."""
     profile = saved(profiles(docs), "profiles")
     nodes = saved(profile.filter("node is not null").groupBy("node").agg(
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
     roots = components(links(docs, nodes))
-    labelled = profile.select("doc_id", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return profile.select("doc_id", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    labelled = grouped(docs)
     least = labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "node")
+        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def with_node(docs: DataFrame) -> DataFrame:
+    """The rows with ``_node``."""
+    names = docs.columns
+
+    def task(rows):
+        for b in rows:
+            sets = shingle_sets([(t or "").encode() for t in b.column(names.index("text")).to_pylist()])
+            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, nodes], [*names, "_node"])
+
+    return map_rows(docs, names, T.StructType([*fields(docs, *names), *typed("_node bigint")]), task)
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does: that of the smallest doc_id (known ones
+    first), and among its rows the least text. Documents with empty sets are in no group and all stay.
+
+    The text is shuffled once; rows that share doc_id and set lie together after the join already.
+    """
+    names = docs.columns
+    key = F.xxhash64("doc_id").alias("_key")
+    labelled = grouped(docs).filter("node is not null")
+    stay = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("m")).select(
+        F.col("m.doc_id").alias("doc_id"), F.col("m.node").alias("_node")).select(key, "_node", F.lit(True).alias("_stays"))
+    alone = F.when(F.col("_node").isNull(), F.monotonically_increasing_id())  # a row without a set is matched with nothing
+    keyed = with_node(docs).select("*", F.coalesce(alone, F.lit(-1)).alias("_alone"), key).withColumn(
+        "_node", F.coalesce("_node", "_alone"))
+    kept = keyed.join(stay, ["_key", "_node"], "left").filter("_stays or _alone >= 0")
+    one = kept.groupBy("_key", "_node", "_alone").agg(F.min_by(F.struct(*names), "text").alias("row"), F.first(F.struct(*names)).alias("any"))
+    return one.select(F.coalesce("row", "any").alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return near_duplicates(table(spark, sf_dir, "documents"))
