@@ -31,7 +31,7 @@ SPELLINGS = {
     "judgement": "judgment", "labelling": "labeling", "labour": "labor", "licence": "license", "licences": "licenses",
     "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "offence": "offense", "optimise": "optimize",
     "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program",
-    "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization",
+    "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization",
     "whilst": "while", "wilful": "wilfull",
 }
 _SPELLINGS = {k.encode(): v.encode() for k, v in SPELLINGS.items()}
