@@ -275,9 +275,9 @@ def q_artifacts(spark, d):
 
 
 def q_run_analysis(spark, d):
-    """All four artifacts from one pass over the text, read back as one long table of counts."""
+    """All artifacts from one pass over the text, read back as one long table of counts."""
     out = scratch_dir(spark, "analysis")
-    analysis.run_analysis(spark, fixtures.files(spark, d), out)
+    analysis.run_analysis(spark, fixtures.files(spark, d), out, strip_root=False)
     counts = None
     for kind in artifacts.SCHEMAS:
         n = artifacts.read_artifact(spark, out, kind).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).select(
@@ -286,6 +286,13 @@ def q_run_analysis(spark, d):
     return counts
 
 
+def q_secret_findings(spark, d):
+    """All findings as an artifact, of which the report shows the first."""
+    out = scratch_dir(spark, "findings")
+    artifacts.write_artifacts({"secret_findings": secrets.scan_secrets(fixtures.files(spark, d))}, out)
+    return artifacts.read_artifact(spark, out, "secret_findings").select("repo_id", "file", _joined("secret_types"))
+
+
 # --- graphs -----------------------------------------------------------------------------------------
 
 _NODE = ["repo_id", "diagram", "node_id", "label", "shape"]
@@ -324,7 +331,14 @@ def q_flow_steps(spark, d):
 
 def _analysis(spark, d, tables=("important", "relationships", "tech")):
     """The analysis tables, made in one pass over the text and saved for the steps that follow."""
-    return analysis.saved_analysis(spark, fixtures.files(spark, d), tables)
+    return analysis.saved_analysis(spark, fixtures.files(spark, d), tables, strip_root=False)
+
+
+def q_analysis_of_wrapped_repo(spark, d):
+    """Uploads with one folder around everything: the analysis takes it off first."""
+    wrapped = fixtures.files(spark, d).withColumn("path", F.concat(F.lit("upload/"), "path"))
+    best = analysis.saved_analysis(spark, wrapped, ("important",)).important
+    return best.select("repo_id", *_long("rank"), "path", "reason_important", *_long("score"), "language", "category")
 
 
 def q_diagram_text(spark, d):
@@ -583,6 +597,8 @@ def queries() -> dict[str, Query]:
         "decode_text": q_decode_text,
         "artifacts": q_artifacts,
         "run_analysis": q_run_analysis,
+        "analysis_of_wrapped_repo": q_analysis_of_wrapped_repo,
+        "secret_findings": q_secret_findings,
         "results_payload": q_results_payload,
         "output_index": q_output_index,
         "output_section": lambda s, d: results.output_section(fixtures.sections(s, d), "sections/06_main_user_flow"),

@@ -95,7 +95,7 @@ PLAN_ANSWER_SQL = """CASE WHEN length(repo_id) % 2 = 0 THEN concat('sorry, no pl
 
 
 def _view(spark: SparkSession, sf_dir: str, table: str, sql: str, source: DataFrame | None = None) -> DataFrame:
-    (source if source is not None else read_table(spark, f"{sf_dir}/{table}.parquet")).createOrReplaceTempView(table)
+    (source if source is not None else read_table(spark, f"{sf_dir}/{table}.parquet", int(spark.conf.get("codecairn.spread", "0")) or None)).createOrReplaceTempView(table)
     return spark.sql(sql)
 
 

@@ -167,7 +167,7 @@ def entity_graph(important: DataFrame, max_entities: int = MAX_ENTITIES) -> tupl
     Repositories whose model files name no entity get two default ones; without model files, no rows.
     """
     models = important.filter(contains_any(F.lower("path"), MODEL_PATHS)) \
-        .select("repo_id", entity_names(F.col("content")).alias("names"))
+        .select("repo_id", entity_names(F.coalesce("content", F.lit(""))).alias("names"))
     found = models.select("repo_id", F.explode("names").alias("name")).distinct()
     none_found = models.groupBy("repo_id").agg(F.max(F.size("names")).alias("n")).filter("n = 0") \
         .select("repo_id", F.posexplode(array_literal(vocab.DEFAULT_ENTITIES)).alias("i", "name")) \

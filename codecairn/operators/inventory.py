@@ -50,10 +50,10 @@ def strip_repo_root(files: DataFrame) -> DataFrame:
     """
     top = F.coalesce(paths.top_dir(F.col("path")), F.lit(""))  # '' stands for a root file
     first = F.substring_index("path", "/", 1)
-    roots = (files.filter(~first.isin(vocab.SKIP_DIRS["inventory"]))
-             .groupBy("repo_id").agg(F.min(top).alias("_lo"), F.max(top).alias("_hi"))
-             .filter((F.col("_lo") == F.col("_hi")) & (F.col("_lo") != ""))
-             .select("repo_id", F.col("_lo").alias("_root")))
+    # Distinct top folders by hash first: few rows are left for the minimum over strings.
+    tops = files.filter(~first.isin(vocab.SKIP_DIRS["inventory"])).select("repo_id", top.alias("_top")).distinct()
+    roots = (tops.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_n"), F.first("_top").alias("_root"))
+             .filter("_n = 1 and _root <> ''").select("repo_id", "_root"))
     prefix = F.concat("_root", F.lit("/"))
     inside = F.col("_root").isNotNull() & F.startswith("path", prefix)
     return (files.join(roots, "repo_id", "left")

@@ -429,4 +429,4 @@ def failed_section(section: Column, error: Column) -> Column:
 
 def sections_from_answers(answers: DataFrame) -> DataFrame:
     """(repo_id, section, markdown) from the output of ``apply_text_model`` on section prompts."""
-    return answers.select("repo_id", "section", F.coalesce("answer", failed_section(F.col("section"), F.col("error"))).alias("markdown"))
+    return answers.select("repo_id", "section", F.coalesce("answer", failed_section(F.col("section"), F.coalesce("error", F.lit("the model gave no answer")))).alias("markdown"))

@@ -3,21 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Up to this n, Spark itself cuts every map task to n rows per group before the
-# shuffle (WindowGroupLimit, spark.sql.optimizer.windowGroupLimitThreshold).
-MAP_SIDE_LIMIT = 1000
-
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per ``keys`` in ``order``, numbered from 1 in ``rank``.
 
-    For a large n the cut happens twice, first per input partition: a row among the
-    first n of its group is always among the first n of its group's part.
+    Spark cuts every map task to n rows per group before the shuffle (WindowGroupLimit) for n up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``, by default 1000; raise it for larger n.
     """
-    if n > MAP_SIDE_LIMIT:
-        part = Window.partitionBy(*keys, "_part").orderBy(*order)
-        df = (df.withColumn("_part", F.spark_partition_id())
-              .withColumn("_cut", F.row_number().over(part))
-              .filter(F.col("_cut") <= n).drop("_part", "_cut"))
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)

@@ -29,9 +29,13 @@ RULES = [
     SecretRule("AWS Access Key ID", r"(\b)((?:AKIA|ASIA)[0-9A-Z]{16})(\b)", True, ("AKIA", "ASIA")),
     SecretRule("GitHub Token", r"(\b)(gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})(\b)", True,
                ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
-    SecretRule("Private Key", r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)([^-]*)()", True, ("-----BEGIN ",)),
+    SecretRule("Private Key", r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)((?s:.*?))(-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\z)", True, ("-----BEGIN ",)),
     SecretRule("JSON Web Token", r"(\b)(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})()", True, ("eyJ",)),
     SecretRule("URL With Password", r"([a-z][a-z0-9+.-]*://[^\s:@/]+:)([^\s:@/]+)(@)", True, ("://",)),
+    # As in .env files: one unquoted assignment on a line of its own.
+    SecretRule("Environment Assignment",
+               r"""((?m:^)(?:export[ \t]+)?[A-Z][A-Z0-9_]*(?:KEY|SECRET|TOKEN|PASSWORD)[A-Z0-9_]*=)([^\s"'#$(){}]{8,})((?m:[ \t]*$))""", False,
+               ("KEY", "SECRET", "TOKEN", "PASSWORD")),
     SecretRule("Slack Token", r"(\b)(xox[abprs]-[A-Za-z0-9-]{10,})()", True, ("xox",)),
 ]
 MASK = "****"

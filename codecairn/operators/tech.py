@@ -67,8 +67,8 @@ _NPM_SECTIONS = ["dependencies", "devDependencies", "peerDependencies"]
 
 def _npm_document(content: Column) -> Column:
     """Dependency sections of a package.json; null unless the text is exactly one JSON document."""
-    # The brackets make trailing text an error instead of being ignored.
-    docs = F.from_json(F.concat(F.lit("["), content, F.lit("]")), _NPM, {"allowSingleQuotes": "false"})
+    # The brackets make trailing text an error instead of being ignored. A byte-order mark is no text.
+    docs = F.from_json(F.concat(F.lit("["), F.ltrim(content, F.lit("\ufeff")), F.lit("]")), _NPM, {"allowSingleQuotes": "false"})
     return F.when(F.size(docs) == 1, F.get(docs, F.lit(0)))
 
 

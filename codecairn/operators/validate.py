@@ -47,9 +47,13 @@ def _label_array(diagram: Column) -> Column:
     return F.array_union(boxes, F.regexp_extract_all(diagram, F.lit(ACTOR), F.lit(1)))
 
 
+def _run(df: DataFrame) -> list[str]:
+    return [c for c in ("run_id",) if c in df.columns]
+
+
 def diagram_labels(diagrams: DataFrame) -> DataFrame:
-    """Distinct labels and actor names per diagram: (repo_id, diagram, label). Narrow."""
-    return diagrams.select("repo_id", "diagram", F.explode(_label_array(F.col("text"))).alias("label"))
+    """Distinct labels and actor names per diagram: (repo_id, run_id if there is one, diagram, label). Narrow."""
+    return diagrams.select("repo_id", *_run(diagrams), "diagram", F.explode(_label_array(F.col("text"))).alias("label"))
 
 
 def known_components(important: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,16 +69,17 @@ def unresolved_components(labels: DataFrame, known: DataFrame) -> DataFrame:
     The labels of one repository come from its few diagrams, so they travel as one array and
     every component is tested against it in its own row: work is spread by component, and
     only labels that match are emitted, combined on the map side. No pair of label and
-    component is ever a row.
+    component is ever a row. Labels of different generation runs (``run_id``) are judged apart.
     """
+    keys = ["repo_id", *_run(labels)]
     open_labels = labels.filter(~F.lower("label").isin(vocab.GENERIC_COMPONENTS))
-    per_repo = open_labels.groupBy("repo_id").agg(F.collect_set(F.lower("label")).alias("_labels"))
+    per_repo = open_labels.groupBy(*keys).agg(F.collect_set(F.lower("label")).alias("_labels"))
     component = F.col("component")
     hit = F.filter("_labels", lambda x: F.contains(component, x) | F.contains(x, component))
-    matched = known.join(per_repo, "repo_id").select("repo_id", F.explode(hit).alias("_label")).distinct()
+    matched = known.join(per_repo, "repo_id").select(*keys, F.explode(hit).alias("_label")).distinct()
     return open_labels.withColumn("_label", F.lower("label")) \
-        .join(matched, ["repo_id", "_label"], "left_anti") \
-        .select("repo_id", "diagram", F.col("label").alias("component")).distinct()
+        .join(matched, [*keys, "_label"], "left_anti") \
+        .select(*keys, "diagram", F.col("label").alias("component")).distinct()
 
 
 def masked_sections(sections: DataFrame) -> DataFrame:
@@ -95,14 +100,15 @@ def validation_report(sections: DataFrame, inv: DataFrame, unresolved: DataFrame
         F.array_sort(F.collect_list(F.struct(name.alias("section"), "path"))).alias("unresolved_file_paths"))
     leaks = masked.filter(F.size("secret_types") > 0).groupBy("repo_id", "run_id").agg(
         F.array_sort(F.collect_list(F.struct(name.alias("file"), "secret_types"))).alias("leaked_secrets_detected"))
-    bad_parts = unresolved.groupBy("repo_id").agg(
+    of_run = ["repo_id", *_run(unresolved)]
+    bad_parts = unresolved.groupBy(*of_run).agg(
         F.array_sort(F.collect_list(F.struct("diagram", "component"))).alias("unresolved_diagram_components"))
     runs = sections.select("repo_id", "run_id").distinct()
     empty = {"unresolved_file_paths": "array<struct<section:string,path:string>>",
              "unresolved_diagram_components": "array<struct<diagram:string,component:string>>",
              "leaked_secrets_detected": "array<struct<file:string,secret_types:array<string>>>"}
     return runs.join(bad_paths, ["repo_id", "run_id"], "left").join(leaks, ["repo_id", "run_id"], "left") \
-        .join(bad_parts, "repo_id", "left") \
+        .join(bad_parts, of_run, "left") \
         .select("repo_id", "run_id", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in empty.items()])
 
 

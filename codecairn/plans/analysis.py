@@ -75,13 +75,18 @@ def analyse(facts: DataFrame) -> Analysis:
 TABLES = ("important", "relationships", "tech", "findings", "secrets_report")
 
 
-def saved_analysis(spark: SparkSession, files: DataFrame, tables: tuple = TABLES, path: str | None = None) -> Analysis:
+def saved_analysis(spark: SparkSession, files: DataFrame, tables: tuple = TABLES, path: str | None = None,
+                   strip_root: bool = True) -> Analysis:
     """The analysis with its facts and the named tables written once and read back.
 
+    ``strip_root`` takes off a top folder that wraps a whole repository, as uploads have it.
+
     Later steps use the stack, the important files and the edges many times; from written
     tables each use is a scan of a small table instead of the analysis all over again.
     """
     path = path or scratch_dir(spark, "analysis")
+    if strip_root:
+        files = inventory.strip_repo_root(files)
     result = analyse(write_facts(spark, files, f"{path}/facts"))
     saved = {}
     for name in tables:
@@ -90,13 +95,18 @@ def saved_analysis(spark: SparkSession, files: DataFrame, tables: tuple = TABLES
     return result._replace(**saved)
 
 
-def run_analysis(spark: SparkSession, files: DataFrame, directory: str) -> Analysis:
-    """Analyses a corpus and writes its four artifacts below ``directory``."""
-    result = saved_analysis(spark, files)
+def run_analysis(spark: SparkSession, files: DataFrame, directory: str, strip_root: bool = True) -> Analysis:
+    """Analyses a corpus and writes its artifacts below ``directory``.
+
+    ``secrets_report`` is the short report; all findings and high-risk files are artifacts of their own.
+    """
+    result = saved_analysis(spark, files, strip_root=strip_root)
     write_artifacts({
         "tech": result.tech,
         "important_files": result.important.drop("content"),
         "relationships": result.relationships.select("repo_id", "source", "relationship", "target", "evidence"),
         "secrets_report": result.secrets_report,
+        "secret_findings": result.findings,
+        "high_risk_files": secrets.high_risk_files(result.findings),
     }, directory)
     return result

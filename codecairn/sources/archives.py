@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +18,20 @@ _MEMBERS = "archive string, repo_id string, path string, bytes binary, error str
 _FLUSH_BYTES = 16 << 20
 
 
+_DAMAGE = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, lzma.LZMAError, NotImplementedError, RuntimeError, EOFError, OSError, ValueError)
+
+
+def _place(name: str) -> tuple[str, ...]:
+    """Where a member lands: its parts without '.', empty and '..' ones."""
+    out: list[str] = []
+    for part in name.split("/"):
+        if part == "..":
+            out = out[:-1] if out else [name, part]  # leaves the archive: a place of its own, dropped later
+        elif part not in ("", "."):
+            out.append(part)
+    return tuple(out)
+
+
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     skipped = set(vocab.SKIP_DIRS["inventory"])
     for batch in batches:
@@ -23,17 +39,23 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows, held = [], 0
             try:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for member in z.infolist():
-                        name = member.filename.replace("\\", "/")
+                    names = [(m, m.filename.replace("\\", "/")) for m in z.infolist() if not m.is_dir()]
+                    last = {_place(name): m for m, name in names}  # a later member of the same place overwrites
+                    for member, name in names:
                         # Skipped folders are dropped before they are decompressed.
-                        if member.is_dir() or skipped & set(name.split("/")):
+                        if skipped & set(name.split("/")) or last[_place(name)] is not member:
+                            continue
+                        try:
+                            data_of_member = z.read(member)
+                        except _DAMAGE as e:  # only this member is lost
+                            rows.append((archive, repo_id, name, None, f"{type(e).__name__}: {e}"))
                             continue
-                        rows.append((archive, repo_id, name, z.read(member), None))
-                        held += member.file_size
+                        rows.append((archive, repo_id, name, data_of_member, None))
+                        held += len(data_of_member)
                         if held > _FLUSH_BYTES:
                             yield _frame(rows)
                             rows, held = [], 0
-            except (zipfile.BadZipFile, zipfile.LargeZipFile, NotImplementedError, RuntimeError, EOFError, OSError, ValueError) as e:
+            except _DAMAGE as e:
                 rows.append((archive, repo_id, None, None, f"{type(e).__name__}: {e}"))
             yield _frame(rows)
 
@@ -45,7 +67,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def unpack_archives(archives: DataFrame) -> DataFrame:
     """Member rows of (archive, repo_id, content) rows: (archive, repo_id, path, bytes, error).
 
-    A corrupt archive gives one row with ``error``; members read before the damage are kept.
+    An archive that cannot be opened gives one row with ``error`` and no path, a damaged member one with its path; all other
+    members are kept. Of members of the same normalised path only the last one counts, as on a disk.
     """
     return archives.select("archive", "repo_id", "content").mapInPandas(_unpack, _MEMBERS)
 
@@ -61,7 +84,8 @@ def files_of(members: DataFrame) -> DataFrame:
 
 
 def bad_archives(members: DataFrame) -> DataFrame:
-    return members.filter("error is not null").select("archive", "repo_id", "error")
+    """(archive, repo_id, path, error); path is null where the archive as a whole cannot be read."""
+    return members.filter("error is not null").select("archive", "repo_id", "path", "error")
 
 
 def archive_rows(binary: DataFrame) -> DataFrame:

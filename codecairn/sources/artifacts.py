@@ -1,4 +1,4 @@
-"""Analysis artifacts as JSON, one folder per kind, partitioned by repository."""
+"""Analysis artifacts as JSON, one folder per kind."""
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
@@ -12,6 +12,8 @@ SCHEMAS = {
     "relationships": "repo_id string, source string, relationship string, target string, evidence string",
     "secrets_report": "repo_id string, total_files_scanned bigint, files_with_secrets bigint, secret_types_found array<string>, "
                       "high_risk_count bigint, findings array<struct<file:string,secret_types:array<string>>>",
+    "secret_findings": "repo_id string, file string, secret_types array<string>",
+    "high_risk_files": "repo_id string, file string",
 }
 
 
@@ -20,16 +22,17 @@ def _check(kind: str) -> None:
         raise ValueError(f"artifact must be one of: {', '.join(sorted(SCHEMAS))}")
 
 
-def write_artifacts(frames: dict[str, DataFrame], directory: str) -> None:
-    """Writes every frame below ``directory/<kind>/repo_id=…``.
+def write_artifacts(frames: dict[str, DataFrame], directory: str, by_repository: bool = False) -> None:
+    """Writes every frame below ``directory/<kind>``, the rows of a repository together in few files.
 
-    The rebalance hint gathers a repository in few files and lets the adaptive planner split
-    a repository too large for one task.
+    ``by_repository`` makes a folder per repository, ``repo_id=…``: handy for thousands, too many folders for millions.
+    The rebalance hint lets the adaptive planner split a repository too large for one task.
     """
     for kind in frames:
         _check(kind)
     for kind, df in frames.items():
-        df.hint("rebalance", "repo_id").write.mode("overwrite").partitionBy("repo_id").json(f"{directory}/{kind}")
+        writer = df.hint("rebalance", "repo_id").write.mode("overwrite")
+        (writer.partitionBy("repo_id") if by_repository else writer).json(f"{directory}/{kind}")
 
 
 def read_artifact(spark: SparkSession, directory: str, kind: str) -> DataFrame:

@@ -4,15 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over the cores when it has fewer splits than the cluster has cores.
-
-    Text analysis is bound by CPU, and a table of one row group would run in one task. A
-    table with enough splits, any large one, is read as it is and never shuffled here.
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table, in the splits of its files; spread over ``partitions`` only where the caller says so,
+    as for a small table of one row group, which would be analysed by one task.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions) if partitions else df
 
 
 def files_from_table(df: DataFrame, repo: str = "repo_id", path: str = "path", content: str = "content") -> DataFrame:

@@ -16,8 +16,11 @@ def read_tree(spark: SparkSession, root: str, max_bytes: int | None = None) -> D
     binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if max_bytes is not None:
         binary = binary.filter(F.col("length") <= max_bytes)
-    base = root.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
-    inside = F.substring_index("path", base, -1)
+    # Paths come qualified and start with the qualified root, whatever folders inside are called.
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(root)
+    base = folder.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+    inside = F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))
     split = binary.select(
         F.substring_index(inside, "/", 1).alias("repo_id"),
         F.when(F.contains(inside, F.lit("/")), F.substring(inside, F.locate("/", inside) + 1, F.length(inside))).alias("path"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import inventory, relations, secrets
-from ..sources.archives import archive_rows, files_of, unpack_archives
+from ..sources.archives import archive_rows, bad_archives, files_of, unpack_archives
 from ..sources.scratch import scratch_dir
 
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
@@ -21,10 +21,20 @@ def stream_table(spark: SparkSession, path: str, max_files_per_batch: int | None
     return reader.parquet(path)
 
 
-def stream_archives(spark: SparkSession, directory: str) -> DataFrame:
-    """Files of ZIP archives landing in a folder."""
+def stream_members(spark: SparkSession, directory: str) -> DataFrame:
+    """Members and errors of ZIP archives landing in a folder; pass them to ``files_of`` and ``bad_archives``."""
     binary = spark.readStream.format("binaryFile").schema(_BINARY).option("pathGlobFilter", "*.zip").load(directory)
-    return files_of(unpack_archives(archive_rows(binary)))
+    return unpack_archives(archive_rows(binary))
+
+
+def stream_archives(spark: SparkSession, directory: str) -> DataFrame:
+    """Files of ZIP archives landing in a folder. What could not be read is in ``stream_bad_archives``."""
+    return files_of(stream_members(spark, directory))
+
+
+def stream_bad_archives(spark: SparkSession, directory: str) -> DataFrame:
+    """Archives and members landing in a folder that could not be read."""
+    return bad_archives(stream_members(spark, directory))
 
 
 def stream_inventory(files: DataFrame) -> DataFrame:

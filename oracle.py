@@ -537,8 +537,11 @@ QUERIES |= {
     "read_tree": "SELECT repo_id, CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes, CAST(sum(strlen(content) + 1) AS BIGINT) AS text_bytes FROM files GROUP BY 1",
     "decode_text": "SELECT repo_id, path, CAST(length(content) + 2 AS BIGINT) AS n_chars, chr(65533) || 'A' AS tail FROM files",
     "artifacts": QUERIES["important_files"],
+    "analysis_of_wrapped_repo": QUERIES["important_files"],
     "run_analysis": "SELECT repo_id, 'tech' AS kind, 1 AS n FROM repos UNION ALL SELECT repo_id, 'secrets_report', 1 FROM repos "
-                    "UNION ALL SELECT repo_id, 'important_files', count(*) FROM imp GROUP BY 1 UNION ALL SELECT repo_id, 'relationships', count(*) FROM edges GROUP BY 1",
+                    "UNION ALL SELECT repo_id, 'important_files', count(*) FROM imp GROUP BY 1 UNION ALL SELECT repo_id, 'relationships', count(*) FROM edges GROUP BY 1 "
+                    f"UNION ALL SELECT repo_id, 'secret_findings', count(*) FROM findings GROUP BY 1 UNION ALL SELECT repo_id, 'high_risk_files', count(*) FROM findings WHERE list_has_any(types, {HIGH}) GROUP BY 1",
+    "secret_findings": "SELECT repo_id, file, array_to_string(types, '|') AS secret_types FROM findings",
     "results_payload": """SELECT r.repo_id, r.run_id, md5(m.t) AS sections, md5(d.t) AS diagrams, coalesce(t.t, '') AS tech_summary, r.n AS n_unresolved FROM report r
         JOIN (SELECT repo_id, run_id, string_agg(section || '=' || markdown, '|' ORDER BY section) AS t FROM masked GROUP BY 1, 2) m USING (repo_id, run_id)
         JOIN (SELECT repo_id, run_id, string_agg(diagram || '=' || text, '|' ORDER BY diagram) AS t FROM (SELECT repo_id, run_id, diagram, text FROM flow_text

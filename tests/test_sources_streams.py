@@ -1,4 +1,6 @@
 import io
+import random
+import warnings
 import zipfile
 
 import pytest
@@ -106,3 +108,55 @@ def test_stream_archives(spark, tmp_path):
     (tmp_path / "zips" / "one.zip").write_bytes(zipped({"a.py": "import os"}))
     out = streams.run_append(streams.stream_edges(streams.stream_archives(spark, str(tmp_path / "zips"))), str(tmp_path / "run"))
     assert [(r.repo_id, r.source, r.target) for r in out.collect()] == [("one", "a.py", "os")]
+
+
+def test_repeated_and_damaged_members(spark):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z, warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        z.writestr("a.py", "old")
+        z.writestr("bad.py", random.Random(0).randbytes(3000))
+        z.writestr("./a.py", "new")
+        z.writestr("c.py", "kept")
+        at = z.getinfo("bad.py").header_offset + 60
+    data = bytearray(buffer.getvalue())
+    data[at:at + 40] = b"\xff" * 40
+    members = archives.unpack_archives(spark.createDataFrame([("z", "r", bytes(data))], "archive string, repo_id string, content binary"))
+    assert {(r.path, r.content) for r in archives.files_of(members).collect()} == {("a.py", "new"), ("c.py", "kept")}
+    assert [(r.archive, r.path) for r in archives.bad_archives(members).collect()] == [("z", "bad.py")]
+
+
+def test_tree_is_cut_at_its_root_only(spark, tmp_path, monkeypatch):
+    for place in ("data/r1/src/data/x/a.py", "data/r1/mydata/b.py", "data/r2/data/c.py"):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_text(place)
+    got = {(r.repo_id, r.path, r.content) for r in tree.read_tree(spark, str(tmp_path / "data")).collect()}
+    assert got == {("r1", "src/data/x/a.py", "data/r1/src/data/x/a.py"), ("r1", "mydata/b.py", "data/r1/mydata/b.py"), ("r2", "data/c.py", "data/r2/data/c.py")}
+
+
+def test_bad_archives_on_a_stream(spark, tmp_path):
+    (tmp_path / "zips").mkdir()
+    (tmp_path / "zips" / "one.zip").write_bytes(zipped({"a.py": "import os"}))
+    (tmp_path / "zips" / "two.zip").write_bytes(zipped({"a.py": "import os"})[:20])
+    bad = streams.run_append(streams.stream_bad_archives(spark, str(tmp_path / "zips")), str(tmp_path / "run"))
+    assert [r.repo_id for r in bad.collect()] == ["two"]
+
+
+def test_wrapped_upload_and_all_findings(spark, files, tmp_path):
+    contents = {f"top/src/f{i:02}.py": 'token = "abcdefgh12"' for i in range(12)} | {"top/yarn.lock": "", "top/package.json": '\ufeff{"dependencies": {"react": "1"}}'}
+    a = analysis.run_analysis(spark, files(contents), str(tmp_path / "out"))
+    assert artifacts.read_artifact(spark, str(tmp_path / "out"), "secret_findings").count() == 12
+    assert {r.source for r in a.relationships.collect()} == set() and "src/f00.py" in {r.path for r in a.inventory.collect()}
+    row = a.tech.first()
+    assert row.frontend_frameworks == ["React"] and row.package_managers == ["Yarn"]
+    artifacts.write_artifacts({"secret_findings": a.findings}, str(tmp_path / "by"), by_repository=True)
+    assert (tmp_path / "by" / "secret_findings" / "repo_id=r").is_dir()
+    assert artifacts.read_artifact(spark, str(tmp_path / "by"), "secret_findings").count() == 12
+
+
+def test_labels_of_runs_are_apart(spark):
+    from codecairn.operators import validate
+    diagrams = spark.createDataFrame([("r", "1", "d", 'x["ghost"]'), ("r", "2", "d", 'x["main.py"]')], "repo_id string, run_id string, diagram string, text string")
+    known = spark.createDataFrame([("r", "src/main.py")], "repo_id string, component string")
+    got = validate.unresolved_components(validate.diagram_labels(diagrams), known)
+    assert [(r.run_id, r.component) for r in got.collect()] == [("1", "ghost")]

@@ -65,6 +65,7 @@ SAMPLES = {
     "JSON Web Token": "ey" + "Jabcdefghij.abcdefghij.abcdefghij",
     "URL With Password": "postgres://app:pw1@db/x",
     "Slack Token": "xo" + "xb-1234567890-abc",
+    "Environment Assignment": "A=1\nSERVICE_TOKEN=abcdefgh12\n",
 }
 
 
@@ -96,9 +97,20 @@ def test_secrets_report(spark, files):
     assert [f.file for f in r.findings] == ["a"] + [f"f{i:02}.py" for i in range(9)]
 
 
-def test_two_phase_top_n_is_exact(spark):
+def test_large_top_n_is_exact(spark):
     df = spark.range(20000).selectExpr("id % 3 as g", "(id * 7919) % 20011 as v").repartition(6)
     got = top_n(df, ["g"], [F.col("v")], 1500)
     want = {g: sorted((i * 7919) % 20011 for i in range(20000) if i % 3 == g)[:1500] for g in range(3)}
     for g in range(3):
         assert [r.v for r in got.filter(f"g = {g}").orderBy("rank").collect()] == want[g]
+
+
+def test_whole_private_key_is_masked(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nabc-def\n-----END RSA PRIVATE KEY-----\nafter"
+    cut = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nbody-without-end"
+    env = "A=1\nexport API_KEY=abcd1234efgh\nSECRET=short"
+    df = spark.createDataFrame([(1, key), (2, cut), (3, env)], "i int, t string")
+    got = {r.i: r.masked for r in secrets.mask_secrets(df, "t").collect()}
+    assert got[1] == "-----BEGIN RSA PRIVATE KEY-----****-----END RSA PRIVATE KEY-----\nafter"
+    assert got[2] == "-----BEGIN PGP PRIVATE KEY BLOCK-----****"
+    assert got[3] == "A=1\nexport API_KEY=****\nSECRET=short"
