@@ -15,6 +15,8 @@ Texts of fewer words than a window lose nothing. Other columns are not read.
 """
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -55,16 +57,22 @@ class Runs:
         stop = np.flatnonzero(valid & ~np.concatenate([valid[1:] & ~start[1:], [False]]))
         self.last, self.key, self.doc = stop, key[self.first], doc[self.first]
 
-    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """A hash of the words of each range of windows, from one running sum."""
+    @cached_property
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the word hashes times powers, and inverse powers; once for all texts of a block."""
         n = len(self.words)
-        if not n or not len(first):
-            return np.empty(0, np.uint64)
         power, inverse = (np.full(n + 1, base, np.uint64) for base in (_BASE, _INVERSE))
         total = np.zeros(n + 1, np.uint64)
         power[0] = inverse[0] = 1
         power, inverse = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
         np.cumsum(mix(self.words) * power[:n], out=total[1:])
+        return total, inverse
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash of the words of each range of windows, from the running sums."""
+        if not len(first):
+            return np.empty(0, np.uint64)
+        total, inverse = self._sums
         end = last + self.window
         return mix((total[end] - total[first]) * inverse[first] + mix(end - first))
 
