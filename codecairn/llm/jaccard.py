@@ -10,7 +10,7 @@ Inside a cell documents are the pivots. Every document is compared with its cell
 region, and connected, so that pairs within a region need no comparison. Between regions, the triangle inequality in a
 space that is cheaper than the documents decides what can be near at all: shingles fall into hash classes, and the counts
 of two documents by class differ by at most the symmetric difference of the sets. What passes is compared on the
-whole texts. Cells with many regions left are cut again around further pivots as long as that links anything; at last
+whole texts. Cells with many regions left are cut again around further pivots as long as that links any of them; at last
 the documents outside the largest region of a cell are compared with those of the other regions.
 
 Rows: one per input row. A null text or one without words has an empty set: n_shingles 0, a component of its own. With fewer
@@ -185,19 +185,21 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     late = np.sort(np.array([r["key"] for r in hot.select("key").toLocalIterator()], np.int64).view(np.uint64))
     rows = saved(cells(docs, late, parts).filter("node is not null").select("node", "key"), "cells")
     found = seen = rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    roots, turn = rows.select("node", F.col("node").alias("root")).limit(0), 0
-    left = rows.withColumn("root", F.col("node"))
+    left, turn = rows.withColumn("root", F.col("node")), 0
+    crowded = left
     while True:
-        pivots = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"),
-                                                        F.col("root").alias("pivot_root"))).alias("p")).select("key", "p.pivot", "p.pivot_root")
-        star = left.join(pivots, "key").filter("root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        pivots = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"),
+                                                           F.col("root").alias("pivot_root"))).alias("p")).select("key", "p.pivot", "p.pivot_root")
+        star = crowded.join(pivots, "key").filter("root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         star = saved(ordered(star).join(seen, ["a", "b"], "left_anti"), "star")
         near = near_pairs(star, docs, nodes)
         seen, found, turn = seen.unionAll(star), found.unionAll(near), turn + 1
-        roots = components(found)
-        left = saved(regions(rows, roots), "regions")
-        many = left.groupBy("key").agg(F.count_distinct("root").alias("regions")).filter(F.col("regions") > CELL).limit(1).count()
-        if not many or not near.limit(1).count():
+        linked = near.limit(1).count()
+        if linked:
+            left = saved(regions(rows, components(found)), "regions")
+        crowd = left.groupBy("key").agg(F.count_distinct("root").alias("regions")).filter(F.col("regions") > CELL).select("key")
+        crowded = saved(left.join(crowd, "key", "left_semi"), "crowded")
+        if not linked or not crowded.limit(1).count():
             break
     sizes = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("largest"))
