@@ -24,10 +24,15 @@ def skip_dirs(df: DataFrame, purpose: str = "inventory", dirs: list[str] | None
     looks at folders only (``match="dirs"``), the others also at the file name
     (``match="any_part"``).
     """
+    return df.filter(outside(purpose, dirs, match))
+
+
+def outside(purpose: str = "inventory", dirs: list[str] | None = None, match: str | None = None) -> Column:
+    """Whether ``path`` is outside the folders that ``skip_dirs`` drops."""
     names = vocab.SKIP_DIRS[purpose] if dirs is None else dirs
     match = match or ("dirs" if purpose == "inventory" and dirs is None else "any_part")
     col = paths.dirs(F.col("path")) if match == "dirs" else paths.parts(F.col("path"))
-    return df.filter(~F.arrays_overlap(col, array_literal(names)))
+    return ~F.arrays_overlap(col, array_literal(names))
 
 
 def source_files(df: DataFrame, extensions: list[str] | None = None) -> DataFrame:

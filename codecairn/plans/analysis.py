@@ -45,9 +45,10 @@ def file_facts(files: DataFrame) -> DataFrame:
     return scored.select(
         "repo_id", "path", "size",
         F.when(_content_is_reused(), F.col("content")).alias("content"),
-        F.when(is_source, relations.edge_array()).alias("edges"),
+        # Files in dependency and build folders are not matched at all.
+        F.when(is_source & inventory.outside("relations"), relations.edge_array()).alias("edges"),
         secrets.secret_types(F.col("content")).alias("secret_types"),
-        F.when(is_source, tech.ai_labels(F.col("content"))).alias("ai_labels"))
+        F.when(is_source & inventory.outside("sources"), tech.ai_labels(F.col("content"))).alias("ai_labels"))
 
 
 def write_facts(spark: SparkSession, files: DataFrame, path: str | None = None) -> DataFrame:
