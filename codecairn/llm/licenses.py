@@ -112,11 +112,10 @@ def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) ->
 def digests(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     """doc_id, digest of the whole text, and the licences that its notice lines name (sorted, comma-joined)."""
     forms = {canonical(line.encode()): name for line, name in (NOTICES if notices is None else notices).items()}
-    longest = max(map(len, forms), default=0) * 4
     schema = T.StructType([*fields(docs, "doc_id"), *typed("digest string, notices string")])
 
     def lines(text: str | None) -> str:
-        found = {forms[f] for line in (text or "").encode().split(b"\n") if len(line) <= longest and (f := canonical(line)) in forms}
+        found = {forms[f] for line in (text or "").encode().split(b"\n") if (f := canonical(line)) in forms}
         return ",".join(sorted(found))
 
     def task(rows):
@@ -136,3 +135,29 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), known_licences(spark))
+
+
+def _sql() -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    line = r"(?:^|\n)[ \t#*/;-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*"
+    spellings = "MAP {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in SPELLINGS.items()) + "}"
+
+    def form(text: str) -> str:
+        low = f"regexp_replace(translate({text}, '{upper}', '{lower}'), {quote(line)}, chr(10), 'g')"
+        words = rf"list_filter(string_split(regexp_replace({low}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]', ' ', 'g'), ' '), lambda w: w <> '')"
+        return f"array_to_string(list_transform({words}, lambda w: coalesce({spellings}[w], w)), ' ')"
+
+    known = ", ".join(f"({quote(d)}, {quote(n)})" for n, d in sorted((n, digest(t)) for n, t in TEXTS.items()))
+    notices = ", ".join(f"({quote(canonical(k.encode()).decode())}, {quote(v)})" for k, v in NOTICES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {form("coalesce(text, '')")} AS form FROM documents),
+known(digest, license_id) AS (VALUES {known}), notices(form, name) AS (VALUES {notices}),
+named AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT r, {form("l")} AS form FROM
+  (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)) JOIN notices USING (form) GROUP BY r),
+h AS (SELECT *, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM d)
+SELECT doc_id, h.digest, license_id, coalesce(names, '') AS notices FROM h LEFT JOIN known ON h.digest = known.digest LEFT JOIN named USING (r)
+"""
+
+
+SQL = _sql()

@@ -169,3 +169,26 @@ def without_lines(text: str, lines: list[int]) -> str:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+grams AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM d),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) t(k) GROUP BY r),
+lines AS (SELECT r, source, text, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+again AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
+norm AS (SELECT r, source, text, lower(array_to_string(w, ' ')) AS l, len(w) AS n FROM lines),
+hosts AS (SELECT source, greatest({LINE_DOCS}, ceil(count(DISTINCT text) * {LINE_SHARE})) AS most FROM d GROUP BY source),
+common AS (SELECT c.source, l FROM (SELECT source, l, count(DISTINCT text) AS n FROM norm GROUP BY source, l) c
+  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source AND c.n > h.most),
+gone AS (SELECT r, CAST(sum(n) AS BIGINT) AS n FROM norm JOIN common c ON norm.l = c.l AND norm.source IS NOT DISTINCT FROM c.source GROUP BY r),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) AS BIGINT) AS n_symbols, coalesce(again.n, 0) AS n_dup_lines,
+    coalesce(repeated.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed_words
+  FROM d LEFT JOIN repeated USING (r) LEFT JOIN again USING (r) LEFT JOIN gone USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words - removed_words >= n_words * {LEAST_KEPT} AS kept, removed_words
+FROM (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM f)
+"""

@@ -17,5 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_rules": line_rules.SQL,
     "op7_rollups": rollups.SQL,
+    "op8_licenses": licenses.SQL,
 }
