@@ -208,6 +208,25 @@ def test_neighbours_find_pairs_across_partitions(spark, monkeypatch):
     assert sum(got.values()) >= 0.99 * links.sum() and all(got[i] <= links[i] for i in got)
 
 
+def test_neighbours_of_a_group_larger_than_window_and_partition(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS_PER_PARTITION", 60)
+    r = np.random.default_rng(7)
+    centre = r.standard_normal(16)
+    rows = [(i, (centre + 0.02 * r.standard_normal(16)).tolist()) for i in range(250)] + [(1000 + i, r.standard_normal(16).tolist()) for i in range(30)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert (links[:250] >= 249).all()
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {g["vec_id"]: g["n_links"] for g in neighbours.near_duplicates(df, passes=1, window=16).collect()}
+    assert all(got[i] == links[k] for k, (i, _) in enumerate(rows[:250]))
+
+
+def test_neighbours_passes_follow_the_number_of_vectors():
+    assert neighbours.passes_for(0) == neighbours.passes_for(2000) == neighbours.PASSES
+    assert neighbours.PASSES < neighbours.passes_for(500_000) < neighbours.passes_for(50_000_000)
+
+
 # --- line rules ----------------------------------------------------------------------------------
 
 def expected_lines(rows, limit, share, least_kept):
