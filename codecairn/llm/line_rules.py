@@ -1,8 +1,9 @@
 """Quality rules on documents, and lines that too many documents of a host repeat.
 
 Base figures come from the text alone. Lines are normalised (lower case, white space collapsed), hashed, and counted
-by host (``source``) over distinct documents; exact copies of a text are one document there. A line in more
-documents than the limit of its host is removed; a document that loses most of its words is rejected.
+by host (``source``) over distinct documents; exact copies of a text are one document there, since else a page that is copied
+often would lose every line, and with it all its copies. A line in more documents than the limit of its host is removed; a
+document that loses most of its words is rejected.
 
 Rows: one per input row. Null or empty texts have no words and fail the base rule; documents without a source form a
 host of their own; a null doc_id is passed through; repeated rows are judged alike; other columns are not read.
@@ -24,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A line may be in this many documents of a host, or in this share of them if that is more.
 LINE_DOCS, LINE_SHARE = 100, 0.002
+#: The same in the pipeline, where a share of any host decides: more than 5 % of its texts, but never 5 texts or fewer.
+HOST_DOCS, HOST_SHARE = 5, 0.05
 #: A document keeps at least this share of its words, or it is rejected.
 LEAST_KEPT = 0.5
 

@@ -16,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or lose most of their words with the common lines, go; those lines go too."""
-    return line_rules.clean(docs)
+    return line_rules.clean(docs, line_docs=line_rules.HOST_DOCS, share=line_rules.HOST_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,18 @@ def test_stages(spark, folder):
     assert Counter(map(tuple, corpus_pipeline.run(spark, path).collect())) == want
 
 
+def test_quality_removes_common_lines_of_an_ordinary_host(spark):
+    r = random.Random(5)
+    texts = [prose(30, r) + "\n" + prose(30, r) for _ in range(60)]
+    common = "\n".join(f"c{k} all rights{k} reserved{k} by{k} the{k} owner{k} of{k} this{k} page{k}" for k in range(5))
+    rows = [(i, t + "\n" + common if i < 12 else t, None, "h", 0) for i, t in enumerate(texts)]
+    rows += [(100, common + "\n" + " ".join(f"n{i}" for i in range(20)), None, "h", 0)]
+    rows += [(200 + i, texts[50] + "\nrare", None, "copies", 0) for i in range(30)]  # copies of a page are one text
+    got = {d["doc_id"]: d["text"] for d in corpus_pipeline.quality(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert 100 not in got and all(got[i] == t for i, t in enumerate(texts))
+    assert all(got[200 + i] == texts[50] + "\nrare" for i in range(30))
+
+
 def test_empty_input(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
