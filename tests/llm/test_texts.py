@@ -131,3 +131,21 @@ def test_licence_texts(spark):
     assert licenses.scan(documents(spark, []), licenses.known_licences(spark)).count() == 0
     assert len({licenses.digest(t) for t in licenses.TEXTS.values()}) == len(licenses.TEXTS)
     assert np.all([licenses.digest(t) for t in licenses.TEXTS.values()])
+
+
+def test_usual_licence_texts_and_notices(spark):
+    mit = licenses.TEXTS["MIT"].split("\n\n", 1)[1]
+    whole = [(mit, "MIT"), ("The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + mit, "MIT"),
+             ("BSD 3-Clause License\n\n" + licenses.MORE_TEXTS["BSD-3-Clause"], "BSD-3-Clause"), (licenses.MORE_TEXTS["Unlicense"], "Unlicense")]
+    for name in ("Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0"):
+        text = licenses.resources.files("codecairn.llm").joinpath("licence_texts", name + ".txt").read_text(encoding="utf-8")
+        whole += [(text.upper(), name), (text[:-200], None)]
+    notices = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+               "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1-or-later", "released under the GNU AGPL v3": "AGPL-3.0-only",
+               "Distributed under the BSD 3-Clause Licence": "BSD-3-Clause", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0"}
+    docs = documents(spark, [t for t, _ in whole] + [f"prose\n{n}\nmore" for n in notices])
+    got = {r["doc_id"]: r for r in licenses.scan(docs, licenses.known_licences(spark)).collect()}
+    assert [got[i]["license_id"] for i in range(len(whole))] == [n for _, n in whole]
+    assert [got[len(whole) + i]["notices"] for i in range(len(notices))] == list(notices.values())
+    own = licenses.scan(documents(spark, ["House rules apply."]), licenses.known_licences(spark, {}), {"house rules apply": "House"}).collect()
+    assert own[0]["notices"] == "House"
