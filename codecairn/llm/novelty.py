@@ -1,8 +1,8 @@
 """Secrets by pattern, and by novelty under zstandard primed with the surroundings.
 
-A candidate is a long token right after a sensitive word. What it costs is the growth of the compressed
-text when it is appended to its surroundings, with an identifier dictionary and the text around it as the
-dictionary. Natural words and identifiers are cheap then; random strings cost almost a byte a character.
+A candidate is a long token after a sensitive word: on its line, on the next, or on lines of one token that follow these. What it costs is the growth of the compressed
+text when it is appended to its surroundings, with common words, common identifiers, and the document without its candidates as
+the dictionary (so a secret that is repeated stays novel). Natural words and identifiers are cheap then; random strings cost almost a byte a character.
 
 Rows: one per input row; a null text counts as empty (no spans), texts are searched whole, repeated rows and
 ties are judged each by itself, doc_id is passed through, other columns are not read. Spans count code
@@ -34,10 +34,11 @@ CONTEXT = re.compile(rb"password|passwd|passphrase|pwd|secret|token|credential|b
 CONTEXT_WORDS = (b"passw", b"passphrase", b"pwd", b"secret", b"token", b"credential", b"bearer", b"authorization", b"key",
                  b"client")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.-]{16,}")
-#: Bytes after a sensitive word in which a candidate may start; bytes of text on either side that prime the dictionary.
-REACH, AROUND = 48, 2048
-#: Words and constants without digits are no candidates, however rare.
-PLAIN = re.compile(rb"[A-Z]?[a-z/_.=-]+|[A-Z/_.=-]+")
+#: A line that is one token: it goes on with the value of the line before.
+BODY = re.compile(rb"[ \t]*[\"']?[A-Za-z0-9+/_=.-]{16,}[\"',;\\]*[ \t\r]*")
+#: Bytes of text on either side that prime the dictionary as they are; of the rest of the text, what it shares with the candidate in
+#: runs of ``SHARED`` bytes and more.
+AROUND, SHARED = 2048, 6
 #: Least marginal bytes per candidate byte. Random strings of letters and digits cost 0.93 and more, identifiers up to 0.7.
 NOVELTY = 0.85
 
@@ -51,9 +52,57 @@ def identifiers() -> bytes:
     return " ".join(words).encode()
 
 
+#: Words and word parts of prose and code.
+WORDS = """ability access account action active address admin administration agent algorithm allow analysis android annotation anonymous another apache
+application architecture archive argument array assertion assign async attribute audit authentication authorization authority available backend background backup
+balance barrier base batch before between binary boolean boundary browser bucket buffer builder button cache calculate callback cancel category center certificate
+change channel character check children class cleanup client cloud cluster collection column command comment commit common communication company compare compatible
+complete component compression computer condition config configuration confirm confirmation connect connection console constant constraint construct consumer contact container content
+context continue contract control controller conversion cookie coordinate count counter country create creation credential currency current custom customer
+dashboard database dataset debug decode decorator default definition delegate delete delivery dependency deployment description desktop destination detail
+development device dialog dictionary different digest directory disable discovery display distribution document domain download driver dynamic editor effective element email embedded
+empty enable encode encoding encryption endpoint engine entity entry environment error event example exception exchange execute execution expire expiration explicit
+export expression extension external factory failure feature field file filter final folder following forgot format forward framework function gateway general
+generate generation generator global government graphic group handler hardware header health hidden history identifier identity image implementation import important include
+index information infrastructure initial input insert inspector instance institution instruction integer integration interface internal international internet interval invalid invoice issue
+iterator javascript keyboard language latest launch layout library license limit listener literal loader local location logger login logout machine maintenance manage management manager
+manifest manual mapping market master material maximum member memory menu message metadata method microsoft middleware migration minimum mobile model module monitor
+multiple namespace native navigation network never nothing notification number object observer office official operation operator option order organization original
+output overview owner package parameter parent parser partition passphrase password patch pattern payment performance permission person personal phone pipeline platform player plugin
+pointer policy position possible prefix preference prepare present preview previous primary principal private procedure process processor product production profile program progress project
+property protected protocol provider proxy public publisher purchase python quality query question queue random range reader receive recommend record recover recovery redirect
+reference refresh region register registration registry relation release remote remove render replace report repository request require required reset resolve resource respond response
+responsibility responsible restore result return review revision rotation route router running runtime sample schedule scheduler schema scope screen script search second secret section
+secure security select selection sensitive separate sequence serial serializer server service session setting setup shared should signature simple single snapshot social software source special
+specific specification standard start state statement static station statistics status storage store stream string structure student style subject submit subscription success
+summary support surface switch symbol synchronize syntax system table target template temporary terminal test text theme thread through timeout timestamp together token tool topic total
+trace track transaction transfer transform transition translate transport trigger type undefined under understand unique united university unknown unsigned update upload upper usage user username
+utility validate validation validator value variable vendor verify verification version video view virtual visible volume warning website where which widget window without worker
+workflow workspace wrapper write writer yourself
+ization ational ibility ability ically ication ification ement ment ness less tion sion ingly ously iously ative istic ologist ology ographic ometer counter inter super
+trans under over multi micro hyper electro psycho photo anti auto semi para pseudo extra ultra"""
+
+
 @lru_cache(maxsize=1)
 def _identifiers() -> bytes:
-    return identifiers()
+    """Common words in three cases, and common identifiers."""
+    words = WORDS.split()
+    return " ".join(f(w) for f in (str.upper, str.capitalize, str.lower) for w in words).encode() + b" " + identifiers()
+
+
+def shared_runs(candidate: bytes, text: bytes) -> bytes:
+    """The longest runs of the candidate, from left to right, that the text has too."""
+    runs, at = [], 0
+    while at + SHARED <= len(candidate):
+        n = SHARED
+        if candidate[at:at + n] not in text:
+            at += 1
+            continue
+        while at + n < len(candidate) and candidate[at:at + n + 1] in text:
+            n += 1
+        runs.append(candidate[at:at + n])
+        at += n
+    return b" ".join(runs)
 
 
 def novelty(candidate: bytes, before: bytes, after: bytes) -> float:
@@ -81,19 +130,48 @@ def novel_spans(data: bytes, known: list[tuple[int, int, int]], least: float = N
     low = data.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found: dict[tuple[int, int], bool] = {}
+    spans: set[tuple[int, int]] = set()
+    done = 0
     for word in CONTEXT.finditer(data):
-        line_end = data.find(b"\n", word.end())
-        stop = min(word.end() + REACH, line_end if line_end >= 0 else len(data))
-        at = word.end()
-        while (m := CANDIDATE.search(data, at)) and m.start() < stop:
-            at, span = m.end(), m.span()
-            # the reach limits where a candidate starts; it may end later
-            if span in found or PLAIN.fullmatch(m.group()) or any(s < span[1] and span[0] < e for s, e, _ in known):
-                continue
-            before, after = data[max(0, span[0] - AROUND):span[0]], data[span[1]:span[1] + AROUND]
-            found[span] = novelty(m.group(), before, after) >= least
-    return [(s, e, 3) for (s, e), yes in found.items() if yes]
+        if m := CANDIDATE.match(data, word.end()):
+            spans.add(m.span())
+        stop = scope_end(data, word.end(), done)
+        at = max(word.end(), done)
+        while (m := CANDIDATE.search(data, at, stop)):
+            m = CANDIDATE.match(data, m.start())
+            spans.add(m.span())
+            at = m.end()
+        done = max(done, stop)
+    others = bytearray(data)  # the document without its candidates
+    for s, e in spans:
+        others[s:e] = b" " * (e - s)
+    text = bytes(others)
+    known_at = sorted(known)
+    out = []
+    for s, e in sorted(spans):
+        if any(a < e and s < z for a, z, _ in known_at):
+            continue
+        candidate = data[s:e]
+        before, after = text[max(0, s - AROUND):s], text[e:e + AROUND]
+        if novelty(candidate, shared_runs(candidate, text) + b" " + before, after) >= least:
+            out.append((s, e, 3))
+    return out
+
+
+def scope_end(data: bytes, at: int, done: int = 0) -> int:
+    """Where the statement of a sensitive word ends: after the next line and the lines of one token behind it. ``done`` is the end of
+    the one before: where the next line lies in that, both end together."""
+    end = data.find(b"\n", at)
+    if 0 <= end < done and 0 <= data.find(b"\n", end + 1) <= done:
+        return done
+    lines = 0
+    while end >= 0:
+        after = data.find(b"\n", end + 1)
+        lines += 1
+        if lines > 1 and not BODY.fullmatch(data, end + 1, after if after >= 0 else len(data)):
+            return end
+        end = after
+    return len(data)
 
 
 def secret_spans(text: str | None, least: float = NOVELTY) -> list[tuple[str, int, int]]:

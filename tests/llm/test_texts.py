@@ -149,3 +149,23 @@ def test_usual_licence_texts_and_notices(spark):
     assert [got[len(whole) + i]["notices"] for i in range(len(notices))] == list(notices.values())
     own = licenses.scan(documents(spark, ["House rules apply."]), licenses.known_licences(spark, {}), {"house rules apply": "House"}).collect()
     assert own[0]["notices"] == "House"
+
+
+@pytest.mark.parametrize("text, secret", [
+    ("passphrase: qwjxzkvbplmtrdhs", "qwjxzkvbplmtrdhs"), ("pwd kzqwvjxhbtgpfmdr", "kzqwvjxhbtgpfmdr"), ("bearer KZQWVJXHBTGPFMDR", "KZQWVJXHBTGPFMDR"),
+    (f"secret of the deployment, as it was agreed upon in the last meeting of all: {SECRET}", SECRET), (f"password: |\n  {SECRET}\n", SECRET),
+    (f"private key\nfirst line\nsecond line\n{SECRET}\n", SECRET[:0]), (f"private key\n{SECRET[::-1]}\n{SECRET}\n", SECRET),
+    (f"bearer {SECRET}\nbearer {SECRET}", SECRET), (f"password of\nthe secret\n{SECRET}\n", SECRET), (f"pwd\nthe token\nis {SECRET} so", SECRET),
+])
+def test_novel_values_of_letters_and_on_further_lines(text, secret):
+    found = {text[s:e].strip() for kind, s, e in novelty.secret_spans(text) if kind == "novel"}
+    assert (secret in found) if secret else not found
+
+
+@pytest.mark.parametrize("text", ["the password of internationalization is", "token REQUIRE_AUTHENTICATION_CONFIG", "secret responsibilities/administration"])
+def test_natural_words_are_not_novel(text):
+    assert novelty.secret_spans(text) == []
+
+
+def test_names_used_far_away_are_not_novel():
+    assert novelty.secret_spans("Zk9mQuX2vBnLpR_handler()\n" + "some filler words\n" * 500 + "token Zk9mQuX2vBnLpR_handler") == []
