@@ -1,7 +1,7 @@
 """The dealt operators as queries, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from codecairn.llm import bpe, jaccard, langid, licenses, line_rules, mixing, neighbours, novelty, rollups, substrings
+from codecairn.llm import bpe, filter_audit, jaccard, langid, licenses, line_rules, mixing, neighbours, novelty, rollups, substrings
 
 QUERIES = {
     "op1_language": langid.query,
@@ -14,10 +14,12 @@ QUERIES = {
     "op8_licenses": licenses.query,
     "op9_neighbours": neighbours.query,
     "op10_bpe": bpe.query,
+    "op12_filter_audit": filter_audit.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_rules": line_rules.SQL,
     "op7_rollups": rollups.SQL,
     "op8_licenses": licenses.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
