@@ -128,7 +128,9 @@ def node_id(a: Column, b: Column) -> Column:
     return F.unhex(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
 
-ROOT = node_id(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+def root() -> Column:
+    """The id of the empty sequence."""
+    return F.lit(bytes(16))
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
@@ -152,11 +154,11 @@ def trie(paths: DataFrame, plan: DataFrame) -> DataFrame:
     below = paths.groupBy("node", "depth").agg(F.min("member").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"),
                                                F.max("size").alias("size"), F.max("parent").alias("parent"))
     top = plan.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).filter("n_convs > 0").select(
-        ROOT.alias("node"), F.lit(0).cast("bigint").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("bigint").alias("size"),
+        root().alias("node"), F.lit(0).cast("bigint").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("bigint").alias("size"),
         F.lit(None).cast("binary").alias("parent"))
     nodes = saved(below.unionByName(top), "trie-nodes")
     owned = nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("owned"), F.min("depth").alias("since"))
-    members = paths.select("node", "member").unionAll(plan.select(ROOT.alias("node"), F.col("conv_id").alias("member")))
+    members = paths.select("node", "member").unionAll(plan.select(root().alias("node"), F.col("conv_id").alias("member")))
     below = members.join(owned, members.member == owned.conv_id).groupBy("node").agg(F.sum("owned").alias("below"))
     children = nodes.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_children"))
     parents = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
@@ -174,7 +176,7 @@ def rollup(nodes: DataFrame, paths: DataFrame, weights: tuple[str, ...]) -> Data
     has the id of its top node. A node is below the centroid if its conversation's path has a child of the centroid one step deeper.
     """
     zero = F.lit(0).cast("bigint")
-    state = saved(nodes.select("node", "depth", "conv_id", F.col("nodes").alias("below"), ROOT.alias("component"), *weights,
+    state = saved(nodes.select("node", "depth", "conv_id", F.col("nodes").alias("below"), root().alias("component"), *weights,
                                *(zero.alias(f"sum_{w}") for w in weights)), "components")
     steps = paths.select(F.col("member").alias("conv_id"), (F.col("depth") - 1).alias("z_depth"), F.col("parent").alias("z"), F.col("node").alias("child"))
     done = None
@@ -207,7 +209,7 @@ def end_digests(paths: DataFrame, plan: DataFrame) -> DataFrame:
     one at a time. SHA-256 has to see the bytes in sequence, so the pieces of a node go to one task, as a stream.
     """
     ends = paths.filter("ends").select("node", "member").unionAll(
-        plan.filter("length = 0").select(ROOT.alias("node"), F.col("conv_id").alias("member")))
+        plan.filter("length = 0").select(root().alias("node"), F.col("conv_id").alias("member")))
     pieces_schema = T.StructType([*fields(ends, "node"), *typed("first bigint, ids binary")])
     digest_schema = T.StructType([*fields(ends, "node"), *typed("ends_sha256 string")])
 
