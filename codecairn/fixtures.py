@@ -40,8 +40,8 @@ SELECT concat(source, '-', CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR(
       WHEN doc_id % 16 = 12 THEN 'implementation "io.quarkus:quarkus-core:3"'
       WHEN doc_id % 16 = 13 THEN concat_ws(chr(10), concat('DATABASE_URL=postgres://app:pw', CAST(doc_id % 9 AS VARCHAR(20)), '@db/main'), concat('CLOUD_ID=AK', 'IA', 'ABCDEFGHIJKLMNO', CAST(doc_id % 10 AS VARCHAR(20))))
       WHEN doc_id % 16 = 14 THEN concat('model Item', CAST(doc_id % 5 AS VARCHAR(20)), ' {', chr(10), '}')
-      WHEN doc_id % 16 IN (0, 7) THEN concat_ws(chr(10), concat('import os, mod', CAST(doc_id % 9 AS VARCHAR(20)), ' as m'), 'from app.models import User', concat('@router.get("/items/', CAST(doc_id % 6 AS VARCHAR(20)), '")'), concat('class Model', CAST(doc_id % 4 AS VARCHAR(20)), '(Base):'), concat('requests.get("https://api', CAST(doc_id % 3 AS VARCHAR(20)), '.example.com/v1")'), 'db.session.commit()', concat('httpx.post("https://hook.example.com/', CAST(doc_id % 2 AS VARCHAR(20)), '")'), concat('@bp.route("/f', CAST(doc_id % 4 AS VARCHAR(20)), '")'), 'urlpatterns = [path("admin/", v)]', 'from app.models import Item')
-      WHEN doc_id % 16 IN (1, 6, 8) THEN concat_ws(chr(10), 'import a from ''react''', concat('const b = require("./mod_', CAST(doc_id % 9 AS VARCHAR(20)), '")'), concat('app.post(''/api/r', CAST(doc_id % 6 AS VARCHAR(20)), ''', h)'), concat('fetch(''/api/r', CAST((doc_id + 1) % 6 AS VARCHAR(20)), ''')'), 'import { x } from "openai"', concat('const L = import("./lazy_', CAST(doc_id % 3 AS VARCHAR(20)), '")'), concat('await axios', chr(10), '  .put(', chr(10), '`/api/r/', chr(36), '{id}`, b)'), 'import r2 from ''react''')
+      WHEN doc_id % 16 IN (0, 7) THEN concat_ws(chr(10), concat('import os, mod', CAST(doc_id % 9 AS VARCHAR(20)), ' as m'), 'from app.models import User', concat('@router.get("/items/', CAST(doc_id % 6 AS VARCHAR(20)), '")'), concat('class Model', CAST(doc_id % 4 AS VARCHAR(20)), '(Base):'), concat('requests.get("https://api', CAST(doc_id % 3 AS VARCHAR(20)), '.example.com/v1")'), 'db.session.commit()', concat('httpx.post("https://hook.example.com/', CAST(doc_id % 2 AS VARCHAR(20)), '")'), concat('@bp.route("/f', CAST(doc_id % 4 AS VARCHAR(20)), '")'), 'urlpatterns = [path("admin/", v)]', 'from app.models import Item', '# see (', 'import sys', 's = "("', 'from late import (a)', 'requests.get(', '', '  "https://late.example.com/v1")', 'y = f(x', 'import after')
+      WHEN doc_id % 16 IN (1, 6, 8) THEN concat_ws(chr(10), 'import a from ''react''', concat('const b = require("./mod_', CAST(doc_id % 9 AS VARCHAR(20)), '")'), concat('app.post(''/api/r', CAST(doc_id % 6 AS VARCHAR(20)), ''', h)'), concat('fetch(''/api/r', CAST((doc_id + 1) % 6 AS VARCHAR(20)), ''')'), 'import { x } from "openai"', concat('const L = import("./lazy_', CAST(doc_id % 3 AS VARCHAR(20)), '")'), concat('await axios', chr(10), '  .put(', chr(10), '`/api/r/', chr(36), '{id}`, b)'), 'import r2 from ''react''', '// call fetch(', 'import late from "late"', concat('router', chr(10), '.get(''/late'', h)'))
       ELSE '' END,
       text) END AS content
 FROM documents

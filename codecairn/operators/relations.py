@@ -16,19 +16,19 @@ from ..functions import paths, text, vocab
 from .inventory import skip_dirs, source_files
 from .ranking import top_n
 
-# Patterns in the subset that Java and RE2 read alike, matched per line.
+# Patterns in the subset that Java and RE2 read alike. Only white space may hold a line end.
 PATTERNS = {
-    "js_import": r"""import\s+[^\n]*?from\s+['"][^'"]+['"]|require\s*\(\s*['"][^'"]+['"]\s*\)""",
-    "js_dynamic_import": r"""import\s*\(\s*['"]([^'"]+)['"]\s*\)""",
-    "js_http": r"""(?i)\b(?:axios|fetch)\s*\.?\s*(?:get|post|put|patch|delete|request)?\s*\(\s*['"`]([^'"`]+)['"`]""",
-    "js_route": r"""(?i)\b(?:app|router)\s*\.\s*(get|post|put|patch|delete|all|use)\s*\(\s*['"`]([^'"`]+)['"`]""",
+    "js_import": r"""import\s+[^\n\f]*?from\s+['"][^'"\n\f]+['"]|require\s*\(\s*['"][^'"\n\f]+['"]\s*\)""",
+    "js_dynamic_import": r"""import\s*\(\s*['"]([^'"\n\f]+)['"]\s*\)""",
+    "js_http": r"""(?i)\b(?:axios|fetch)\s*\.?\s*(?:get|post|put|patch|delete|request)?\s*\(\s*['"`]([^'"`\n\f]+)['"`]""",
+    "js_route": r"""(?i)\b(?:app|router)\s*\.\s*(get|post|put|patch|delete|all|use)\s*\(\s*['"`]([^'"`\n\f]+)['"`]""",
     "py_import": r"""^import[ \t]+([A-Za-z0-9_., \t]+)""",
     "py_from": r"""^from[ \t]+([A-Za-z0-9_.]+)[ \t]+import[ \t]""",
-    "py_requests": r"""(?i)requests\s*\.\s*(?:get|post|put|patch|delete|head|options)\s*\(\s*f?['"]([^'")\n]{3,120})""",
-    "py_httpx": r"""(?i)httpx\s*\.\s*(?:get|post|put|patch|delete)\s*\(\s*['"]([^'")\n]{3,120})['"]""",
-    "py_route": r"""(?i)@(?:app|router)\s*\.\s*(get|post|put|patch|delete)\s*\(\s*['"]([^'"]+)['"]""",
-    "flask_route": r"""(?i)@(?:app|bp|blueprint)\s*\.route\s*\(\s*['"]([^'"]+)['"]""",
-    "django_url": r"""\b(?:path|re_path|url)\s*\(\s*r?['"]([^'"]+)['"]""",
+    "py_requests": r"""(?i)requests\s*\.\s*(?:get|post|put|patch|delete|head|options)\s*\(\s*f?['"]([^'")\n\f]{3,120})""",
+    "py_httpx": r"""(?i)httpx\s*\.\s*(?:get|post|put|patch|delete)\s*\(\s*['"]([^'")\n\f]{3,120})['"]""",
+    "py_route": r"""(?i)@(?:app|router)\s*\.\s*(get|post|put|patch|delete)\s*\(\s*['"]([^'"\n\f]+)['"]""",
+    "flask_route": r"""(?i)@(?:app|bp|blueprint)\s*\.route\s*\(\s*['"]([^'"\n\f]+)['"]""",
+    "django_url": r"""\b(?:path|re_path|url)\s*\(\s*r?['"]([^'"\n\f]+)['"]""",
     "orm": r"""session\.(?:add|query|get|execute|merge)\(|db\.session\.|Base\.metadata""",
 }
 QUOTED_TAIL = r"""['"]([^'"]+)['"]\s*\)?$"""
@@ -42,13 +42,12 @@ EXTRACTORS = {
 # A line without any of these words cannot match any pattern of its language.
 JS_KEYWORDS = r"(?i)import|require|axios|fetch|app|router"
 PY_KEYWORDS = r"(?i)import|requests|httpx|@|path|url|session|metadata"
-# A call may continue on the next line after '(' or before '.'; such line ends are folded first.
-FOLD_AFTER = r"\([ \t\r\f]*\n\s*"
-FOLD_BEFORE = r"[ \t\r\f]*\n\s*\."
-
-
-def fold_calls(content: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(content, FOLD_AFTER, "("), FOLD_BEFORE, ".")
+# A line that ends like this may begin a match that later lines complete: a name, with or without '.', verb and '('.
+OPEN_END = r"""(?i)\b(?:axios|fetch|import|from|require|app|router|bp|blueprint|requests|httpx|path|re_path|url)\s*\.?\s*\w*\s*\(?\s*$"""
+#: Lines with text that a match can go on over: each of name, '.', verb, '(' and literal on one of its own.
+FURTHER_LINES = 4
+#: Stands for the end of the first of several lines; white space to every pattern.
+FIRST_END = "\f"
 
 
 def _all(line: Column, pattern: str, group: int = 1) -> Column:
@@ -71,7 +70,7 @@ def _import_names(line: Column) -> Column:
 def _targets(line: Column, extractor: int) -> Column:
     """Targets one extractor finds on one line, in match order."""
     if extractor == 1:
-        return F.transform(_all(line, "js_import", 0), lambda m: F.regexp_extract(m, QUOTED_TAIL, 1))
+        return F.transform(_all(line, "js_import", 0), _quoted)
     if extractor in (4, 8):
         return _verb_targets(line, EXTRACTORS[extractor][1])
     if extractor == 5:
@@ -87,18 +86,52 @@ def _targets(line: Column, extractor: int) -> Column:
     return _all(line, EXTRACTORS[extractor][1])
 
 
+def _quoted(match: Column) -> Column:
+    return F.regexp_extract(match, QUOTED_TAIL, 1)
+
+
+def _spanning_targets(several: Column, extractor: int) -> Column:
+    """The target of the match that begins on the first of several lines and ends on a later one, if there is one."""
+    matches = _all(several, EXTRACTORS[extractor][1], 0)
+    over = F.filter(F.zip_with(matches, _targets(several, extractor), lambda m, t: F.struct(m.alias("m"), t.alias("t"))),
+                    lambda x: F.contains(x.m, F.lit(FIRST_END)))
+    return F.transform(over, lambda x: x.t)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _edges_of_lines(content: Column, keywords: str, extractors: list[int]) -> Column:
-    """``array<struct<relationship, target, extractor, line, pos, evidence>>`` of one text."""
-    numbered = F.transform(F.split(fold_calls(content), "\n"),
+    """``array<struct<relationship, target, extractor, line, pos, evidence>>`` of one text.
+
+    Every line is matched by itself, under its own number. Where its end leaves a call open, it is matched once more
+    together with the next lines that have text, and what spans its end counts for it. So nothing that a comment or a literal holds
+    hides a line, and an import is only ever looked for at the beginning of a line of the file.
+    """
+    numbered = F.transform(F.split(F.translate(content, FIRST_END, " "), "\n"),
                            lambda line, i: F.struct((i + 1).alias("no"), line.alias("text")))
-    candidates = F.filter(numbered, lambda x: F.rlike(x.text, F.lit(keywords)))
+    with_text = F.filter(numbered, lambda x: text.strip(x.text) != "")
+
+    def edges(lines: Column) -> Column:
+        placed = F.transform(lines, lambda x, i: F.struct(x.no.alias("no"), x.text.alias("text"), i.alias("i")))
+        candidates = F.filter(placed, lambda x: F.rlike(x.text, F.lit(keywords)))
+        opened = F.transform(candidates, lambda x: F.struct(
+            x.no.alias("no"), x.text.alias("text"), F.when(F.rlike(x.text, F.lit(OPEN_END)), F.concat(
+                x.text, F.lit(FIRST_END), F.array_join(F.transform(F.slice(lines, x.i + 2, F.lit(FURTHER_LINES)), lambda y: y.text), "\n"))).alias("several")))
+        return F.flatten(F.transform(opened, lambda x: F.concat(*[_line_edges(x, e) for e in extractors])))
 
-    return F.flatten(F.transform(candidates, lambda x: F.concat(*[_line_edges(x, e) for e in extractors])))
+    return _let(with_text, edges)
 
 
 def _line_edges(x: Column, extractor: int) -> Column:
-    """Edges one extractor finds on one numbered line."""
-    return F.transform(_targets(x.text, extractor), lambda target, pos: F.struct(
+    """Edges one extractor finds on one numbered line, and from it on over the next ones."""
+    targets = _targets(x.text, extractor)
+    if extractor not in (5, 11):  # imports stand on one line, and so do uses of a session
+        none = F.array().cast("array<string>")
+        targets = F.concat(targets, F.when(x.several.isNotNull(), _spanning_targets(x.several, extractor)).otherwise(none))
+    return F.transform(targets, lambda target, pos: F.struct(
         F.lit(EXTRACTORS[extractor][0]).alias("relationship"), target.alias("target"),
         F.lit(extractor).alias("extractor"), x.no.alias("line"), (pos + 1).alias("pos"),
         text.evidence(x.text).alias("evidence")))

@@ -67,24 +67,32 @@ P = relations.PATTERNS
 VERBS = "list_transform(range(1, len(regexp_extract_all(t, {p}, 1)) + 1), lambda i: upper(regexp_extract_all(t, {p}, 1)[i]) || ' ' || regexp_extract_all(t, {p}, 2)[i])"
 
 
-def line_targets(extractor: int) -> str:
+def found(extractor: int, t: str) -> str:
+    """The targets that a text of one or more lines has."""
     key = relations.EXTRACTORS[extractor][1]
     p = q(P[key])
     if extractor == 1:
-        return f"list_transform(regexp_extract_all(t, {p}, 0), lambda m: regexp_extract(m, {q(relations.QUOTED_TAIL)}, 1))"
+        return f"list_transform(regexp_extract_all({t}, {p}, 0), lambda m: regexp_extract(m, {q(relations.QUOTED_TAIL)}, 1))"
     if extractor in (4, 8):
-        return VERBS.replace("{p}", p)
+        return VERBS.replace("{p}", p).replace("(t,", f"({t},")
     if extractor == 5:
-        return (f"list_filter(list_transform(string_split(regexp_extract(t, {p}, 1), ','), "
+        return (f"list_filter(list_transform(string_split(regexp_extract({t}, {p}, 1), ','), "
                 f"lambda m: {strip('split_part(' + strip('m') + ', chr(32) || chr(97) || chr(115) || chr(32), 1)')}), lambda m: m <> '') "
-                f"|| regexp_extract_all(t, {q(P['py_from'])}, 1)")
+                f"|| regexp_extract_all({t}, {q(P['py_from'])}, 1)")
     if extractor in (6, 7):
-        return f"list_transform(regexp_extract_all(t, {p}, 1), lambda m: {strip('m')})"
+        return f"list_transform(regexp_extract_all({t}, {p}, 1), lambda m: {strip('m')})"
     if extractor in (9, 10):
-        return f"list_transform(regexp_extract_all(t, {p}, 1), lambda m: '{'ROUTE' if extractor == 9 else 'URL'} ' || m)"
+        return f"list_transform(regexp_extract_all({t}, {p}, 1), lambda m: '{'ROUTE' if extractor == 9 else 'URL'} ' || m)"
     if extractor == 11:
-        return f"list_transform(regexp_extract_all(t, {p}, 0), lambda m: rtrim(m, '('))"
-    return f"regexp_extract_all(t, {p}, 1)"
+        return f"list_transform(regexp_extract_all({t}, {p}, 0), lambda m: rtrim(m, '('))"
+    return f"regexp_extract_all({t}, {p}, 1)"
+
+
+def line_targets(extractor: int) -> str:
+    if extractor in (5, 11):
+        return found(extractor, "t")
+    p = q(P[relations.EXTRACTORS[extractor][1]])
+    return f"({found(extractor, 'here')})[1:len(regexp_extract_all(here, {p}, 0)) - len(regexp_extract_all(later, {p}, 0))]"
 
 
 def edge_sql(extractor: int) -> str:
@@ -156,9 +164,11 @@ CTES: dict[str, str] = {
     # --- relations
     "src": f"SELECT repo_id, path AS source, extension, content FROM paths WHERE {no_dirs('parts', 'relations')} "
            f"AND extension IN {in_list(vocab.SOURCE_EXTENSIONS)} AND length(content) > 0",
-    "src_text": f"SELECT repo_id, source, extension, string_split(regexp_replace(regexp_replace(content, {q(relations.FOLD_AFTER)}, '(', 'g'), "
-                f"{q(relations.FOLD_BEFORE)}, '.', 'g'), chr(10)) AS ls FROM src",
-    "src_lines": "SELECT repo_id, source, extension, unnest(ls) AS t, unnest(range(1, len(ls) + 1)) AS line FROM src_text",
+    # What begins on a line: the matches in it and the next lines, less those that the next lines have without it.
+    "src_rows": "SELECT repo_id, source, extension, unnest(ls) AS t, unnest(range(1, len(ls) + 1)) AS line, unnest(list_transform(range(1, len(ls) + 1), "
+                "lambda i: array_to_string(ls[i:i + 11], chr(10)))) AS here, unnest(list_transform(range(1, len(ls) + 1), lambda i: array_to_string(ls[i + 1:i + 11], chr(10)))) AS later "
+                "FROM (SELECT *, string_split(replace(content, chr(12), ' '), chr(10)) AS ls FROM src)",
+    "src_lines": "SELECT * FROM src_rows WHERE regexp_matches(t, '(?i)import|require|axios|fetch|app|router|requests|httpx|@|path|url|session|metadata')",
     **{f"edges{e}": edge_sql(e) for e in relations.EXTRACTORS},
     "edges_all": " UNION ALL ".join(f"SELECT * FROM edges{e}" for e in relations.EXTRACTORS),
     "edges": "SELECT * FROM edges_all QUALIFY row_number() OVER (PARTITION BY repo_id, source, relationship, target ORDER BY extractor, line, pos) = 1",

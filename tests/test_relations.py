@@ -30,9 +30,9 @@ def test_python_import_stays_on_its_line(spark, files):
     assert got == [("imports", t) for t in ("a", "b", "d", "os")]
 
 
-def test_call_over_two_lines_is_folded(spark, files):
+def test_call_over_lines_has_its_first_line_as_evidence(spark, files):
     got = rel.js_routes(files({"a.ts": "app\n  .get(\n  '/x', h)\nwebapp.get('/no')"})).collect()
-    assert [(r.target, r.evidence) for r in got] == [("GET /x", "app.get('/x', h)")]
+    assert [(r.target, r.evidence) for r in got] == [("GET /x", "app")]
 
 
 def test_f_string_and_bare_name(spark, files):
@@ -80,3 +80,43 @@ def test_external_apis_and_limits(spark, files):
     got = [r.target for r in rel.external_apis(e).orderBy("rank").collect()]
     assert got == [f"/api/{i:03}" for i in range(50)]
     assert rel.relationships_of(e, "calls_api", 20).count() == 20
+
+
+def test_calls_over_lines_keep_the_lines_of_the_file(files):
+    py = ("# see (\n"
+          "import os\n"
+          "s = '('\n"
+          "from x import (a)\n"
+          "requests.get(\n"
+          "\n"
+          "    'https://a.example.com/v1')\n"
+          "import after\n"
+          "@app\n"
+          "  .post(\n"
+          "  '/p')\n"
+          "y = requests.get('https://b.example.com'); z = requests.get(\n"
+          "'https://c.example.com')\n")
+    js = ("// fetch(\n"
+          "import a from 'a'\n"
+          "await axios\n"
+          "  .put(\n"
+          "`/api/x`, b)\n"
+          "const c = require(\n'c')\n"
+          "t = \"app.get(\"\n"
+          "router\n\n\n.get('/r', h)\n"
+          "import {\n  d\n} from 'd'\n")
+    got = {(r.source, r.relationship, r.target, r.line, r.evidence) for r in rel.relationships(files({"m.py": py, "m.js": js})).collect()}
+    assert got == {
+        ("m.py", "imports", "os", 2, "import os"), ("m.py", "imports", "x", 4, "from x import (a)"),
+        ("m.py", "calls_api", "https://a.example.com/v1", 5, "requests.get("), ("m.py", "imports", "after", 8, "import after"),
+        ("m.py", "declares_route", "POST /p", 9, "@app"),
+        ("m.py", "calls_api", "https://b.example.com", 12, "y = requests.get('https://b.example.com'); z = requests.get("),
+        ("m.py", "calls_api", "https://c.example.com", 12, "y = requests.get('https://b.example.com'); z = requests.get("),
+        ("m.js", "imports", "a", 2, "import a from 'a'"), ("m.js", "calls_api", "/api/x", 3, "await axios"),
+        ("m.js", "imports", "c", 6, "const c = require("), ("m.js", "declares_route", "GET /r", 9, "router")}
+
+
+def test_long_files_are_matched_once_per_line(files):
+    content = "\n".join(f"import m{i}\nrequests.get(\n'https://h{i}.example.com/x')" for i in range(3000))
+    rows = rel.relationships(files({"a.py": content}))
+    assert rows.count() == 6000 and rows.agg({"line": "max"}).first()[0] == 8999
