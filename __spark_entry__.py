@@ -15,7 +15,7 @@ from codecairn.operators import (graphs, inventory as inv_ops, prompts, relation
                                  tech, validate)
 from codecairn.plans import analysis, explanation  # noqa: E402
 from codecairn.sources import archives, artifacts, tables, tree  # noqa: E402
-from codecairn.sources.scratch import scratch_dir  # noqa: E402
+from codecairn.sources.scratch import saved, scratch_dir  # noqa: E402
 from codecairn.streaming import streams  # noqa: E402
 
 try:  # the training-data operators can be removed as a whole
@@ -274,16 +274,50 @@ def q_artifacts(spark, d):
                                                                          *_long("score"), "language", "category")
 
 
+def _artifact_rows(spark, out):
+    """Every row of the six analysis artifacts as (repo_id, kind, item, digest of the rest)."""
+    lists = lambda *names: [F.array_join(n, "|") for n in names]
+    found = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x.file, F.array_join(x.secret_types, "+"))), "|")
+    text = {
+        "tech": (F.lit(""), [*lists(*vocab.FACETS, "external_apis_detected"), F.col("docker").cast("string")]),
+        "important_files": (F.col("path"), ["rank", "score", "reason_important", "language", "category"]),
+        "relationships": (F.concat_ws(" ", "source", "relationship", "target"), ["evidence"]),
+        "secrets_report": (F.lit(""), ["total_files_scanned", "files_with_secrets", F.array_join("secret_types_found", "|"), "high_risk_count", found]),
+        "secret_findings": (F.col("file"), lists("secret_types")),
+        "high_risk_files": (F.col("file"), [F.lit("")]),
+    }
+    rows = None
+    for kind, (item, rest) in text.items():
+        df = artifacts.read_artifact(spark, out, kind).select(
+            "repo_id", F.lit(kind).alias("kind"), item.alias("item"), F.md5(F.concat_ws("#", *rest)).alias("digest"))
+        rows = df if rows is None else rows.unionByName(df)
+    return rows
+
+
 def q_run_analysis(spark, d):
-    """All artifacts from one pass over the text, read back as one long table of counts."""
+    """All artifacts from one pass over the text, read back."""
     out = scratch_dir(spark, "analysis")
     analysis.run_analysis(spark, fixtures.files(spark, d), out, strip_root=False)
-    counts = None
-    for kind in artifacts.SCHEMAS:
-        n = artifacts.read_artifact(spark, out, kind).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).select(
-            "repo_id", F.lit(kind).alias("kind"), "n")
-        counts = n if counts is None else counts.unionByName(n)
-    return counts
+    return _artifact_rows(spark, out)
+
+
+#: A third of the repositories, by their name's digest: those that come again.
+_SECOND = "md5(repo_id) < '5'"
+
+
+def q_artifacts_replaced(spark, d):
+    """All repositories are analysed; a third of them once more, with half of their files. The others stay as they were."""
+    out = scratch_dir(spark, "artifacts")
+    files = fixtures.files(spark, d)
+    again = files.filter(f"{_SECOND} AND length(path) % 2 = 0")
+    for part, repositories in ((files, None), (again, files.filter(_SECOND).select("repo_id"))):
+        artifacts.write_artifacts({"important_files": scoring.important_files(inv_ops.inventory(part)),
+                                   "secret_findings": secrets.scan_secrets(part)}, out, repositories)
+    artifacts.expire_artifacts(spark, out, keep=1)
+    best = artifacts.read_artifact(spark, out, "important_files").select("repo_id", F.lit("important_files").alias("kind"), "path", *_long("rank"))
+    found = artifacts.read_artifact(spark, out, "secret_findings").select(
+        "repo_id", F.lit("secret_findings").alias("kind"), F.col("file").alias("path"), F.lit(None).cast("bigint").alias("rank"))
+    return best.unionByName(found)
 
 
 def q_secret_findings(spark, d):
@@ -359,31 +393,48 @@ def q_unresolved_paths(spark, d):
     return validate.unresolved_paths(validate.path_mentions(fixtures.sections(spark, d)), _inventory(spark, d))
 
 
-def q_diagram_labels(spark, d):
-    return validate.diagram_labels(q_diagram_text(spark, d))
+def _drawn(spark, d, a):
+    """All four diagrams of every run, written once."""
+    runs = fixtures.sections(spark, d).select("repo_id", "run_id").distinct()
+    return saved(explanation.drawn(a, runs, q_flow_text(spark, d)), "diagrams")
 
 
-def _unresolved_components(a):
-    labels = validate.diagram_labels(explanation.repository_diagrams(a))
-    return validate.unresolved_components(labels, validate.known_components(a.important, a.relationships))
+def q_diagram_labels(spark, d):
+    return validate.diagram_labels(_drawn(spark, d, _analysis(spark, d)))
 
 
 def q_unresolved_components(spark, d):
-    return _unresolved_components(_analysis(spark, d))
+    a = _analysis(spark, d)
+    labels = validate.diagram_labels(_drawn(spark, d, a))
+    return validate.unresolved_components(labels, validate.known_components(a.important, a.relationships))
 
 
 def _report(spark, d, a):
-    return validate.validation_report(fixtures.sections(spark, d), a.inventory, _unresolved_components(a))
+    return explanation.checked(a, fixtures.sections(spark, d), _drawn(spark, d, a))
+
+
+def _flat_report(prefix=""):
+    """The three lists of a report as texts."""
+    def flat(name, a, b):
+        return F.array_join(F.transform(prefix + name, lambda x: F.concat_ws(":", x[a], x[b])), "|").alias(name)
+
+    leaks = F.array_join(F.transform(prefix + "leaked_secrets_detected", lambda x: F.concat_ws(":", x.file, F.array_join(x.secret_types, "+"))), "|")
+    return [flat("unresolved_file_paths", "section", "path"), flat("unresolved_diagram_components", "diagram", "component"),
+            leaks.alias("leaked_secrets_detected")]
 
 
 def q_validation_report(spark, d):
-    def flat(col, a, b):
-        return F.array_join(F.transform(col, lambda x: F.concat_ws(":", x[a], x[b])), "|").alias(col)
+    return _report(spark, d, _analysis(spark, d)).select("repo_id", "run_id", *_flat_report())
 
-    leaks = F.array_join(F.transform("leaked_secrets_detected", lambda x: F.concat_ws(":", x.file, F.array_join(x.secret_types, "+"))), "|")
-    return _report(spark, d, _analysis(spark, d)).select("repo_id", "run_id", flat("unresolved_file_paths", "section", "path"),
-                                    flat("unresolved_diagram_components", "diagram", "component"),
-                                    leaks.alias("leaked_secrets_detected"))
+
+def q_saved_validation_report(spark, d):
+    """The reports of all runs as an artifact, and then those of a third of the repositories without their unresolved paths."""
+    out = scratch_dir(spark, "reports")
+    report = saved(_report(spark, d, _analysis(spark, d)), "report")
+    artifacts.write_artifacts({"validation_report": report}, out)
+    second = report.filter(_SECOND).withColumn("unresolved_file_paths", F.array().cast(report.schema["unresolved_file_paths"].dataType))
+    artifacts.write_artifacts({"validation_report": second}, out)
+    return artifacts.read_artifact(spark, out, "validation_report").select("repo_id", "run_id", *_flat_report())
 
 
 def q_masked_sections(spark, d):
@@ -448,10 +499,21 @@ def _plans(spark, d):
     return prompts.parse_plan(fixtures.projects(spark, d).select("repo_id", F.expr(fixtures.PLAN_ANSWER_SQL).alias("answer")))
 
 
+def _flat_plans(plans):
+    return plans.select("repo_id", F.to_json("major_modules").alias("major_modules"),
+                        F.to_json("explanation_order").alias("explanation_order"), "main_user_flow_target",
+                        _joined("required_diagrams"), _joined("concepts_needing_analogies"), _joined("uncertain_areas"))
+
+
 def q_parse_plan(spark, d):
-    return _plans(spark, d).select("repo_id", F.to_json("major_modules").alias("major_modules"),
-                                   F.to_json("explanation_order").alias("explanation_order"), "main_user_flow_target",
-                                   _joined("required_diagrams"), _joined("concepts_needing_analogies"), _joined("uncertain_areas"))
+    return _flat_plans(_plans(spark, d))
+
+
+def q_saved_plan(spark, d):
+    """Plans as an artifact, read back."""
+    out = scratch_dir(spark, "plans")
+    artifacts.write_artifacts({"plan": _plans(spark, d).drop("answer")}, out)
+    return _flat_plans(artifacts.read_artifact(spark, out, "plan"))
 
 
 def q_setup_files(spark, d):
@@ -479,23 +541,25 @@ def q_apply_text_model(spark, d):
 
 def q_results_payload(spark, d):
     a, sections = _analysis(spark, d), fixtures.sections(spark, d)
-    runs = sections.select("repo_id", "run_id").distinct()
-    drawn = explanation.repository_diagrams(a).join(runs, "repo_id").select("repo_id", "run_id", "diagram", "text") \
-        .unionByName(q_flow_text(spark, d).select("repo_id", "run_id", "diagram", "text"))
-    payload = results.results_payload(validate.masked_sections(sections), drawn, tech.tech_summary(a.tech), _report(spark, d, a))
+    diagrams = _drawn(spark, d, a)
+    payload = results.results_payload(validate.masked_sections(sections), diagrams, tech.tech_summary(a.tech),
+                                      explanation.checked(a, sections, diagrams))
 
     def flat(col):
         return F.md5(F.array_join(F.transform(F.map_entries(col), lambda e: F.concat_ws("=", e.key, e.value)), "|")).alias(col)
 
     lists = F.transform(F.map_entries("tech_summary"), lambda e: F.concat_ws("=", e.key, F.array_join(e.value, ",")))
     return payload.select("repo_id", "run_id", flat("sections"), flat("diagrams"), F.array_join(lists, "|").alias("tech_summary"),
-                          F.size("validation_report.unresolved_file_paths").cast("bigint").alias("n_unresolved"))
+                          *_flat_report("validation_report."))
 
 
 def q_output_index(spark, d):
-    df = results.output_index(fixtures.sections(spark, d))
+    """Plans are saved for a third of the repositories."""
+    out = scratch_dir(spark, "plans")
+    artifacts.write_artifacts({"plan": _plans(spark, d).filter(_SECOND).drop("answer")}, out)
+    df = results.output_index(fixtures.sections(spark, d), artifacts.read_artifact(spark, out, "plan"))
     names = F.transform("sections", lambda x: F.concat_ws(":", x["name"], x["size_bytes"].cast("string")))
-    return df.select("repo_id", "run_id", *_long("sections_ready", "sections_expected"), F.array_join(names, "|").alias("sections"))
+    return df.select("repo_id", "run_id", *_long("sections_ready", "sections_expected"), F.array_join(names, "|").alias("sections"), "plan_ready")
 
 
 # --- streams -------------------------------------------------------------------------------------------------
@@ -597,6 +661,9 @@ def queries() -> dict[str, Query]:
         "decode_text": q_decode_text,
         "artifacts": q_artifacts,
         "run_analysis": q_run_analysis,
+        "artifacts_replaced": q_artifacts_replaced,
+        "saved_plan": q_saved_plan,
+        "saved_validation_report": q_saved_validation_report,
         "analysis_of_wrapped_repo": q_analysis_of_wrapped_repo,
         "secret_findings": q_secret_findings,
         "results_payload": q_results_payload,

@@ -30,13 +30,20 @@ def results_payload(sections: DataFrame, diagrams: DataFrame, summary: DataFrame
         F.coalesce("tech_summary", lists).alias("tech_summary"), "validation_report")
 
 
-def output_index(sections: DataFrame) -> DataFrame:
-    """Per run: sections ready and expected, and name and size of every section in order."""
+def output_index(sections: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """Per run: sections ready and expected, name and size of every section in order, and whether its repository has a plan.
+
+    ``plans``: the saved plans (artifact ``plan``); without them no plan is ready.
+    """
     entry = F.struct(F.col("section").alias("name"), F.concat("section", F.lit(".md")).alias("filename"),
                      F.octet_length("markdown").alias("size_bytes"))
-    return sections.groupBy("repo_id", "run_id").agg(
+    index = sections.groupBy("repo_id", "run_id").agg(
         F.count(F.lit(1)).alias("sections_ready"), F.array_sort(F.collect_list(entry)).alias("sections")) \
         .withColumn("sections_expected", F.lit(len(vocab.SECTION_NAMES)))
+    if plans is None:
+        return index.withColumn("plan_ready", F.lit(False))
+    ready = plans.select("repo_id").distinct().withColumn("plan_ready", F.lit(True))
+    return index.join(ready, "repo_id", "left").fillna(False, ["plan_ready"])
 
 
 def output_section(sections: DataFrame, section: str) -> DataFrame:

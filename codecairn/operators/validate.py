@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths, text, vocab
+from ..sources.scratch import saved
 from . import secrets
 
 # Patterns in the subset that Java and RE2 read alike.
@@ -63,22 +64,68 @@ def known_components(important: DataFrame, edges: DataFrame) -> DataFrame:
     return names.unionByName(ends).select("repo_id", F.lower("c").alias("component")).distinct()
 
 
+#: Letters in a gram; shorter names are looked up as they are.
+GRAM = 3
+
+
+def _grams(name: Column) -> Column:
+    """The distinct runs of ``GRAM`` letters of a name that has so many."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name) - (GRAM - 1), F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(name, i, F.lit(GRAM))))
+
+
+def _short_parts(name: Column) -> Column:
+    """The distinct runs of fewer letters, the empty one too."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+    parts = [F.transform(at, lambda i, n=n: F.substring(name, i, F.lit(n))) for n in range(1, GRAM)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *parts))
+
+
+def _rarest(grams: DataFrame, name: str, counts: DataFrame) -> DataFrame:
+    """(repo_id, name, gram) for the gram of each name that the fewest others have; none for a name with a gram no other has."""
+    counted = grams.join(counts, ["repo_id", "gram"], "left")
+    return counted.groupBy("repo_id", name).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")) \
+        .filter("m.n > 0").select("repo_id", name, F.col("m.gram").alias("gram"))
+
+
+def contained(names: DataFrame, others: DataFrame) -> DataFrame:
+    """(repo_id, label) of the labels that some component of the repository contains or is contained in.
+
+    A name that lies in another has all its grams there. Only grams that labels have are kept of the components; a name then
+    meets the others at its rarest gram alone, where both are compared. Names below ``GRAM`` letters are met among
+    the short parts of the others. The keys are (repository, gram), so one large repository is many keys.
+    """
+    long_label, long_component = F.length("label") >= GRAM, F.length("component") >= GRAM
+    label_grams = names.filter(long_label).select("repo_id", "label", F.explode(_grams(F.col("label"))).alias("gram"))
+    label_counts = label_grams.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    all_grams = others.filter(long_component).select("repo_id", "component", F.size(_grams(F.col("component"))).alias("of"),
+                                                     F.explode(_grams(F.col("component"))).alias("gram"))
+    grams = saved(all_grams.join(label_counts.select("repo_id", "gram"), ["repo_id", "gram"]), "component-grams")
+    counts = grams.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    inside = _rarest(label_grams, "label", counts).join(grams, ["repo_id", "gram"]).filter(F.contains("component", F.col("label")))
+    whole = grams.groupBy("repo_id", "component").agg(F.count(F.lit(1)).alias("known"), F.first("of").alias("of")).filter("known = of")
+    whole_grams = whole.select("repo_id", "component", F.explode(_grams(F.col("component"))).alias("gram"))
+    around = _rarest(whole_grams, "component", label_counts).join(label_grams, ["repo_id", "gram"]).filter(F.contains("label", F.col("component")))
+    parts = others.select("repo_id", F.explode(_short_parts(F.col("component"))).alias("label")).distinct()
+    short_labels = names.filter(~long_label).join(parts, ["repo_id", "label"])
+    label_parts = names.select("repo_id", "label", F.explode(_short_parts(F.col("label"))).alias("component"))
+    short_components = label_parts.join(others.filter(~long_component), ["repo_id", "component"])
+    found = [df.select("repo_id", "label") for df in (inside, around, short_labels, short_components)]
+    return found[0].unionAll(found[1]).unionAll(found[2]).unionAll(found[3]).distinct()
+
+
 def unresolved_components(labels: DataFrame, known: DataFrame) -> DataFrame:
     """Labels that no known component of the repository contains or is contained in.
 
-    The labels of one repository come from its few diagrams, so they travel as one array and
-    every component is tested against it in its own row: work is spread by component, and
-    only labels that match are emitted, combined on the map side. No pair of label and
-    component is ever a row. Labels of different generation runs (``run_id``) are judged apart.
+    Each distinct label of a repository is judged once, whatever number of runs and diagrams has it; these are found again
+    at the end. So there is no row for a component and a run, and none for a component and a label that share no gram.
     """
     keys = ["repo_id", *_run(labels)]
-    open_labels = labels.filter(~F.lower("label").isin(vocab.GENERIC_COMPONENTS))
-    per_repo = open_labels.groupBy(*keys).agg(F.collect_set(F.lower("label")).alias("_labels"))
-    component = F.col("component")
-    hit = F.filter("_labels", lambda x: F.contains(component, x) | F.contains(x, component))
-    matched = known.join(per_repo, "repo_id").select(*keys, F.explode(hit).alias("_label")).distinct()
+    open_labels = saved(labels.filter(~F.lower("label").isin(vocab.GENERIC_COMPONENTS)), "open-labels")
+    names = saved(open_labels.select("repo_id", F.lower("label").alias("label")).distinct(), "label-names")
+    matched = contained(names, known).withColumnRenamed("label", "_label")
     return open_labels.withColumn("_label", F.lower("label")) \
-        .join(matched, [*keys, "_label"], "left_anti") \
+        .join(matched, ["repo_id", "_label"], "left_anti") \
         .select(*keys, "diagram", F.col("label").alias("component")).distinct()
 
 

@@ -97,7 +97,7 @@ def saved_analysis(spark: SparkSession, files: DataFrame, tables: tuple = TABLES
 
 
 def run_analysis(spark: SparkSession, files: DataFrame, directory: str, strip_root: bool = True) -> Analysis:
-    """Analyses a corpus and writes its artifacts below ``directory``.
+    """Analyses repositories and replaces their artifacts below ``directory``; those of other repositories stay.
 
     ``secrets_report`` is the short report; all findings and high-risk files are artifacts of their own.
     """
@@ -109,5 +109,5 @@ def run_analysis(spark: SparkSession, files: DataFrame, directory: str, strip_ro
         "secrets_report": result.secrets_report,
         "secret_findings": result.findings,
         "high_risk_files": secrets.high_risk_files(result.findings),
-    }, directory)
+    }, directory, repositories=result.files.select("repo_id"))
     return result

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import graphs, prompts, results, tech, validate
-from ..sources.scratch import scratch_dir
+from ..sources.artifacts import write_artifacts
+from ..sources.scratch import saved, scratch_dir
 from .analysis import Analysis
 
 Model = Callable[[str, str], str]
@@ -38,8 +39,24 @@ def repository_diagrams(a: Analysis) -> DataFrame:
     return graphs.diagram_text(nodes, edges)
 
 
-def explain(spark: SparkSession, a: Analysis, projects: DataFrame, model: Model, partitions: int | None = None) -> DataFrame:
-    """File summaries, plan, nine sections, diagrams and validation: one result row per repository."""
+def drawn(a: Analysis, runs: DataFrame, flows: DataFrame) -> DataFrame:
+    """(repo_id, run_id, diagram, text): the three diagrams of the repository in each of its runs, and the flow of the run."""
+    columns = ["repo_id", "run_id", "diagram", "text"]
+    return repository_diagrams(a).join(runs, "repo_id").select(columns).unionByName(flows.select(columns))
+
+
+def checked(a: Analysis, sections: DataFrame, diagrams: DataFrame) -> DataFrame:
+    """The validation report of every run, over all of its diagrams (repo_id, run_id, diagram, text)."""
+    known = validate.known_components(a.important, a.relationships)
+    return validate.validation_report(sections, a.inventory, validate.unresolved_components(validate.diagram_labels(diagrams), known))
+
+
+def explain(spark: SparkSession, a: Analysis, projects: DataFrame, model: Model, partitions: int | None = None,
+            directory: str | None = None) -> DataFrame:
+    """File summaries, plan, nine sections, diagrams and validation: one result row per repository.
+
+    With a ``directory``, plans and validation reports are saved there as artifacts of their repositories.
+    """
     files = answered(spark, prompts.file_prompts(a.important), model, "summaries", partitions)
     summaries = prompts.parse_model_json(files)
     plan_rows = prompts.plan_prompts(projects, prompts.compact_tech(a.tech), prompts.compact_summaries(summaries),
@@ -48,10 +65,10 @@ def explain(spark: SparkSession, a: Analysis, projects: DataFrame, model: Model,
     rows = prompts.section_prompts(context_of(a, projects, summaries, plans))
     sections = prompts.sections_from_answers(answered(spark, rows, model, "sections", partitions)) \
         .withColumn("run_id", F.col("repo_id"))
-    flows = sections.filter(F.col("section") == "06_main_user_flow")
-    flow_diagrams = graphs.diagram_text(*graphs.user_flow(flows), keys=["repo_id", "run_id"])
-    diagrams = repository_diagrams(a).withColumn("run_id", F.col("repo_id")).unionByName(flow_diagrams)
-    labels = validate.diagram_labels(diagrams)
-    unresolved = validate.unresolved_components(labels, validate.known_components(a.important, a.relationships))
-    report = validate.validation_report(sections, a.inventory, unresolved)
+    flows = graphs.diagram_text(*graphs.user_flow(sections.filter(F.col("section") == "06_main_user_flow")), keys=["repo_id", "run_id"])
+    diagrams = saved(drawn(a, sections.select("repo_id", "run_id").distinct(), flows), "diagrams")
+    report = saved(checked(a, sections, diagrams), "reports")
+    if directory:
+        write_artifacts({"plan": plans.select("repo_id", *prompts.PLAN_FIELDS), "validation_report": report}, directory,
+                        repositories=projects.select("repo_id"))
     return results.results_payload(validate.masked_sections(sections), diagrams, tech.tech_summary(a.tech), report)

@@ -27,4 +27,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._saved_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` wrote and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_saved_at", None):
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote, on whatever file system it is."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

@@ -459,13 +459,15 @@ CTES |= {
     "mentions": f"SELECT DISTINCT repo_id, run_id, section, p AS path FROM (SELECT repo_id, run_id, section, unnest(regexp_extract_all(markdown, {q(validate.PATH_TOKEN)}, 0)) AS p FROM sections) "
                 "WHERE NOT starts_with(p, 'http') AND NOT starts_with(p, 'www.') AND NOT regexp_full_match(p, '[0-9]+[.][0-9]+')",
     "bad_paths": "SELECT m.* FROM mentions m WHERE NOT EXISTS (SELECT 1 FROM inv i WHERE i.repo_id = m.repo_id AND (i.path = m.path OR i.name = regexp_extract(m.path, '[^/]*$')))",
-    "labels0": f"""SELECT DISTINCT repo_id, diagram, label FROM (
-        SELECT repo_id, diagram, {strip("CASE WHEN regexp_full_match(m, '" + validate.QUOTED_BOX[1:-1] + "') THEN m[3:-3] ELSE m[2:-2] END")} AS label FROM (
-          SELECT repo_id, diagram, unnest(regexp_extract_all(text, {q(validate.BRACKETED)}, 0)) AS m FROM diagrams)
-        UNION ALL SELECT repo_id, diagram, unnest(regexp_extract_all(text, {q(validate.ACTOR)}, 1)) FROM diagrams)""",
+    "drawn": "SELECT x.repo_id, x.run_id, g.diagram, g.text FROM (SELECT DISTINCT repo_id, run_id FROM sections) x JOIN diagrams g USING (repo_id) "
+             "UNION ALL SELECT repo_id, run_id, diagram, text FROM flow_text",
+    "labels0": f"""SELECT DISTINCT repo_id, run_id, diagram, label FROM (
+        SELECT repo_id, run_id, diagram, {strip("CASE WHEN regexp_full_match(m, '" + validate.QUOTED_BOX[1:-1] + "') THEN m[3:-3] ELSE m[2:-2] END")} AS label FROM (
+          SELECT repo_id, run_id, diagram, unnest(regexp_extract_all(text, {q(validate.BRACKETED)}, 0)) AS m FROM drawn)
+        UNION ALL SELECT repo_id, run_id, diagram, unnest(regexp_extract_all(text, {q(validate.ACTOR)}, 1)) FROM drawn)""",
     "known": "SELECT DISTINCT repo_id, lower(c) AS c FROM (SELECT repo_id, path AS c FROM imp UNION ALL SELECT repo_id, regexp_extract(path, '[^/]*$') FROM imp "
              "UNION ALL SELECT repo_id, source FROM edges UNION ALL SELECT repo_id, target FROM edges)",
-    "bad_parts": f"SELECT l.repo_id, l.diagram, l.label AS component FROM labels0 l WHERE lower(l.label) NOT IN {in_list(vocab.GENERIC_COMPONENTS)} "
+    "bad_parts": f"SELECT l.repo_id, l.run_id, l.diagram, l.label AS component FROM labels0 l WHERE lower(l.label) NOT IN {in_list(vocab.GENERIC_COMPONENTS)} "
                  "AND NOT EXISTS (SELECT 1 FROM known k WHERE k.repo_id = l.repo_id AND (contains(k.c, lower(l.label)) OR contains(lower(l.label), k.c)))",
     "sec_types": "SELECT repo_id, run_id, section, list_filter([" + ", ".join(
         f"CASE WHEN regexp_matches(markdown, {q(r.pattern)}) THEN {q(r.name)} END" for r in secrets.RULES) + "], lambda x: x IS NOT NULL) AS types FROM sections",
@@ -474,7 +476,7 @@ CTES |= {
         FROM (SELECT DISTINCT repo_id, run_id FROM sections) r
         LEFT JOIN (SELECT repo_id, run_id, count(*) AS n, string_agg(section || '.md:' || path, '|' ORDER BY section, path) AS t FROM bad_paths GROUP BY 1, 2) p USING (repo_id, run_id)
         LEFT JOIN (SELECT repo_id, run_id, string_agg(section || '.md:' || array_to_string(types, '+'), '|' ORDER BY section) AS t FROM sec_types WHERE len(types) > 0 GROUP BY 1, 2) l USING (repo_id, run_id)
-        LEFT JOIN (SELECT repo_id, string_agg(diagram || ':' || component, '|' ORDER BY diagram, component) AS t FROM bad_parts GROUP BY 1) d USING (repo_id)""",
+        LEFT JOIN (SELECT repo_id, run_id, string_agg(diagram || ':' || component, '|' ORDER BY diagram, component) AS t FROM bad_parts GROUP BY 1, 2) d USING (repo_id, run_id)""",
     "answers": f"SELECT repo_id, path, rank, {fixtures.ANSWER_SQL} AS answer FROM imp",
     "summaries": """SELECT repo_id, path, rank, CASE WHEN ok THEN json_extract_string(j, '$.responsibility') ELSE substring(trim(answer), 1, 500) END AS responsibility,
         CASE WHEN ok THEN CAST(json_extract(j, '$.important_symbols') AS VARCHAR[]) ELSE [] END AS syms, CASE WHEN ok THEN json_extract_string(j, '$.inputs') ELSE '' END AS inputs,
@@ -548,16 +550,24 @@ QUERIES |= {
     "decode_text": "SELECT repo_id, path, CAST(length(content) + 2 AS BIGINT) AS n_chars, chr(65533) || 'A' AS tail FROM files",
     "artifacts": QUERIES["important_files"],
     "analysis_of_wrapped_repo": QUERIES["important_files"],
-    "run_analysis": "SELECT repo_id, 'tech' AS kind, 1 AS n FROM repos UNION ALL SELECT repo_id, 'secrets_report', 1 FROM repos "
-                    "UNION ALL SELECT repo_id, 'important_files', count(*) FROM imp GROUP BY 1 UNION ALL SELECT repo_id, 'relationships', count(*) FROM edges GROUP BY 1 "
-                    f"UNION ALL SELECT repo_id, 'secret_findings', count(*) FROM findings GROUP BY 1 UNION ALL SELECT repo_id, 'high_risk_files', count(*) FROM findings WHERE list_has_any(types, {HIGH}) GROUP BY 1",
+    "run_analysis": "SELECT repo_id, 'tech' AS kind, '' AS item, md5(concat_ws('#', " + ", ".join([*vocab.FACETS, "external_apis_detected"]) + ", docker::VARCHAR)) AS digest FROM stack "
+                    "UNION ALL SELECT repo_id, 'important_files', path, md5(concat_ws('#', rank, score, reason_important, language, category)) FROM imp "
+                    "UNION ALL SELECT repo_id, 'relationships', source || ' ' || relationship || ' ' || target, md5(evidence) FROM edges "
+                    "UNION ALL SELECT repo_id, 'secrets_report', '', md5(concat_ws('#', total_files_scanned, files_with_secrets, secret_types_found, high_risk_count, findings)) FROM srep "
+                    "UNION ALL SELECT repo_id, 'secret_findings', file, md5(array_to_string(types, '|')) FROM findings "
+                    f"UNION ALL SELECT repo_id, 'high_risk_files', file, md5('') FROM findings WHERE list_has_any(types, {HIGH})",
+    "artifacts_replaced": "SELECT repo_id, 'important_files' AS kind, path, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, path) AS rank FROM scored "
+                          "WHERE score >= 50 AND (md5(repo_id) >= '5' OR length(path) % 2 = 0) QUALIFY rank <= 12 "
+                          "UNION ALL SELECT repo_id, 'secret_findings', file, NULL FROM findings WHERE md5(repo_id) >= '5' OR length(file) % 2 = 0",
+    "saved_validation_report": "SELECT repo_id, run_id, CASE WHEN md5(repo_id) < '5' THEN '' ELSE unresolved_file_paths END AS unresolved_file_paths, "
+                               "unresolved_diagram_components, leaked_secrets_detected FROM report",
     "secret_findings": "SELECT repo_id, file, array_to_string(types, '|') AS secret_types FROM findings",
-    "results_payload": """SELECT r.repo_id, r.run_id, md5(m.t) AS sections, md5(d.t) AS diagrams, coalesce(t.t, '') AS tech_summary, r.n AS n_unresolved FROM report r
+    "results_payload": """SELECT r.repo_id, r.run_id, md5(m.t) AS sections, md5(d.t) AS diagrams, coalesce(t.t, '') AS tech_summary, r.unresolved_file_paths, r.unresolved_diagram_components, r.leaked_secrets_detected FROM report r
         JOIN (SELECT repo_id, run_id, string_agg(section || '=' || markdown, '|' ORDER BY section) AS t FROM masked GROUP BY 1, 2) m USING (repo_id, run_id)
-        JOIN (SELECT repo_id, run_id, string_agg(diagram || '=' || text, '|' ORDER BY diagram) AS t FROM (SELECT repo_id, run_id, diagram, text FROM flow_text
-          UNION ALL SELECT x.repo_id, x.run_id, g.diagram, g.text FROM (SELECT DISTINCT repo_id, run_id FROM sections) x JOIN diagrams g USING (repo_id)) GROUP BY 1, 2) d USING (repo_id, run_id)
+        JOIN (SELECT repo_id, run_id, string_agg(diagram || '=' || text, '|' ORDER BY diagram) AS t FROM drawn GROUP BY 1, 2) d USING (repo_id, run_id)
         LEFT JOIN (SELECT repo_id, string_agg(facet || '=' || replace(labels, '|', ','), '|' ORDER BY facet) AS t FROM stack_long GROUP BY 1) t USING (repo_id)""",
-    "output_index": "SELECT repo_id, run_id, count(*) AS sections_ready, CAST(9 AS BIGINT) AS sections_expected, string_agg(section || ':' || strlen(markdown), '|' ORDER BY section) AS sections FROM sections GROUP BY 1, 2",
+    "output_index": "SELECT repo_id, run_id, count(*) AS sections_ready, CAST(9 AS BIGINT) AS sections_expected, string_agg(section || ':' || strlen(markdown), '|' ORDER BY section) AS sections, "
+                    "md5(repo_id) < '5' AND repo_id IN (SELECT repo_id FROM projects) AS plan_ready FROM sections GROUP BY 1, 2",
     "output_section": "SELECT repo_id, run_id, section, markdown FROM sections WHERE section = '06_main_user_flow'",
     "architecture_nodes": f"SELECT {_NODES} FROM arch_nodes", "architecture_edges": f"SELECT {_EDGES} FROM arch_edges",
     "flow_steps": "SELECT repo_id, run_id, step_no, num, action, file, participant FROM steps",
@@ -568,8 +578,8 @@ QUERIES |= {
     "flow_text": "SELECT repo_id, run_id, diagram, text FROM flow_text",
     "path_mentions": "SELECT repo_id, run_id, section, path FROM mentions",
     "unresolved_paths": "SELECT repo_id, run_id, section, path FROM bad_paths",
-    "diagram_labels": "SELECT repo_id, diagram, label FROM labels0",
-    "unresolved_components": "SELECT repo_id, diagram, component FROM bad_parts",
+    "diagram_labels": "SELECT repo_id, run_id, diagram, label FROM labels0",
+    "unresolved_components": "SELECT repo_id, run_id, diagram, component FROM bad_parts",
     "masked_sections": "SELECT repo_id, run_id, section, md5(markdown) AS digest FROM masked",
     "validation_report": "SELECT repo_id, run_id, unresolved_file_paths, unresolved_diagram_components, leaked_secrets_detected FROM report",
     "evidence_labels": f"SELECT repo_id, run_id, section, {_WORDS} FROM sections",
@@ -602,3 +612,4 @@ QUERIES |= {
     "stream_latest_status": QUERIES["latest_status"],
     "stream_relationships": QUERIES["dedupe_relationships"],
 }
+QUERIES["saved_plan"] = QUERIES["parse_plan"]

@@ -149,9 +149,6 @@ def test_wrapped_upload_and_all_findings(spark, files, tmp_path):
     assert {r.source for r in a.relationships.collect()} == set() and "src/f00.py" in {r.path for r in a.inventory.collect()}
     row = a.tech.first()
     assert row.frontend_frameworks == ["React"] and row.package_managers == ["Yarn"]
-    artifacts.write_artifacts({"secret_findings": a.findings}, str(tmp_path / "by"), by_repository=True)
-    assert (tmp_path / "by" / "secret_findings" / "repo_id=r").is_dir()
-    assert artifacts.read_artifact(spark, str(tmp_path / "by"), "secret_findings").count() == 12
 
 
 def test_labels_of_runs_are_apart(spark):
@@ -160,3 +157,60 @@ def test_labels_of_runs_are_apart(spark):
     known = spark.createDataFrame([("r", "src/main.py")], "repo_id string, component string")
     got = validate.unresolved_components(validate.diagram_labels(diagrams), known)
     assert [(r.run_id, r.component) for r in got.collect()] == [("1", "ghost")]
+
+
+def test_artifacts_are_replaced_by_repository(spark, tmp_path):
+    out = str(tmp_path / "store")
+    frame = lambda rows: spark.createDataFrame(rows, "repo_id string, file string")
+    rows = lambda kind="high_risk_files", **k: sorted(map(tuple, artifacts.read_artifact(spark, out, kind, **k).collect()))
+    everyone = [(f"r{i}", "old") for i in range(40)]
+    assert artifacts.write_artifacts({"high_risk_files": frame(everyone)}, out, buckets=4) == 1
+    # r1 has new rows, r2 is analysed again and has none, r99 is new
+    analysed = spark.createDataFrame([("r1",), ("r2",)], "repo_id string")
+    artifacts.write_artifacts({"high_risk_files": frame([("r1", "new"), ("r1", "more"), ("r99", "new")])}, out, analysed)
+    second = sorted([e for e in everyone if e[0] not in ("r1", "r2")] + [("r1", "new"), ("r1", "more"), ("r99", "new")])
+    assert rows() == second and rows(version=1) == sorted(everyone)
+    # another kind does not touch the first
+    artifacts.write_artifacts({"secret_findings": spark.createDataFrame([("r1", "f", ["t"])], artifacts.SCHEMAS["secret_findings"])}, out)
+    assert rows() == second and rows("secret_findings") == [("r1", "f", ["t"])]
+    # a run that fails leaves what was there
+    broken = frame([("r3", "bad")]).select("repo_id", F.raise_error(F.lit("stop")).cast("string").alias("file"))
+    with pytest.raises(Exception):
+        artifacts.write_artifacts({"high_risk_files": broken}, out, analysed)
+    assert rows() == second
+    # two runs from one version: the second to publish fails
+    old = artifacts.Published
+    artifacts.Published = lambda s, d, v=None: old(s, d, 2 if v is None else v)
+    try:
+        with pytest.raises(Exception):
+            artifacts.write_artifacts({"high_risk_files": frame([("r5", "lost")])}, out)
+    finally:
+        artifacts.Published = old
+    assert rows() == second
+    artifacts.expire_artifacts(spark, out, keep=1)
+    assert rows() == second and not (tmp_path / "store" / "published" / "version=1").exists()
+    # everything goes
+    artifacts.write_artifacts({"high_risk_files": frame([]), "secret_findings": spark.createDataFrame([], artifacts.SCHEMAS["secret_findings"])}, out,
+                              spark.createDataFrame([(r[0],) for r in second], "repo_id string").unionAll(analysed))
+    assert rows() == [] and rows("secret_findings") == []
+
+
+def test_components_by_grams_equal_all_pairs(spark):
+    from codecairn.operators import validate
+    r = random.Random(9)
+    name = lambda n: "".join(r.choice("ab/.") for _ in range(r.randrange(1, n)))
+    labels = {(f"r{r.randrange(3)}", name(9)) for _ in range(150)} | {("r0", ""), ("r3", "abc"), ("r1", "x" * 300)}
+    known = {(f"r{r.randrange(3)}", name(14)) for _ in range(60)} | {("r1", "x" * 299), ("r0", "zzz")}
+    found = validate.contained(spark.createDataFrame(sorted(labels), "repo_id string, label string"),
+                               spark.createDataFrame(sorted(known), "repo_id string, component string"))
+    assert {tuple(f) for f in found.collect()} == {(a, x) for a, x in labels if any(a == b and (x in y or y in x) for b, y in known)}
+
+
+def test_saved_plan_and_report(spark, files, tmp_path):
+    out = str(tmp_path / "out")
+    projects = spark.createDataFrame([("r", "d", None, None)], "repo_id string, product_description string, important_features string, technical_level string")
+    a = analysis.saved_analysis(spark, files({"main.py": "import os"}))
+    payload = explanation.explain(spark, a, projects, lambda s, p: "see ghost/x.py", directory=out).first()
+    plan, report = artifacts.read_artifact(spark, out, "plan").first(), artifacts.read_artifact(spark, out, "validation_report").first()
+    assert plan.repo_id == "r" and plan.main_user_flow_target
+    assert report.unresolved_file_paths == payload.validation_report.unresolved_file_paths != []
