@@ -77,8 +77,11 @@ def _grams(name: Column) -> Column:
 def _short_parts(name: Column) -> Column:
     """The distinct runs of fewer letters, the empty one too."""
     at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-    parts = [F.transform(at, lambda i, n=n: F.substring(name, i, F.lit(n))) for n in range(1, GRAM)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *parts))
+
+    def parts(n: int) -> Column:
+        return F.transform(at, lambda i: F.substring(name, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *(parts(n) for n in range(1, GRAM))))
 
 
 def _rarest(grams: DataFrame, name: str, counts: DataFrame) -> DataFrame:
