@@ -564,10 +564,15 @@ def q_output_index(spark, d):
 
 # --- streams -------------------------------------------------------------------------------------------------
 
+def _landed(spark, df, name):
+    """A table landing in six files, taken two at a time: three batches."""
+    folder = scratch_dir(spark, name)
+    df.repartition(6).write.parquet(folder)
+    return streams.stream_table(spark, folder, max_files_per_batch=2)
+
+
 def _stream_files(spark, d):
-    """Files with an arrival time one second apart, from a stream of the documents."""
-    docs = streams.stream_table(spark, f"{d}/documents*.parquet")
-    return fixtures.files(spark, d, docs)
+    return fixtures.files(spark, d, _landed(spark, tables.read_table(spark, f"{d}/documents.parquet"), "documents"))
 
 
 def q_stream_inventory(spark, d):
@@ -584,20 +589,82 @@ def q_stream_secrets(spark, d):
     return out.select("repo_id", "file", _joined("secret_types"))
 
 
+def _at(files, hour):
+    return files.withColumn("arrived", F.to_timestamp(F.lit(f"2024-01-01 {hour}:00")))
+
+
 def q_stream_relationships(spark, d):
-    """Every file arrives twice, a minute apart; edges come once."""
-    files = _stream_files(spark, d)
-    first = files.withColumn("arrived", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    again = _stream_files(spark, d).withColumn("arrived", F.lit("2024-01-01 00:01:00").cast("timestamp"))
-    out = streams.run_append(streams.stream_relationships(first.unionByName(again), "arrived"), streams.fresh_run(spark, "relationships"))
-    return out.select("repo_id", "source", "relationship", "target", "evidence")
+    """Three deliveries. The second repeats the first third within the delay and moves the watermark on by two hours with the second
+    third; of the last, the third third is too late, and the first third, forgotten by then, comes once more."""
+    files = saved(fixtures.files(spark, d), "files")
+    part = lambda k: files.filter(F.length("path") % 3 == k)
+    deliveries = [_at(part(0), "10:00"), _at(part(0), "10:01").unionByName(_at(part(1), "12:30")),
+                  _at(part(2), "10:30").unionByName(_at(part(0), "12:40"))]
+    landing, run = scratch_dir(spark, "landing"), streams.fresh_run(spark, "relationships")
+    for files in deliveries:
+        files.write.mode("append").parquet(landing)
+        out = streams.run_append(streams.stream_relationships(streams.stream_table(spark, landing), "arrived"), run)
+    return out.groupBy("repo_id", "source", "relationship", "target", "evidence").agg(F.count(F.lit(1)).alias("times"))
 
 
 def q_stream_latest_status(spark, d):
-    log = fixtures.status_log(spark, d, streams.stream_table(spark, f"{d}/events*.parquet"))
+    log = fixtures.status_log(spark, d, _landed(spark, tables.read_table(spark, f"{d}/events.parquet"), "events"))
     return streams.run_latest_status(log, streams.fresh_run(spark, "status")).select("project_id", "status", "event_id")
 
 
+def _versions(spark, d):
+    """Three deliveries of files: all; a third changed and a third as before; a third late and a third replaced."""
+    files = saved(fixtures.files(spark, d), "files")
+    part = lambda k: files.filter(F.length("path") % 3 == k)
+    text = lambda df, c: df.withColumn("content", c)
+    return [_at(files, "01:00"),
+            _at(text(part(0), F.concat("content", F.lit("\nimport changed\nfetch('/api/changed')"))), "03:00").unionByName(_at(part(1), "03:00")),
+            _at(text(part(0), F.lit("import late")), "02:00").unionByName(_at(text(part(2), F.lit("import fresh\nfetch('/api/fresh')")), "04:00"))]
+
+
+def q_stream_current_edges(spark, d):
+    """Files that come again, changed or late: the edges of their newest versions."""
+    landing, run = scratch_dir(spark, "landing"), streams.fresh_run(spark, "changes")
+    for files in _versions(spark, d):
+        files.write.mode("append").parquet(landing)
+        changes = streams.run_append(streams.stream_edge_changes(streams.stream_table(spark, landing), "arrived"), run)
+    return streams.current_edges(changes)
+
+
+def q_stream_current_inventory(spark, d):
+    """The inventory of the newest version of every path."""
+    landing, run = scratch_dir(spark, "landing"), streams.fresh_run(spark, "current")
+    for files in _versions(spark, d):
+        files.write.mode("append").parquet(landing)
+        rows = inv_ops.inventory(streams.stream_table(spark, landing), keep=["arrived"])
+        current = streams.run_current(rows, ["repo_id", "path"], ["arrived"], run)
+    return current.drop("arrived")
+
+
+def _arrivals(spark, d):
+    """Archives, whole and cut ones, arriving in three parts."""
+    landing, run = scratch_dir(spark, "landing"), streams.fresh_run(spark, "archives")
+    packed = saved(_archives(spark, d), "archives")
+    for k in range(3):
+        packed.filter(F.crc32("archive") % 3 == k).write.mode("append").parquet(landing)
+        arrivals = streams.run_archives(streams.stream_table(spark, landing), run)
+    return arrivals
+
+
+def q_stream_files(spark, d):
+    return _arrivals(spark, d).files.select("repo_id", "path", "content", "size")
+
+
+def q_stream_bad_archives(spark, d):
+    return _arrivals(spark, d).errors.select("archive", "repo_id", F.substring_index("error", ":", 1).alias("error")).distinct()
+
+
+def q_stream_facts(spark, d):
+    """Edges of the files in arriving archives, from the facts of their batches."""
+    edges = relations.relationships(_arrivals(spark, d).facts)
+    return edges.select("repo_id", "source", "relationship", "target", "evidence")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The most important files of every repository."""
     return q_important_files(spark, "/root/testdata/sf0.001")
@@ -704,6 +771,11 @@ def queries() -> dict[str, Query]:
         "stream_secrets": q_stream_secrets,
         "stream_latest_status": q_stream_latest_status,
         "stream_relationships": q_stream_relationships,
+        "stream_current_edges": q_stream_current_edges,
+        "stream_current_inventory": q_stream_current_inventory,
+        "stream_files": q_stream_files,
+        "stream_bad_archives": q_stream_bad_archives,
+        "stream_facts": q_stream_facts,
         **(llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {}),
     }
 
@@ -713,4 +785,4 @@ def oracle_sql() -> dict[str, str]:
     extra = dict(llm.ORACLE_SQL) if llm else {}
     if llm and corpus_pipeline.ORACLE_SQL:
         extra["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return {name: oracle.compose(sql) for name, sql in oracle.QUERIES.items()} | extra
+    return {name: oracle.compose(sql, oracle.TABLES.get(name, {})) for name, sql in oracle.QUERIES.items()} | extra

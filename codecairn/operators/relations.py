@@ -137,7 +137,7 @@ def _line_edges(x: Column, extractor: int) -> Column:
         text.evidence(x.text).alias("evidence")))
 
 
-def _first_per_target(edges: Column) -> Column:
+def first_per_target(edges: Column) -> Column:
     """Of an array sorted by (relationship, target, position), the first edge per (relationship, target)."""
     return F.filter(edges, lambda e, i: (i == 0)
                     | (e.relationship != F.get(edges, i - 1).relationship)
@@ -176,7 +176,7 @@ def _edge_rows(files: DataFrame, extractors: list[int], dedupe: bool) -> DataFra
     # "not empty" filter below it, which would run the whole extraction a second time.
     if dedupe:
         rows = files.select(*kept, F.sort_array(edges).alias("edges")) \
-            .select("repo_id", "source", *extra, F.explode(_first_per_target(F.col("edges"))).alias("e"))
+            .select("repo_id", "source", *extra, F.explode(first_per_target(F.col("edges"))).alias("e"))
     else:
         rows = files.select(*kept, F.explode(edges).alias("e"))
     return rows.select("repo_id", "source", "e.relationship", "e.target", "e.evidence", "e.extractor", "e.line", "e.pos",

@@ -1,22 +1,17 @@
-"""Analysis artifacts as JSON, replaced by repository and published by run.
+"""Analysis artifacts as JSON, replaced by repository and published by run (see ``published``).
 
-    directory/<kind>/<run>/bucket=<b>/*.json     the rows of the repositories of a bucket, written by a run
-    directory/published/version=<n>/*.json       which run has the rows of each kind and bucket
-
-A repository belongs to the bucket of its hash. A run replaces everything its repositories had: it writes new folders for the buckets
-they are in, with the rows that other repositories have there carried over, and publishes them all at once under the next version.
-Until then, and if it fails, readers see the version before; of two runs that started from the same version the second one fails.
+A repository belongs to the bucket of its hash. A run replaces everything its repositories had; the rows that other repositories
+have in the same buckets are carried over.
 """
 from __future__ import annotations
 
-import re
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vocab
-from .scratch import remove, saved
+from .published import Published, bucket_of, buckets_of, expire, publish
+from .scratch import saved
 
 SCHEMAS = {
     "tech": "repo_id string, " + ", ".join(f"{f} array<string>" for f in [*vocab.FACETS, "external_apis_detected"]) + ", docker boolean",
@@ -35,7 +30,6 @@ SCHEMAS = {
 }
 #: Buckets of a new directory; a directory keeps the number it began with.
 BUCKETS = 64
-_ENTRY = "kind string, bucket int, run string"
 
 
 def _check(kind: str) -> None:
@@ -43,40 +37,6 @@ def _check(kind: str) -> None:
         raise ValueError(f"artifact must be one of: {', '.join(sorted(SCHEMAS))}")
 
 
-def _values(spark: SparkSession, path: str, name: str) -> set[int]:
-    """The values of a partition folder below ``path`` that have files."""
-    try:
-        found = spark.read.schema("x string").json(path).inputFiles()
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
-            raise
-        return set()
-    return {int(m[1]) for f in found if (m := re.search(rf"/{name}=(\d+)/[^/]*$", f))}
-
-
-class Published:
-    """The newest version of a directory: buckets, and for each (kind, bucket) the run that has its rows."""
-
-    def __init__(self, spark: SparkSession, directory: str, version: int | None = None):
-        versions = _values(spark, f"{directory}/published", "version")
-        self.version = max(versions, default=0) if version is None else version
-        self.runs: dict[tuple[str, int], str] = {}
-        self.buckets = 0
-        if self.version:
-            for r in spark.read.schema(_ENTRY).json(f"{directory}/published/version={self.version}").collect():  # kinds x buckets
-                if r["kind"] is None:
-                    self.buckets = r["bucket"]
-                else:
-                    self.runs[r["kind"], r["bucket"]] = r["run"]
-
-    def paths(self, directory: str, kind: str, buckets: set[int] | None = None) -> list[str]:
-        return [f"{directory}/{k}/{run}/bucket={b}" for (k, b), run in sorted(self.runs.items()) if k == kind and (buckets is None or b in buckets)]
-
-
-def _bucket(n: int) -> Column:
-    return F.pmod(F.xxhash64("repo_id"), F.lit(n)).cast("int")
-
-
 def write_artifacts(frames: dict[str, DataFrame], directory: str, repositories: DataFrame | None = None, buckets: int = BUCKETS) -> int:
     """Replaces what the repositories of a run have in the given kinds, and returns the version published.
 
@@ -87,39 +47,29 @@ def write_artifacts(frames: dict[str, DataFrame], directory: str, repositories:
         _check(kind)
     spark = next(iter(frames.values())).sparkSession
     old = Published(spark, directory)
-    n, run = old.buckets or buckets, f"run-{uuid.uuid4().hex}"
-    named = [df.select("repo_id") for df in [*frames.values(), *([repositories] if repositories is not None else [])]]
-    everyone = named[0]
-    for df in named[1:]:
+    n, run, version = old.buckets or buckets, f"run-{uuid.uuid4().hex}", (old.version or 0) + 1
+    everyone, *more = [df.select("repo_id") for df in [*frames.values(), *([repositories] if repositories is not None else [])]]
+    for df in more:
         everyone = everyone.unionAll(df)
     mine = saved(everyone.distinct(), "repositories")
-    touched = {r["b"] for r in mine.select(_bucket(n).alias("b")).distinct().collect()}
-    entries = {k: v for k, v in old.runs.items() if k[0] not in frames or k[1] not in touched}
+    touched = buckets_of(mine, ["repo_id"], n)
     for kind, df in frames.items():
-        rows, there = df, old.paths(directory, kind, touched)
+        rows, there = df, old.paths(kind, touched)
         if there:
             kept = spark.read.schema(SCHEMAS[kind]).json(there).join(mine, "repo_id", "left_anti")
             rows = rows.unionByName(kept, allowMissingColumns=True)
-        rows.withColumn("bucket", _bucket(n)).hint("rebalance", "bucket").write.partitionBy("bucket").json(f"{directory}/{kind}/{run}")
-        entries |= {(kind, b): run for b in _values(spark, f"{directory}/{kind}/{run}", "bucket")}
-    listed = [(None, n, None), *((k, b, r) for (k, b), r in sorted(entries.items()))]
-    spark.createDataFrame(listed, _ENTRY).coalesce(1).write.mode("error").json(f"{directory}/published/version={old.version + 1}")
-    return old.version + 1
+        rows.withColumn("bucket", bucket_of(["repo_id"], n)).hint("rebalance", "bucket").write.partitionBy("bucket").json(f"{directory}/{kind}/{run}")
+    publish(spark, old, n, {kind: touched for kind in frames}, run, version)
+    return version
 
 
 def read_artifact(spark: SparkSession, directory: str, kind: str, version: int | None = None) -> DataFrame:
     """An artifact as last published (or of an older version still there), or an empty frame of its schema."""
     _check(kind)
-    paths = Published(spark, directory, version).paths(directory, kind)
+    paths = Published(spark, directory, version).paths(kind)
     return spark.read.schema(SCHEMAS[kind]).json(paths) if paths else spark.createDataFrame([], SCHEMAS[kind])
 
 
 def expire_artifacts(spark: SparkSession, directory: str, keep: int = 2) -> None:
-    """Deletes versions but the newest ``keep``, and the folders that only those named. Not to be called while a run writes."""
-    versions = sorted(_values(spark, f"{directory}/published", "version"))
-    kept, gone = versions[-keep:], versions[:-keep]
-    of = lambda vs: {(k, b, r) for v in vs for (k, b), r in Published(spark, directory, v).runs.items()}
-    for kind, b, run in sorted(of(gone) - of(kept)):
-        remove(spark, f"{directory}/{kind}/{run}/bucket={b}")
-    for v in gone:
-        remove(spark, f"{directory}/published/version={v}")
+    """Deletes what only versions older than the newest ``keep`` have. Not to be called while a run writes."""
+    expire(spark, directory, keep)

@@ -231,15 +231,16 @@ CTES: dict[str, str] = {
 }
 
 
-def compose(sql: str) -> str:
-    """Prefixes the CTEs a statement needs, directly or through others."""
+def compose(sql: str, changed: dict[str, str] | None = None) -> str:
+    """Prefixes the CTEs a statement needs, directly or through others; ``changed`` has others in place of some."""
+    ctes = CTES | (changed or {})
     needed, todo = set(), [sql]
     while todo:
         words = set(re.findall(r"\b[a-z_0-9]+\b", re.sub(r"'(?:[^']|'')*'", "''", todo.pop())))
-        for name in words & CTES.keys() - needed:
+        for name in words & ctes.keys() - needed:
             needed.add(name)
-            todo.append(CTES[name])
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in needed) + "\n" + sql
+            todo.append(ctes[name])
+    return "WITH " + ",\n".join(f"{n} AS ({ctes[n]})" for n in ctes if n in needed) + "\n" + sql
 
 
 def _edges(e: int) -> str:
@@ -610,6 +611,14 @@ QUERIES |= {
     "stream_edges": QUERIES["dedupe_relationships"],
     "stream_secrets": QUERIES["scan_secrets"],
     "stream_latest_status": QUERIES["latest_status"],
-    "stream_relationships": QUERIES["dedupe_relationships"],
+    "stream_relationships": "SELECT repo_id, source, relationship, target, evidence, CASE length(source) % 3 WHEN 0 THEN 2 ELSE 1 END::BIGINT AS times FROM edges WHERE length(source) % 3 < 2",
+    "stream_current_edges": QUERIES["dedupe_relationships"],
+    "stream_current_inventory": QUERIES["inventory"],
+    "stream_facts": QUERIES["dedupe_relationships"],
 }
-QUERIES["saved_plan"] = QUERIES["parse_plan"]
+QUERIES |= {"saved_plan": QUERIES["parse_plan"], "stream_files": QUERIES["read_archives"], "stream_bad_archives": QUERIES["bad_archives"]}
+
+#: Tables that some queries see otherwise. Files that came again: their newest versions.
+_NEWEST = {"files": f"""SELECT repo_id, path, CASE length(path) % 3 WHEN 0 THEN content || chr(10) || 'import changed' || chr(10) || 'fetch(''/api/changed'')'
+    WHEN 1 THEN content ELSE 'import fresh' || chr(10) || 'fetch(''/api/fresh'')' END AS content FROM ({fixtures.FILES_SQL})"""}
+TABLES: dict[str, dict[str, str]] = {"stream_current_edges": _NEWEST, "stream_current_inventory": _NEWEST}
