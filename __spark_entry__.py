@@ -251,12 +251,75 @@ def q_bad_archives(spark, d):
     return archives.bad_archives(members).select("archive", "repo_id", F.substring_index("error", ":", 1).alias("error")).distinct()
 
 
+def _damaged(spark, d):
+    """(archive, repo_id, content): archives of up to a sixteenth of a repository, the data of their first wanted member damaged."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    skipped = set(vocab.SKIP_DIRS["inventory"])
+
+    def pack(key, rows):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for path, content in sorted(zip(rows["path"], rows["content"])):
+                z.writestr(path, content)
+            first = next((i for i in z.infolist() if not skipped & set(i.filename.split("/"))), None)
+        data = bytearray(buffer.getvalue())
+        if first is not None:
+            at = first.header_offset + 30 + len(first.filename)
+            data[at:at + first.compress_size] = bytes(0xFF ^ x for x in data[at:at + first.compress_size])
+        name = f"{key[0]}~{key[1]}"
+        return pd.DataFrame({"archive": [f"{name}.zip"], "repo_id": [name], "content": [bytes(data)]})
+
+    parts = fixtures.files(spark, d).withColumn("part", F.length("path") % 16)
+    return parts.groupBy("repo_id", "part").applyInPandas(pack, "archive string, repo_id string, content binary")
+
+
+def q_damaged_members(spark, d):
+    members = archives.unpack_archives(_damaged(spark, d))
+    return archives.bad_archives(members).select("archive", "repo_id", "path")
+
+
+def _by_range(spark, d):
+    """The same archives as files, read by the ranges of their members; ranges of 4 KB, so that an archive is in many."""
+    from pyarrow import fs
+    folder = scratch_dir(spark, "zips")
+
+    def put(batches):
+        import pandas as pd
+        store, root = fs.FileSystem.from_uri(archives.address(folder))
+        store.create_dir(root)
+        for b in batches:
+            for name, data in zip(b["archive"], b["content"]):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(data)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    _damaged(spark, d).mapInPandas(put, "n int").agg(F.sum("n")).collect()
+    return archives.read_archives_by_range(spark, f"{folder}/*.zip", range_bytes=4096)
+
+
+def q_read_archives_by_range(spark, d):
+    files = archives.files_of(_by_range(spark, d))
+    return files.select(F.substring_index("repo_id", "~", 1).alias("repo_id"), "path", "content", "size")
+
+
+def q_bad_members_by_range(spark, d):
+    return archives.bad_archives(_by_range(spark, d)).select("repo_id", "path")
+
+
 def q_read_tree(spark, d):
+    """Every file by its digest. Files are written where Spark puts them, so their names differ from run to run and are not compared."""
     root = scratch_dir(spark, "tree")
-    fixtures.files(spark, d).select("repo_id", "content").write.partitionBy("repo_id").text(root)
-    files = tree.read_tree(spark, root)
-    return files.filter(F.endswith("path", F.lit(".txt"))).groupBy(F.regexp_replace("repo_id", "^repo_id=", "").alias("repo_id")).agg(
-        F.sum("size").alias("bytes"), F.sum(F.octet_length("content")).alias("text_bytes"))
+    files = fixtures.files(spark, d).select("repo_id", "path", F.concat("path", F.lit("\n"), "content").alias("content"))
+    files.repartition("repo_id", "path").write.option("lineSep", "\x01").partitionBy("repo_id", "path").text(root)
+    read = tree.read_tree(spark, root).filter(F.endswith("path", F.lit(".txt")))
+    folder = F.url_decode(F.regexp_extract("path", r"^path=([^/]*)/", 1))
+    whole = F.rtrim("content", F.lit("\x01"))
+    return read.select(F.regexp_replace("repo_id", "^repo_id=", "").alias("repo_id"), folder.alias("path"), (F.col("size") - 1).alias("size"),
+                       F.md5(whole).alias("digest"))
 
 
 def q_decode_text(spark, d):
@@ -724,6 +787,9 @@ def queries() -> dict[str, Query]:
         "status_view": q_status_view,
         "read_archives": q_read_archives,
         "bad_archives": q_bad_archives,
+        "damaged_members": q_damaged_members,
+        "read_archives_by_range": q_read_archives_by_range,
+        "bad_members_by_range": q_bad_members_by_range,
         "read_tree": q_read_tree,
         "decode_text": q_decode_text,
         "artifacts": q_artifacts,

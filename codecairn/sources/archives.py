@@ -1,17 +1,25 @@
-"""Files from ZIP archives, one archive per repository."""
+"""Files from ZIP archives, one archive per repository.
+
+``read_archives`` reads whole archives as rows of the ``binaryFile`` source (2 GB at most each). ``read_archives_by_range`` reads the
+directories of the archives first and deals the members to tasks by where they lie; a task reads the bytes of its members only.
+"""
 from __future__ import annotations
 
+import bz2
 import io
 import lzma
+import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths, text, vocab
 from ..operators.inventory import skip_dirs
+from .scratch import saved
 
 _MEMBERS = "archive string, repo_id string, path string, bytes binary, error string"
 # Rows are handed over once this much text is decompressed, so a large archive is never whole in memory.
@@ -32,19 +40,23 @@ def _place(name: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _wanted(z: zipfile.ZipFile) -> Iterator[tuple[zipfile.ZipInfo, str]]:
+    """The members outside skipped folders with their names; of members of one place the last, as on a disk."""
     skipped = set(vocab.SKIP_DIRS["inventory"])
+    names = [(m, m.filename.replace("\\", "/")) for m in z.infolist() if not m.is_dir()]
+    last = {_place(name): m for m, name in names}
+    for member, name in names:
+        if not skipped & set(name.split("/")) and last[_place(name)] is member:
+            yield member, name
+
+
+def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for archive, repo_id, data in zip(batch["archive"], batch["repo_id"], batch["content"]):
             rows, held = [], 0
             try:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    names = [(m, m.filename.replace("\\", "/")) for m in z.infolist() if not m.is_dir()]
-                    last = {_place(name): m for m, name in names}  # a later member of the same place overwrites
-                    for member, name in names:
-                        # Skipped folders are dropped before they are decompressed.
-                        if skipped & set(name.split("/")) or last[_place(name)] is not member:
-                            continue
+                    for member, name in _wanted(z):  # skipped folders are dropped before they are decompressed
                         try:
                             data_of_member = z.read(member)
                         except _DAMAGE as e:  # only this member is lost
@@ -97,3 +109,120 @@ def archive_rows(binary: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, glob: str) -> DataFrame:
     """Member rows of all archives below a glob; pass them to ``files_of`` and ``bad_archives``."""
     return unpack_archives(archive_rows(spark.read.format("binaryFile").load(glob)))
+
+
+# --- members by range ------------------------------------------------------------------------------------
+
+#: Members that begin in the same range of so many bytes of an archive are read by one task, in order.
+RANGE_BYTES = 64 << 20
+_LISTED = "archive string, repo_id string, path string, at bigint, packed bigint, size bigint, method int, crc bigint, locked boolean, error string"
+Opener = Callable[[str], BinaryIO]
+
+
+def address(path: str) -> str:
+    """A path as Spark writes it (``file:/x``, ``/x``) as an address with ``//``."""
+    scheme, colon, rest = path.partition(":")
+    return path if colon and rest.startswith("//") else f"file://{rest if colon and scheme == 'file' else path}"
+
+
+def open_uri(path: str) -> BinaryIO:
+    """A seekable file of any store that pyarrow opens by its address: local, HDFS, S3, GCS."""
+    from pyarrow import fs
+    store, inside = fs.FileSystem.from_uri(address(path))
+    return store.open_input_file(inside)
+
+
+def list_members(archives: DataFrame, opener: Opener = open_uri) -> DataFrame:
+    """A row per wanted member of (archive, repo_id) rows: where it begins, its packed and whole size, method and checksum.
+
+    Only the end and the central directory of an archive are read. One that has none gives a row with ``error`` and no path.
+    """
+    names = [f.split()[0] for f in _LISTED.split(", ")]
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, repo_id in zip(batch["archive"], batch["repo_id"]):
+                rows = []
+                try:
+                    with opener(archive) as f, zipfile.ZipFile(f) as z:
+                        for m, name in _wanted(z):
+                            rows.append((archive, repo_id, name, m.header_offset, m.compress_size, m.file_size, m.compress_type, m.CRC,
+                                         bool(m.flag_bits & 1), None))
+                            if len(rows) == 10_000:
+                                yield pd.DataFrame(rows, columns=names)
+                                rows = []
+                except _DAMAGE as e:
+                    rows.append((archive, repo_id, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(rows, columns=names)
+
+    return archives.select("archive", "repo_id").mapInPandas(task, _LISTED)
+
+
+def _member(f: BinaryIO, at: int, packed: int, size: int, method: int, crc: int, locked: bool) -> bytes:
+    """The bytes of one member: behind its local header, unpacked and checked."""
+    if locked:
+        raise RuntimeError("the member is encrypted")
+    if size >= 1 << 31:
+        raise OverflowError("the member has 2 GB or more")
+    f.seek(at)
+    header = f.read(30)
+    if len(header) < 30 or header[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile("no local header where the directory has one")
+    f.seek(at + 30 + sum(struct.unpack("<HH", header[26:30])))
+    data = f.read(packed)
+    if method == zipfile.ZIP_DEFLATED:
+        data = zlib.decompressobj(-15).decompress(data, size + 1)
+    elif method == zipfile.ZIP_BZIP2:
+        data = bz2.decompress(data)
+    elif method != zipfile.ZIP_STORED:
+        raise NotImplementedError(f"compression method {method}")
+    if len(data) != size or zlib.crc32(data) != crc:
+        raise zipfile.BadZipFile("Bad CRC-32 or size")
+    return data
+
+
+def read_members(listed: DataFrame, opener: Opener = open_uri, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Member rows (see ``unpack_archives``) of listed members.
+
+    A task has the members of some ranges in the order of their bytes, and one member at a time in memory. So a large archive is
+    read by many tasks, and many small ones by few.
+    """
+    members = listed.filter("error is null").withColumn("range", F.floor(F.col("at") / range_bytes))
+    dealt = members.repartition("archive", "range").sortWithinPartitions("archive", "at")
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, file = None, None
+        try:
+            for batch in batches:
+                rows, held = [], 0
+                for r in batch.itertuples(index=False):
+                    try:
+                        if r.archive != name:
+                            if file is not None:
+                                file.close()
+                            name, file = None, opener(r.archive)
+                            name = r.archive
+                        data = _member(file, int(r.at), int(r.packed), int(r.size), int(r.method), int(r.crc), bool(r.locked))
+                        rows.append((r.archive, r.repo_id, r.path, data, None))
+                        held += len(data)
+                    except (*_DAMAGE, OverflowError) as e:  # only this member is lost
+                        rows.append((r.archive, r.repo_id, r.path, None, f"{type(e).__name__}: {e}"))
+                    if held > _FLUSH_BYTES:
+                        yield _frame(rows)
+                        rows, held = [], 0
+                yield _frame(rows)
+        finally:
+            if file is not None:
+                file.close()
+
+    whole = listed.filter("error is not null").select("archive", "repo_id", "path", F.lit(None).cast("binary").alias("bytes"), "error")
+    return dealt.mapInPandas(task, _MEMBERS).unionByName(whole)
+
+
+def read_archives_by_range(spark: SparkSession, glob: str, opener: Opener = open_uri, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Member rows of all archives below a glob, of any size; pass them to ``files_of`` and ``bad_archives``.
+
+    ``opener`` opens an archive's path on an executor, for stores that pyarrow does not know.
+    """
+    names = archive_rows(spark.read.format("binaryFile").load(glob)).select("archive", "repo_id")  # lists; opens nothing
+    return read_members(saved(list_members(names, opener), "members"), opener, range_bytes)

@@ -547,7 +547,12 @@ _WORDS = ", ".join([f"CAST(len(regexp_extract_all(markdown, '{w}')) AS BIGINT) A
 QUERIES |= {
     "read_archives": f"SELECT repo_id, path, content, CAST(strlen(content) AS BIGINT) AS size FROM paths WHERE {no_dirs('parts', 'inventory')}",
     "bad_archives": "SELECT 'cut-' || repo_id || '.zip' AS archive, 'cut-' || repo_id AS repo_id, 'BadZipFile' AS error FROM repos",
-    "read_tree": "SELECT repo_id, CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes, CAST(sum(strlen(content) + 1) AS BIGINT) AS text_bytes FROM files GROUP BY 1",
+    "damaged_members": "SELECT repo_id || '~' || p || '.zip' AS archive, repo_id || '~' || p AS repo_id, path FROM (SELECT repo_id, length(path) % 16 AS p, min(path) AS path "
+                       f"FROM paths WHERE {no_dirs('parts', 'inventory')} GROUP BY 1, 2)",
+    "bad_members_by_range": f"SELECT repo_id || '~' || p AS repo_id, path FROM (SELECT repo_id, length(path) % 16 AS p, min(path) AS path FROM paths WHERE {no_dirs('parts', 'inventory')} GROUP BY 1, 2)",
+    "read_archives_by_range": f"SELECT repo_id, path, content, CAST(strlen(content) AS BIGINT) AS size FROM (SELECT *, min(path) OVER (PARTITION BY repo_id, length(path) % 16) AS lo "
+                              f"FROM paths WHERE {no_dirs('parts', 'inventory')}) WHERE path <> lo",
+    "read_tree": "SELECT repo_id, path, CAST(strlen(path) + 1 + strlen(content) AS BIGINT) AS size, md5(path || chr(10) || content) AS digest FROM files",
     "decode_text": "SELECT repo_id, path, CAST(length(content) + 2 AS BIGINT) AS n_chars, chr(65533) || 'A' AS tail FROM files",
     "artifacts": QUERIES["important_files"],
     "analysis_of_wrapped_repo": QUERIES["important_files"],
