@@ -27,11 +27,12 @@ def skip_dirs(df: DataFrame, purpose: str = "inventory", dirs: list[str] | None
     return df.filter(outside(purpose, dirs, match))
 
 
-def outside(purpose: str = "inventory", dirs: list[str] | None = None, match: str | None = None) -> Column:
+def outside(purpose: str = "inventory", dirs: list[str] | None = None, match: str | None = None, path: Column | None = None) -> Column:
     """Whether ``path`` is outside the folders that ``skip_dirs`` drops."""
     names = vocab.SKIP_DIRS[purpose] if dirs is None else dirs
     match = match or ("dirs" if purpose == "inventory" and dirs is None else "any_part")
-    col = paths.dirs(F.col("path")) if match == "dirs" else paths.parts(F.col("path"))
+    path = F.col("path") if path is None else path
+    col = paths.dirs(path) if match == "dirs" else paths.parts(path)
     return ~F.arrays_overlap(col, array_literal(names))
 
 
@@ -51,7 +52,8 @@ def strip_repo_root(files: DataFrame) -> DataFrame:
 
     One small row per repository is computed with a map-side combine, then joined back.
     No broadcast is forced: the optimizer broadcasts it while it is small, and
-    otherwise sort-merges with runtime skew splitting for a huge repository.
+    otherwise sort-merges with runtime skew splitting for a huge repository. For files with their whole text use
+    ``plans.analysis``, which takes the folder off the facts instead.
     """
     top = F.coalesce(paths.top_dir(F.col("path")), F.lit(""))  # '' stands for a root file
     first = F.substring_index("path", "/", 1)

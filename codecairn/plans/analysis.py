@@ -7,6 +7,8 @@ tables of the analysis are made from it, so the text is read and matched exactly
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,7 +17,7 @@ from ..functions import paths, vocab
 from ..functions.lookups import contains_any
 from ..operators import graphs, inventory, relations, scoring, secrets, tech
 from ..sources.artifacts import write_artifacts
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import saved, scratch_dir
 
 
 class Analysis(NamedTuple):
@@ -28,36 +30,68 @@ class Analysis(NamedTuple):
     secrets_report: DataFrame
 
 
-def _content_is_reused() -> Column:
+def _content_is_reused(path: Column, score: Column) -> Column:
     """Manifests, setup files, and files that may be important (their text feeds prompts and entities)."""
-    name = paths.name(F.col("path"))
+    name = paths.name(path)
     manifest = name.isin([n for names in vocab.MANIFESTS.values() for n in names])
-    setup = F.col("path").isin("README.md", "readme.md") | F.contains(F.lower(name), F.lit("dockerfile"))
-    models = contains_any(F.lower("path"), graphs.MODEL_PATHS)
-    return manifest | setup | models | (F.col("score") >= vocab.MIN_IMPORTANT_SCORE)
+    setup = path.isin("README.md", "readme.md") | F.contains(F.lower(name), F.lit("dockerfile"))
+    models = contains_any(F.lower(path), graphs.MODEL_PATHS)
+    return manifest | setup | models | (score >= vocab.MIN_IMPORTANT_SCORE)
 
 
-def file_facts(files: DataFrame) -> DataFrame:
-    """(repo_id, path, size, content, edges, secret_types, ai_labels) per file. Narrow."""
+def _scored(df: DataFrame, path: str, score: str) -> DataFrame:
+    """The rows with the score that the column ``path`` has as a path."""
+    own = [c for c in df.columns if c != "path"]
+    named = df.select(*own, F.col("path").alias("_own_path"), F.col(path).alias("path"))
+    return scoring.score_files(named).select(*own, F.col("_own_path").alias("path"), F.col("score").alias(score))
+
+
+def file_facts(files: DataFrame, maybe_wrapped: bool = False) -> DataFrame:
+    """(repo_id, path, size, content, edges, secret_types, ai_labels) per file. Narrow: no exchange.
+
+    Whether one folder wraps a whole repository shows in its paths only. So with ``maybe_wrapped`` a file gets whatever it
+    needs with or without its first folder, and ``unwrapped`` settles which, on the facts instead of the text.
+    """
     size = F.col("size") if "size" in files.columns else F.octet_length("content").cast("bigint")
-    scored = scoring.score_files(files.select("repo_id", "path", "content", size.alias("size")))
+    df = files.select("repo_id", "path", "content", size.alias("size"))
+    places = [(F.col("path"), F.col("_score"))]
+    df = _scored(df, "path", "_score")
+    if maybe_wrapped:
+        inner = F.when(F.contains("path", F.lit("/")), F.substring(F.col("path"), F.locate("/", F.col("path")) + 1, F.length("path"))).otherwise(F.col("path"))
+        df = _scored(df.withColumn("_inner", inner), "_inner", "_inner_score")
+        places.append((F.col("_inner"), F.col("_inner_score")))
+    reused = reduce(or_, (_content_is_reused(*p) for p in places))
+    # Files in dependency and build folders are not matched at all.
+    related = reduce(or_, (inventory.outside("relations", path=p) for p, _ in places))
+    swept = reduce(or_, (inventory.outside("sources", path=p) for p, _ in places))
     is_source = paths.extension(F.col("path")).isin(vocab.SOURCE_EXTENSIONS)
-    return scored.select(
-        "repo_id", "path", "size",
-        F.when(_content_is_reused(), F.col("content")).alias("content"),
-        # Files in dependency and build folders are not matched at all.
-        F.when(is_source & inventory.outside("relations"), relations.edge_array()).alias("edges"),
+    return df.select(
+        "repo_id", "path", "size", F.when(reused, F.col("content")).alias("content"),
+        F.when(is_source & related, relations.edge_array()).alias("edges"),
         secrets.secret_types(F.col("content")).alias("secret_types"),
-        F.when(is_source & inventory.outside("sources"), tech.ai_labels(F.col("content"))).alias("ai_labels"))
+        F.when(is_source & swept, tech.ai_labels(F.col("content"))).alias("ai_labels"))
 
 
-def write_facts(spark: SparkSession, files: DataFrame, path: str | None = None) -> DataFrame:
+def unwrapped(facts: DataFrame) -> DataFrame:
+    """Facts of files that may be wrapped, with the wrapping folders off and without what only the other path needed."""
+    own = _scored(inventory.strip_repo_root(facts), "path", "_score")
+    return own.select(
+        "repo_id", "path", "size", F.when(_content_is_reused(F.col("path"), F.col("_score")), F.col("content")).alias("content"),
+        F.when(inventory.outside("relations"), F.col("edges")).alias("edges"), "secret_types",
+        F.when(inventory.outside("sources"), F.col("ai_labels")).alias("ai_labels"))
+
+
+def write_facts(spark: SparkSession, files: DataFrame, path: str | None = None, strip_root: bool = False) -> DataFrame:
     """Writes the facts as Parquet, below ``spark.checkpoint.dir`` unless a path is given, and reads them back.
 
-    A written table survives lost executors, which a cached one does not.
+    A written table survives lost executors, which a cached one does not. ``strip_root`` takes wrapping folders off: the text is
+    read once and written facts are joined with the folders.
     """
     path = path or scratch_dir(spark, "facts")
-    file_facts(files).write.mode("overwrite").parquet(path)
+    facts = file_facts(files, maybe_wrapped=strip_root)
+    if strip_root:
+        facts = unwrapped(saved(facts, "wrapped-facts"))
+    facts.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -86,9 +120,7 @@ def saved_analysis(spark: SparkSession, files: DataFrame, tables: tuple = TABLES
     tables each use is a scan of a small table instead of the analysis all over again.
     """
     path = path or scratch_dir(spark, "analysis")
-    if strip_root:
-        files = inventory.strip_repo_root(files)
-    result = analyse(write_facts(spark, files, f"{path}/facts"))
+    result = analyse(write_facts(spark, files, f"{path}/facts", strip_root))
     saved = {}
     for name in tables:
         getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}")

@@ -10,12 +10,13 @@ from ..operators.inventory import skip_dirs
 def read_tree(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """(repo_id, path, content, size) of every file below ``root/<repository>/``.
 
-    ``max_bytes`` leaves out larger files; the size test is pushed to the reader, which then
+    Files above ``max_bytes`` have a row without content; the size test is pushed to the reader, which then
     never opens them. Nothing is read at all for a query that only needs paths and sizes.
     """
-    binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
     if max_bytes is not None:
-        binary = binary.filter(F.col("length") <= max_bytes)
+        large = binary.filter(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary"))
+        binary = binary.filter(F.col("length") <= max_bytes).unionByName(large)
     # Paths come qualified and start with the qualified root, whatever folders inside are called.
     sc = spark.sparkContext
     folder = sc._jvm.org.apache.hadoop.fs.Path(root)

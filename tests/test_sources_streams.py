@@ -38,7 +38,8 @@ def test_tree(spark, tmp_path):
         f.write_text(data)
     got = {(r.repo_id, r.path, r.content, r.size) for r in tree.read_tree(spark, str(tmp_path / "root")).collect()}
     assert got == {("r1", "a/b.py", "x", 1), ("r2", "d.md", "yy", 2)}
-    assert tree.read_tree(spark, f"file://{tmp_path}/root", max_bytes=1).count() == 1
+    small = tree.read_tree(spark, f"file://{tmp_path}/root", max_bytes=1).collect()
+    assert {(r.path, r.content, r.size) for r in small} == {("a/b.py", "x", 1), ("d.md", None, 2)}
 
 
 def test_decode(spark):
@@ -214,3 +215,94 @@ def test_saved_plan_and_report(spark, files, tmp_path):
     plan, report = artifacts.read_artifact(spark, out, "plan").first(), artifacts.read_artifact(spark, out, "validation_report").first()
     assert plan.repo_id == "r" and plan.main_user_flow_target
     assert report.unresolved_file_paths == payload.validation_report.unresolved_file_paths != []
+
+
+def test_members_by_range_equal_whole_archives(spark, tmp_path):
+    folder = tmp_path / "zips"
+    folder.mkdir()
+    r = random.Random(1)
+    for k, method in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2)):
+        with zipfile.ZipFile(folder / f"m{k}.zip", "w", method) as z, warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            for i in range(40):
+                z.writestr(f"src/f{i:02}.py", "import os\n" * r.randrange(0, 400))
+            z.writestr("node_modules/x.js", "x")
+            z.writestr("src/./f00.py", "again")
+            z.writestr("d/", "")
+            with z.open("big/zip64.py", "w", force_zip64=True) as f:
+                f.write(b"import zip64\n" * 9)
+    damaged = bytearray((folder / "m1.zip").read_bytes())
+    with zipfile.ZipFile(io.BytesIO(bytes(damaged))) as z:
+        info = z.getinfo("src/f07.py")
+    damaged[info.header_offset + 30 + len(info.filename)] ^= 0xFF
+    (folder / "m3.zip").write_bytes(bytes(damaged))
+    (folder / "m4.zip").write_bytes(bytes(damaged[:500]))
+    (folder / "m5.zip").write_bytes(b"")  # Spark reads no empty files
+    data = bytearray((folder / "m0.zip").read_bytes())
+    data[data.rindex(b"PK\x01\x02") + 8] |= 1  # the last member is marked as encrypted
+    (folder / "m6.zip").write_bytes(bytes(data))
+    whole = archives.read_archives(spark, str(folder / "*.zip"))
+    ranged = archives.read_archives_by_range(spark, str(folder / "*.zip"), range_bytes=1000)
+    rows = lambda df: sorted(map(tuple, archives.files_of(df).collect()))
+    assert rows(ranged) == rows(whole) and len(rows(whole)) > 150
+    bad = lambda df: sorted((b.repo_id, b.path or "") for b in archives.bad_archives(df).collect())
+    assert bad(ranged) == bad(whole) == [("m3", "src/f07.py"), ("m4", ""), ("m6", "big/zip64.py")]
+
+
+def test_text_is_read_without_an_exchange_whether_wrapped_or_not(spark, files):
+    plan = analysis.file_facts(files({"top/a.py": "import os"}), maybe_wrapped=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_wrapped_facts_equal_those_of_stripped_files(spark, files):
+    inside = {"main.py": "import os\nopenai", "web/pages/x.js": "fetch('/api/x')", "build/y.py": "import no", "README.md": "hi", "api/auth/z.ts": "import a from 'a'",
+              "package.json": "{}", "models/m.py": "class M(Base):", "src/build/q.py": "import hidden", "other.txt": "token = 'abcdefghij'"}
+    for wrapper in ("top", "build", "src", "vendor"):
+        wrapped = files({f"{wrapper}/{p}": c for p, c in inside.items()}).unionByName(files(inside, repo="plain"))
+        want = analysis.file_facts(inventory.strip_repo_root(wrapped))
+        got = analysis.write_facts(spark, wrapped, strip_root=True)
+        assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect())), wrapper
+
+
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    from pyspark.sql.streaming.readwriter import DataStreamWriter
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, at int, v string")
+    calls = []
+    real = DataStreamWriter.foreachBatch
+
+    def twice(self, func):
+        def run(batch, batch_id):
+            func(batch, batch_id)
+            func(batch, batch_id)
+            calls.append(batch_id)
+        return real(self, run)
+
+    DataStreamWriter.foreachBatch = twice
+    try:
+        folder, run = str(tmp_path / "in"), str(tmp_path / "run")
+        for part in (rows((1, 1, "a"), (2, 5, "b"), (3, 1, "c")), rows((1, 3, "d"), (2, 4, "late"), (4, 1, "e")), rows((3, 1, "c")), rows((1, 9, None))):
+            part.coalesce(1).write.mode("append").parquet(folder)
+            got = streams.run_current(streams.stream_table(spark, folder), ["k"], ["at"], run, buckets=3)
+        assert sorted(map(tuple, got.collect())) == [(1, 9, None), (2, 5, "b"), (3, 1, "c"), (4, 1, "e")]
+        assert len(calls) >= 4 and len(list((tmp_path / "run" / "published").iterdir())) == 2  # older versions are gone
+        zips = spark.createDataFrame([("one", "one", bytearray(zipped({"a.py": "import os"}))), ("two", "two", bytearray(b"no"))], "archive string, repo_id string, content binary")
+        zips.coalesce(1).write.parquet(str(tmp_path / "zips"))
+        arrived = streams.run_archives(streams.stream_table(spark, str(tmp_path / "zips")), str(tmp_path / "arrivals"))
+        assert [r.path for r in arrived.files.collect()] == ["a.py"] and [r.repo_id for r in arrived.errors.collect()] == ["two"]
+        assert relations.relationships(arrived.facts).count() == 1
+    finally:
+        DataStreamWriter.foreachBatch = real
+
+
+def test_edge_changes_over_batches(spark, files, tmp_path):
+    at = lambda df, t: df.withColumn("at", F.timestamp_seconds(F.lit(t)))
+    py = lambda **texts: files({f"{n}.py": c for n, c in texts.items()})
+    batches = [at(py(a="import x\nimport y", b="import z"), 10), at(py(a="import y\nimport w", b="import z"), 20), at(py(a="import late", b="import also"), 15),
+               at(py(b=""), 30).unionByName(at(py(b="import twice"), 29))]
+    seen = []
+    for rows in batches:
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        changes = streams.run_append(streams.stream_edge_changes(streams.stream_table(spark, str(tmp_path / "in")), "at"), str(tmp_path / "run"))
+        seen.append(changes.count())
+    assert seen == [3, 5, 5, 6]
+    assert sorted((r.source, r.target) for r in streams.current_edges(changes).collect()) == [("a.py", "w"), ("a.py", "y")]
