@@ -309,13 +309,27 @@ def high_risk_text(findings: DataFrame, chars: int = vocab.PROMPT_CHARS) -> Data
 def section_context(projects: DataFrame, tech_texts: DataFrame, summary_texts: DataFrame, edge_texts: DataFrame,
                     plans: DataFrame, inv: DataFrame, important: DataFrame, setup: DataFrame, report: DataFrame,
                     risk_texts: DataFrame) -> DataFrame:
-    """Everything the nine prompts of a repository need, on one row."""
-    df = projects.join(level_style(projects), "repo_id")
-    per_repo = [tech_texts, summary_texts, edge_texts, plans.select("repo_id", *PLAN_FIELDS), directory_lines(inv),
-                important_lines(important), file_counts(inv).withColumnRenamed("files", "n_files"), setup, report, risk_texts]
-    for part in per_repo:
-        df = df.join(part, "repo_id", "left")
-    return df
+    """Everything the nine prompts of a repository need, on one row; for the repositories in ``projects``."""
+    per_repo = [projects.withColumn("_known", F.lit(True)), level_style(projects), tech_texts, summary_texts, edge_texts,
+                plans.select("repo_id", *PLAN_FIELDS), directory_lines(inv), important_lines(important),
+                file_counts(inv).withColumnRenamed("files", "n_files"), setup, report, risk_texts]
+    return side_by_side(per_repo, "repo_id").filter("_known").drop("_known")
+
+
+def side_by_side(tables: list[DataFrame], key: str) -> DataFrame:
+    """One row per key with the columns of all tables, each of which has at most one row per key.
+
+    The tables are stacked, each with its own columns filled, and folded by one aggregation: one exchange instead of a join for each.
+    """
+    own = [[f for f in df.schema.fields if f.name != key] for df in tables]
+    seen: dict[str, str] = {}
+    for f in (f for fields in own for f in fields):
+        seen.setdefault(f.name, f.dataType)
+    stacked = None
+    for df in tables:
+        rows = df.select(key, *(F.col(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in seen.items()))
+        stacked = rows if stacked is None else stacked.unionAll(rows)
+    return stacked.groupBy(key).agg(*(F.any_value(n, True).alias(n) for n in seen))
 
 
 def section_prompts(context: DataFrame) -> DataFrame:
