@@ -112,22 +112,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, the edited text's digest, both fingerprints, and the likeness to the edited text and to the next document.
 
     Texts go by the key of their row to where their place in the order is known; from there only the part that the document
-    before needs, and the signatures, go on to it.
+    before needs, and the signatures, go on to it. Signatures are computed on either side, which costs less than to shuffle them.
     """
     text = F.coalesce("text", F.lit(""))
     whole = docs.select("doc_id", text.alias("text"), row_key(F.col("doc_id"), text).alias("key"))
     order = saved(successors(whole.select("doc_id", "key", F.length("text").alias("n_chars"))), "successors")
-    placed = whole.select("key", "text", signatures(F.col("text")).alias("signatures")).join(order, "key")
+    placed = whole.select("key", "text").join(order, "key")
     moved = placed.select(F.col("earlier_key").alias("key"), F.substring("text", F.lit(1), half(F.col("earlier_chars"))).alias("beginning"),
-                          F.col("signatures").alias("next_signatures"))
+                          signatures(F.col("text")).alias("next_signatures"))
     following = moved.groupBy("key").agg(F.first("beginning").alias("beginning"), F.first("next_signatures").alias("next_signatures"))
     both = placed.join(following, "key")
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - half(n)), F.col("beginning"))
-    cut = both.select("doc_id", n.cast("bigint").alias("n_chars"), "signatures", "next_signatures", edited.alias("edited"))
+    cut = both.select("doc_id", n.cast("bigint").alias("n_chars"), "text", "next_signatures", edited.alias("edited"))
     # a generator's output is a column: nothing that stands on it computes the signatures again
-    made = cut.select("doc_id", "n_chars", "signatures", "next_signatures", F.inline(F.array(F.struct(
-        F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("edited_signatures")))))
+    made = cut.select("doc_id", "n_chars", "next_signatures", F.inline(F.array(F.struct(
+        F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("signatures"),
+        signatures(F.col("edited")).alias("edited_signatures")))))
     return made.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("signatures")).alias("fingerprint"),
                        as_text(F.col("edited_signatures")).alias("edited_fingerprint"),
                        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
