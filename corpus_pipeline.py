@@ -1,6 +1,9 @@
 """From raw documents to token ids in five stages, each written as Parquet and read again by the next.
 
-Every stage works on all rows that its predecessor kept. All but the last return the columns of documents.
+Every stage works on all rows that its predecessor kept. All but the last return the columns of documents, whatever further ones these have.
+
+Rows in every stage: a null text is an empty one (the quality rules reject both); a null doc_id, lang or source is a value like others;
+of rows that are equal the near duplicates keep one; very long texts are worked on whole; an empty table gives an empty one.
 """
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or lose most of their words with the common lines, go; those lines go too."""
-    return line_rules.clean(docs, line_docs=line_rules.HOST_DOCS, share=line_rules.HOST_SHARE)
+    return line_rules.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
