@@ -2,22 +2,23 @@
 
 Learning uses text and lang of documents whose crc32(doc_id as text) mod 3 is not 1 (and is known). Document frequencies are
 counted over all of them, in one pass without moving text. The weights are fitted by follow-the-regularised-leader with
-elastic-net penalties on at most ``PER_LANGUAGE`` documents a language and ``AT_MOST`` in all, chosen by hash; a fifth
-of these only serves to find the temperature that calibrates the scores.
+elastic-net penalties on at most ``PER_LANGUAGE`` documents a language and ``AT_MOST`` in all, those of least hash; a fifth of these
+is not fitted on: it chooses the penalty, the largest that costs no accuracy there, and then the temperature that calibrates the scores.
+At most ``AT_MOST`` languages are learned, the first by code point.
 
-Rows: one per input row. A text that is null or has no letter is ``und`` with score 0, as is every text where nothing
+Rows: one per input row. A letter is what Unicode calls one (a number such as a superscript is none). A text that is null or has no letter is ``und`` with score 0, as is every text where nothing
 could be learned from (no labelled rows). A null doc_id is never learned from and counts as not held out. Long texts are read
 whole, in pieces. Repeated rows are predicted alike; other columns are not read.
 """
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from codecairn.llm.tables import fields, map_rows, table, typed
 
@@ -26,16 +27,18 @@ FEATURES, ORDERS = 1 << 15, (1, 2, 3)
 #: The bounds of the sample that the weights are fitted on.
 PER_LANGUAGE, AT_MOST = 800, 8000
 PASSES = 3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-5, 1e-5
+ALPHA, BETA = 1.0, 1.0
+#: Penalties to choose from, for the absolute and the squared weights alike, and the share of accuracy that a larger one may cost.
+PENALTIES, MAY_COST = (0.1, 0.03, 0.01, 0.001), 0.001
 PIECE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER, _OTHERS = regex.compile(r"\p{L}"), regex.compile(r"\P{L}+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def counts(text: str) -> np.ndarray:
     """How often each hashed n-gram occurs in the lower-cased text, in which all but letters reads as a space."""
     out = np.zeros(FEATURES, np.int64)
-    text = " " + re.sub(r"[\W\d_]+", " ", text.lower()) + " "
+    text = " " + _OTHERS.sub(" ", text.lower()) + " "
     reach = max(ORDERS) - 1
     for first in range(0, len(text), PIECE):
         codes = np.frombuffer(text[first:first + PIECE + reach].encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -113,10 +116,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: int) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: int, penalty: float = PENALTIES[0]) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias after ``PASSES`` over the rows (features, values, class). Feature ``FEATURES`` is the bias, unpenalised."""
     z, n = np.zeros((FEATURES + 1, langs)), np.zeros((FEATURES + 1, langs))
-    l1, l2 = np.full(FEATURES + 1, L1), np.full(FEATURES + 1, L2)
+    l1, l2 = np.full(FEATURES + 1, penalty), np.full(FEATURES + 1, penalty)
     l1[-1] = l2[-1] = 0
 
     def weights(at):
@@ -154,6 +157,23 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def fitted(model: Model, rows: list, held: list) -> Model:
+    """The model with the weights of the largest penalty whose accuracy on the held rows is within ``MAY_COST`` of the best one's.
+
+    Without held rows the smallest penalty is taken. Rows: (features, values, class).
+    """
+    tried = []
+    for penalty in PENALTIES if held else PENALTIES[-1:]:
+        model.weights, model.bias = ftrl(rows, len(model.langs), penalty)
+        right = sum(int(model.logits(a, x).argmax()) == y for a, x, y in held)
+        tried.append((right, model.weights, model.bias))
+    best = max(t[0] for t in tried)
+    _, model.weights, model.bias = next(t for t in tried if t[0] >= best - MAY_COST * len(held))
+    if held:
+        model.temperature = calibrate(np.array([model.logits(a, x) for a, x, _ in held]), np.array([y for *_, y in held]))
+    return model
+
+
 def train(docs: DataFrame) -> Model:
     rows = docs.filter(learnable(docs)).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(AT_MOST).collect()}
@@ -164,8 +184,11 @@ def train(docs: DataFrame) -> Model:
     model = Model(langs, np.zeros((FEATURES, len(langs)), np.float32), np.zeros(len(langs)),
                   np.log((1 + n) / (1 + df)) + 1)
     each = max(1, min(PER_LANGUAGE, AT_MOST // len(langs)))
-    share = F.create_map(*(F.lit(v) for lang in langs for v in (lang, min(1.0, each / sizes[lang]))))[F.col("lang")]
+    # Twice the wanted share is drawn by hash, and of that the least ones: a bound that holds, and every task cuts its own rows first.
+    share = F.create_map(*(F.lit(v) for lang in langs for v in (lang, min(1.0, 2 * each / sizes[lang]))))[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text", F.lit(1))))
+    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < share).withColumn("k", least).filter(F.col("k") <= each)
     idf, class_of = model.idf, {lang: i for i, lang in enumerate(langs)}
 
     def task(batches):
@@ -177,15 +200,11 @@ def train(docs: DataFrame) -> Model:
                        pa.array([k[3].astype(np.float32).tobytes() for k in kept], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["calibrates", "y", "at", "x"])
 
-    sample = map_rows(rows.filter(draw < share), ["doc_id", "text", "lang"],
+    sample = map_rows(drawn, ["doc_id", "text", "lang"],
                       T.StructType(typed("calibrates boolean, y bigint, at binary, x binary")), task)
     got = sorted((zlib.crc32(r["at"] + r["x"]), bytes(r["at"]), bytes(r["x"]), r["y"], r["calibrates"]) for r in sample.collect())
     vectors = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32).astype(np.float64), y, c) for _, a, x, y, c in got]
-    model.weights, model.bias = ftrl([v[:3] for v in vectors if not v[3]] or [v[:3] for v in vectors], len(langs))
-    held = [v for v in vectors if v[3]]
-    if held:
-        model.temperature = calibrate(np.array([model.logits(a, x) for a, x, *_ in held]), np.array([v[2] for v in held]))
-    return model
+    return fitted(model, [v[:3] for v in vectors if not v[3]] or [v[:3] for v in vectors], [v[:3] for v in vectors if v[3]])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

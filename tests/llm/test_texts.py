@@ -76,6 +76,67 @@ def test_language_is_learned_and_held_out(spark):
     assert {r["lang_pred"] for r in langid.predict(unlabelled, langid.train(unlabelled)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("text, letter", [("²", False), ("½", False), ("Ⅳ", False), ("12 ³", False), ("_", False), ("٣", False), ("é", True), ("日", True), ("ª", True)])
+def test_letters_are_unicode_letters(text, letter):
+    assert langid.has_letter(text) is letter
+    assert (langid.counts(text + " x") == langid.counts("5 x")).all() or letter
+
+
+def test_language_weights_are_sparse_and_right():
+    """The largest penalty that costs no accuracy is taken; most weights are then zero."""
+    r = random.Random(7)
+    langs = ["aa", "bb", "cc"]
+    letters = {"aa": "abcdef", "bb": "defghi", "cc": "ghijkl"}
+    texts = [(y, " ".join("".join(r.choice(letters[langs[y]]) for _ in range(r.randrange(2, 7))) for _ in range(40))) for y in (r.randrange(3) for _ in range(400))]
+    model = langid.Model(langs, None, None, np.ones(langid.FEATURES))
+    rows = [(*model.vector(t), y) for y, t in texts]
+    langid.fitted(model, rows[:300], rows[300:])
+    touched = np.zeros(langid.FEATURES, bool)
+    for at, _, _ in rows[:300]:
+        touched[at] = True
+    assert (model.weights[touched] == 0).mean() > 0.5
+    assert np.mean([model.logits(a, x).argmax() == y for a, x, y in rows[300:]]) > 0.97
+
+
+def test_ftrl_update_against_its_formula(monkeypatch):
+    """Two rows of two features by the published per-coordinate rule, written out."""
+    monkeypatch.setattr(langid, "FEATURES", 2)
+    monkeypatch.setattr(langid, "PASSES", 2)
+    penalty = 0.05
+    rows = [(np.array([0, 1]), np.array([0.6, 0.8]), 0), (np.array([1]), np.array([1.0]), 1)]
+    got, bias = langid.ftrl(rows, 2, penalty)
+    z, n = [[0.0] * 2 for _ in range(3)], [[0.0] * 2 for _ in range(3)]
+
+    def weight(i, c):
+        p = 0 if i == 2 else penalty
+        if abs(z[i][c]) <= p:
+            return 0.0
+        return -(z[i][c] - np.sign(z[i][c]) * p) / (langid.BETA + n[i][c] ** 0.5 + p)
+
+    for _ in range(2):
+        for at, x, y in rows:
+            features = [*zip(at, x), (2, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in features for c in range(2)}
+            e = np.exp([sum(v * w[i, c] for i, v in features) for c in range(2)])
+            for i, v in features:
+                for c in range(2):
+                    g = v * (e[c] / e.sum() - (c == y))
+                    step = (n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5
+                    z[i][c] += g - step * w[i, c]
+                    n[i][c] += g * g
+    assert got == pytest.approx(np.array([[weight(i, c) for c in range(2)] for i in range(2)]), abs=1e-6)
+    assert bias == pytest.approx([weight(2, c) for c in range(2)])
+
+
+def test_temperature_against_a_grid():
+    r = np.random.default_rng(1)
+    logits, y = r.normal(size=(300, 4)) * 6, r.integers(0, 4, 300)
+    logits[np.arange(300), y] += 5
+    loss = lambda t: -np.log(langid.softmax(logits / t)[np.arange(300), y]).mean()
+    best = min(np.exp(np.linspace(np.log(0.02), np.log(20), 4000)), key=loss)
+    assert langid.calibrate(logits, y) == pytest.approx(best, rel=0.01)
+
+
 def test_language_pieces_do_not_matter(monkeypatch):
     text = "Some words, 12 and more words " * 50
     whole = langid.counts(text)
