@@ -18,17 +18,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from codecairn.llm.tables import fields, map_rows, table, typed
 from codecairn.llm.words import SPACES, blocks, windows, word_hashes
-from codecairn.sources.scratch import saved
+from codecairn.sources.scratch import discard, saved
 
 SYMBOLS = "#*$%&|<>"
 #: A document below this many words, or with more than this percentage of repeated words, fails.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A line may be in this many documents of a host, or in this share of them if that is more.
-LINE_DOCS, LINE_SHARE = 100, 0.002
-#: The same in the pipeline, where a share of any host decides: more than 5 % of its texts, but never 5 texts or fewer.
-HOST_DOCS, HOST_SHARE = 5, 0.05
+#: A line may be in this share of a host's documents, and always in this many.
+LINE_DOCS, LINE_SHARE = 5, 0.05
 #: A document keeps at least this share of its words, or it is rejected.
 LEAST_KEPT = 0.5
+#: Common lines that are sent to every task at once.
+SENT_LINES = 200_000
 
 
 def line_hash(line: bytes) -> int:
@@ -127,46 +127,62 @@ def judged(docs: DataFrame, line_docs: int = LINE_DOCS, share: float = LINE_SHAR
             .withColumn("kept", ~failed & (left >= n * least_kept)))
 
 
-def clean(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that pass, with the columns they had, without their common lines."""
-    names = docs.columns
-    verdict = judged(docs, **limits).filter("kept").groupBy("doc_id", "text_key").agg(
-        F.first("removed_lines", ignorenulls=True).alias("removed_lines"))
-    keyed = with_text_key(docs)
-    d, v = keyed.alias("d"), verdict.alias("v")
-    both = d.join(v, F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("d._text_key") == F.col("v.text_key")))
-    kept = both.select(*(f"d.{n}" for n in names), F.col("v.removed_lines").alias("_removed"))
+def clean(docs: DataFrame, line_docs: int = LINE_DOCS, share: float = LINE_SHARE, least_kept: float = LEAST_KEPT) -> DataFrame:
+    """The documents that pass, with the columns they had, without their common lines.
+
+    The common lines of a host are at most (mean lines of its texts) / ``share``. They go to the tasks by blocks of hosts with up to
+    ``SENT_LINES`` together, and each row is judged where it lies: no text is shuffled, and hosts with no common line are a block too.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    profile = saved(profiles(docs).select("host", "text_key", "lines"), "line-profiles")
+    common = saved(common_lines(profile, line_docs, share), "common-lines")
+    discard(profile)
+    blocks_of_hosts = max(1, -(-common.count() // SENT_LINES))
+    block = F.pmod(F.xxhash64("host"), F.lit(blocks_of_hosts))
+    kept = None
+    for k in range(blocks_of_hosts):
+        lines: dict[str | None, set[int]] = {}
+        for r in common.filter(block == k).toLocalIterator():
+            lines.setdefault(r["host"], set()).add(r["line"])
+        here = docs.filter(F.pmod(F.xxhash64(F.col("source").cast("string")), F.lit(blocks_of_hosts)) == k) if blocks_of_hosts > 1 else docs
+        part = _cleaned(here, names, spark.sparkContext.broadcast(lines), least_kept)
+        kept = part if kept is None else kept.unionAll(part)
+    return kept
+
+
+def _cleaned(docs: DataFrame, names: list[str], sent, least_kept: float) -> DataFrame:
+    def judge(text: str, words: np.ndarray, gone: set[int]) -> str | None:
+        """The text without its common lines; None if it fails the base rules or too little is left."""
+        n = len(words)
+        if n < LEAST_WORDS or repeated_words(words) * 100 > n * MOST_REPEATED:
+            return None
+        if not gone:
+            return text
+        lines = text.split("\n")
+        is_gone = [bool(x.encode().split()) and line_hash(x.encode()) in gone for x in lines]
+        lost = sum(len(x.encode().split()) for x, g in zip(lines, is_gone) if g)
+        if n - lost < n * least_kept:
+            return None
+        return "\n".join(x for x, g in zip(lines, is_gone) if not g) if lost else text
 
     def task(rows):
         for b in rows:
             columns = {n: b.column(i) for i, n in enumerate(names)}
-            old, drop = columns["text"].to_pylist(), b.column(len(names)).to_pylist()
-            new = [without_lines(t, d) if d else t for t, d in zip(old, drop)]
+            texts, hosts = columns["text"].to_pylist(), columns["source"].to_pylist()
+            data = [(t or "").encode() for t in texts]
+            new = []
+            for first, end in blocks(data):
+                hashes, at = word_hashes(data[first:end])
+                new += [judge(texts[i] or "", hashes[at[i - first]:at[i - first + 1]],
+                              sent.value.get(None if hosts[i] is None else str(hosts[i]), ())) for i in range(first, end)]
+            stay = pa.array([t is not None for t in new], pa.bool_())
             columns["text"] = pa.array(new, pa.string())
             if "n_chars" in columns:
-                n = [k if not d else len(t) for k, t, d in zip(columns["n_chars"].to_pylist(), new, drop)]
+                n = [k if t is None or t == old else len(t) for k, t, old in zip(columns["n_chars"].to_pylist(), new, texts)]
                 columns["n_chars"] = pa.array(n, columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
-
-    return map_rows(kept, [*names, "_removed"], T.StructType(fields(docs, *names)), task)
-
-
-def with_text_key(docs: DataFrame) -> DataFrame:
-    """The rows with ``_text_key``, the key that ``profiles`` gives a text."""
-    names = docs.columns
-
-    def task(rows):
-        for b in rows:
-            texts = b.column(names.index("text")).to_pylist()
-            keys = [None if t is None else xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], [*names, "_text_key"])
-
-    return map_rows(docs, names, T.StructType([*fields(docs, *names), *typed("_text_key bigint")]), task)
-
+            yield pa.RecordBatch.from_arrays([columns[n].filter(stay) for n in names], names)
 
-def without_lines(text: str, lines: list[int]) -> str:
-    gone = set(lines)
-    return "\n".join(x for x in text.split("\n") if not x.encode().split() or line_hash(x.encode()) not in gone)
+    return map_rows(docs, names, T.StructType(fields(docs, *names)), task)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
