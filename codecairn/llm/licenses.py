@@ -260,7 +260,10 @@ def _sql() -> str:
         words = rf"list_filter(string_split(regexp_replace({low}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]', ' ', 'g'), ' '), lambda w: w <> '')"
         return f"array_to_string(list_transform({words}, lambda w: coalesce({spellings}[w], w)), ' ')"
 
-    known = ", ".join(f"({quote(d)}, {quote(n)})" for n, d in sorted((n, digest(t)) for n, t in TEXTS.items()))
+    first: dict[str, str] = {}
+    for name, text in sorted(known_texts()):
+        first.setdefault(digest(text), name)
+    known = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in first.items())
     notices = ", ".join(f"({quote(canonical(k.encode()).decode())}, {quote(v)})" for k, v in NOTICES.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {form("coalesce(text, '')")} AS form FROM documents),
