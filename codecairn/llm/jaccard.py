@@ -227,16 +227,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def with_node(docs: DataFrame) -> DataFrame:
-    """The rows with ``_node``."""
-    names = docs.columns
+    """(row, node): every row as one struct, so that no column of the caller can clash, and the node of its text."""
+    schema = T.StructType([T.StructField("row", T.StructType(fields(docs, *docs.columns)), True), *typed("node bigint")])
 
     def task(rows):
         for b in rows:
-            sets = shingle_sets([(t or "").encode() for t in b.column(names.index("text")).to_pylist()])
-            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, nodes], [*names, "_node"])
+            sets = shingle_sets([(t or "").encode() for t in b.column(0).field("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], schema.names)
 
-    return map_rows(docs, names, T.StructType([*fields(docs, *names), *typed("_node bigint")]), task)
+    return map_rows(docs.select(F.struct(*docs.columns).alias("row")), ["row"], schema, task)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -245,17 +244,15 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     The text is shuffled once; rows that share doc_id and set lie together after the join already.
     """
-    names = docs.columns
-    key = F.xxhash64("doc_id").alias("_key")
     labelled = grouped(docs).filter("node is not null")
+    key = F.xxhash64("doc_id").alias("key")
     stay = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("m")).select(
-        F.col("m.doc_id").alias("doc_id"), F.col("m.node").alias("_node")).select(key, "_node", F.lit(True).alias("_stays"))
-    alone = F.when(F.col("_node").isNull(), F.monotonically_increasing_id())  # a row without a set is matched with nothing
-    keyed = with_node(docs).select("*", F.coalesce(alone, F.lit(-1)).alias("_alone"), key).withColumn(
-        "_node", F.coalesce("_node", "_alone"))
-    kept = keyed.join(stay, ["_key", "_node"], "left").filter("_stays or _alone >= 0")
-    one = kept.groupBy("_key", "_node", "_alone").agg(F.min_by(F.struct(*names), "text").alias("row"), F.first(F.struct(*names)).alias("any"))
-    return one.select(F.coalesce("row", "any").alias("row")).select("row.*")
+        F.col("m.doc_id").alias("doc_id"), F.col("m.node").alias("node")).select(key, "node", F.lit(True).alias("stays"))
+    alone = F.when(F.col("node").isNull(), F.monotonically_increasing_id())  # a row without a set is matched with nothing
+    keyed = with_node(docs).select("row", "node", F.coalesce(alone, F.lit(-1)).alias("alone"), F.xxhash64("row.doc_id").alias("key"))
+    kept = keyed.withColumn("node", F.coalesce("node", "alone")).join(stay, ["key", "node"], "left").filter("stays or alone >= 0")
+    one = kept.groupBy("key", "node", "alone").agg(F.min_by("row", "row.text").alias("least"), F.first("row").alias("any"))
+    return one.select(F.coalesce("least", "any").alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,6 +290,30 @@ def test_line_rules_clean(spark):
         assert set(r["text"].split("\n")) <= set(text_of[r["doc_id"]].split("\n")) or r["doc_id"] is None
 
 
+@pytest.mark.parametrize("sent", [200_000, 1])
+def test_line_rules_clean_by_row_and_host(spark, monkeypatch, sent):
+    """One doc_id and text in two hosts, in one of which a line is common; columns named like the inner ones."""
+    monkeypatch.setattr(line_rules, "SENT_LINES", sent)
+    r = random.Random(3)
+    page = prose(60, r) + "\nthe usual line"
+    rows = [(0, page, "a"), (0, page, "b"), (1, "own " * 3 + "\n" + "the usual line\n" * 30 + prose(50, r), None)]
+    rows += [(10 + i, prose(60, r) + "\nthe usual line", "a") for i in range(9)] + [(30 + i, prose(60, r) + "\nanother one", "c") for i in range(9)]
+    docs = table_of(spark, rows).withColumns({c: F.lit("clash") for c in ("_text_key", "_removed", "host", "line", "lines")}).repartition(4)
+    got = Counter((g["doc_id"], g["source"], g["text"]) for g in line_rules.clean(docs, line_docs=5, share=0.0).collect())
+    want = Counter((i, s, t.replace("\nthe usual line", "") if s == "a" else t.replace("\nanother one", "")) for i, t, s in rows if i != 1)
+    assert {k: v for k, v in got.items() if k[0] != 1} == want
+    assert line_rules.clean(docs.limit(0)).count() == 0
+
+
+def test_line_rules_default_limits_decide(spark):
+    """With the limits of the query a line of a host goes, and a document that has little else."""
+    r = random.Random(4)
+    common = "\n".join(" ".join(f"c{k}{j}" for j in range(12)) for k in range(6))
+    rows = [(i, prose(70, r) + "\n" + common, "h") for i in range(20)] + [(50, common + "\nand a few of its own", "h")]
+    got = {g["doc_id"]: (g["kept"], g["removed_words"], g["base_failed"]) for g in line_rules.judged(table_of(spark, rows)).collect()}
+    assert got[50] == (False, 72, False) and all(got[i] == (False, 72, False) for i in range(20))
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 def expected_targets(size_of):
@@ -367,6 +391,7 @@ def test_rollups_are_additive_and_idempotent(spark, tmp_path):
             assert now() == Counter(expected[i])
     rollups.commit(spark.createDataFrame(batches[1], schema), store, 1)
     assert now() == Counter(expected[3])
+    assert rollups.totals(spark, str(tmp_path / "nothing")).count() == 0
 
 
 def test_digest_columns(spark):
