@@ -52,11 +52,46 @@ def _matches(content: Column, rule: SecretRule) -> Column:
     return contains_any(F.lower(content) if rule.any_case else content, rule.hints) & content.rlike(rule.pattern)
 
 
+#: Separates the parts of a text around its secrets; a text's own such characters read as blanks meanwhile.
+_CUT = "\x02"
+_SPAN = "struct<start:int,end:int>"
+
+
+def _spans(content: Column, rule: SecretRule) -> Column:
+    """Where the secrets of one rule lie: the odd parts of the text cut before and after each of them."""
+    cut = F.regexp_replace(F.translate(content, _CUT, " "), rule.pattern, f"$1{_CUT}$2{_CUT}$3")
+    lengths = F.transform(F.split(cut, _CUT, -1), F.length)
+    none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("secret"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    found = F.aggregate(lengths, none, lambda acc, n: F.struct(
+        (acc.at + n).alias("at"), (~acc.secret).alias("secret"),
+        F.when(acc.secret, F.concat(acc.spans, F.array(F.struct(acc.at.alias("start"), (acc.at + n).alias("end"))))).otherwise(acc.spans).alias("spans")))
+    return F.when(_matches(content, rule), found.spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def secret_spans(content: Column, rules: list[SecretRule] = RULES) -> Column:
+    """The secrets of all rules as spans of the text (code points from 0, end exclusive), in order; overlapping ones are one.
+
+    Every rule is matched on the text as it is, so the order of rules does not matter, nor what another one has found.
+    """
+    ordered = F.sort_array(F.flatten(F.array(*[_spans(content, r) for r in rules])))
+
+    def merge(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last.start.alias("start"), F.greatest(last.end, s.end).alias("end"))
+        return F.when(F.size(acc) == 0, F.array(s)).when(s.start < last.end, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))) \
+            .otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(ordered, F.array().cast(f"array<{_SPAN}>"), merge)
+
+
 def mask_text(content: Column, rules: list[SecretRule] = RULES) -> Column:
-    """The text with the secret part of every match replaced."""
-    for r in rules:
-        content = F.regexp_replace(content, r.pattern, "$1" + MASK + "$3")
-    return content
+    """The text with every secret span replaced once."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    kept = F.aggregate(secret_spans(content, rules), start, lambda acc, s: F.struct(
+        s.end.alias("at"), F.concat(acc.parts, F.array(F.substring(content, acc.at + 1, s.start - acc.at))).alias("parts")))
+    whole = F.transform(F.array(kept), lambda k: F.concat(F.array_join(k.parts, MASK), F.when(F.size(k.parts) > 0, MASK).otherwise(""),
+                                                          F.substring(content, k.at + 1, F.length(content))))
+    return F.get(whole, F.lit(0))
 
 
 def scan_secrets(files: DataFrame, rules: list[SecretRule] = RULES) -> DataFrame:

@@ -114,10 +114,21 @@ def dep_facts(deps: str, src: int) -> str:
     return " UNION ALL ".join(out)
 
 
-def mask_sql(col: str) -> str:
-    for r in secrets.RULES:
-        col = f"regexp_replace({col}, {q(r.pattern)}, '\\1{secrets.MASK}\\3', 'g')"
-    return col
+def masked_sql(table: str, keys: str, col: str) -> str:
+    """(keys, masked): spans of all rules on the text, islands of overlapping ones, and what is between the islands."""
+    def spans(pattern: str) -> str:
+        cut = f"string_split(regexp_replace(replace({col}, chr(2), ' '), {q(pattern)}, '\\1' || chr(2) || '\\2' || chr(2) || '\\3', 'g'), chr(2))"
+        size = lambda i: f"coalesce(list_sum(list_transform(p[1:{i}], lambda x: length(x))), 0)"
+        return f"list_transform([{cut}], lambda p: list_transform(range(2, len(p) + 1, 2), lambda i: {{'a': {size('i - 1')}, 'b': {size('i')}}}))[1]"
+
+    return f"""SELECT {keys}, {col} AS whole, coalesce(o.t, {col}) AS masked FROM {table} LEFT JOIN (
+        SELECT {keys}, string_agg(substring({col}, CAST(before + 1 AS BIGINT), CAST(a - before AS BIGINT)) || '{secrets.MASK}', '' ORDER BY a) || substring(any_value({col}), CAST(max(b) + 1 AS BIGINT)) AS t FROM (
+          SELECT {keys}, {col}, min(a) AS a, max(b) AS b, coalesce(lag(max(b)) OVER (PARTITION BY {keys} ORDER BY min(a)), 0) AS before FROM (
+            SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY a, b) AS island FROM (
+              SELECT *, CASE WHEN a < max(b) OVER (PARTITION BY {keys} ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
+                SELECT DISTINCT {keys}, {col}, s.a AS a, s.b AS b FROM (SELECT {keys}, {col}, unnest({" || ".join(spans(r.pattern) for r in secrets.RULES)}) AS s FROM {table}))))
+          GROUP BY {keys}, {col}, island)
+        GROUP BY {keys}) o USING ({keys})"""
 
 
 TEXT_VOCAB = [(f, k, l, i) for f in ("backend_frameworks", "databases")
@@ -307,8 +318,8 @@ QUERIES: dict[str, str] = {
     "tech_summary": "SELECT repo_id, facet, labels FROM stack_long",
     # --- secrets
     "scan_secrets": "SELECT repo_id, file, array_to_string(types, '|') AS secret_types FROM findings",
-    "mask_secrets": f"SELECT f.repo_id, f.path, md5({mask_sql('f.content')}) AS masked_digest, coalesce(array_to_string(x.types, '|'), '') AS secret_types "
-                    f"FROM files f LEFT JOIN findings x ON f.repo_id = x.repo_id AND f.path = x.file",
+    "mask_secrets": f"SELECT f.repo_id, f.path, md5(f.masked) AS masked_digest, coalesce(array_to_string(x.types, '|'), '') AS secret_types "
+                    f"FROM ({masked_sql('files', 'repo_id, path', 'content')}) f LEFT JOIN findings x ON f.repo_id = x.repo_id AND f.path = x.file",
     "secrets_report": f"""SELECT r.repo_id, r.n AS total_files_scanned, coalesce(s.n, 0) AS files_with_secrets, coalesce(t.names, '') AS secret_types_found,
         coalesce(s.high, 0) AS high_risk_count, coalesce(x.first10, '') AS findings
         FROM (SELECT repo_id, count(*) AS n FROM files GROUP BY 1) r
@@ -472,7 +483,7 @@ CTES |= {
                  "AND NOT EXISTS (SELECT 1 FROM known k WHERE k.repo_id = l.repo_id AND (contains(k.c, lower(l.label)) OR contains(lower(l.label), k.c)))",
     "sec_types": "SELECT repo_id, run_id, section, list_filter([" + ", ".join(
         f"CASE WHEN regexp_matches(markdown, {q(r.pattern)}) THEN {q(r.name)} END" for r in secrets.RULES) + "], lambda x: x IS NOT NULL) AS types FROM sections",
-    "masked": f"SELECT repo_id, run_id, section, {mask_sql('markdown')} AS markdown FROM sections",
+    "masked": f"SELECT repo_id, run_id, section, masked AS markdown FROM ({masked_sql('sections', 'repo_id, run_id, section', 'markdown')})",
     "report": """SELECT r.repo_id, r.run_id, coalesce(p.t, '') AS unresolved_file_paths, coalesce(d.t, '') AS unresolved_diagram_components, coalesce(l.t, '') AS leaked_secrets_detected, coalesce(p.n, 0) AS n
         FROM (SELECT DISTINCT repo_id, run_id FROM sections) r
         LEFT JOIN (SELECT repo_id, run_id, count(*) AS n, string_agg(section || '.md:' || path, '|' ORDER BY section, path) AS t FROM bad_paths GROUP BY 1, 2) p USING (repo_id, run_id)

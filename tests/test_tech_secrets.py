@@ -114,3 +114,32 @@ def test_whole_private_key_is_masked(spark):
     assert got[1] == "-----BEGIN RSA PRIVATE KEY-----****-----END RSA PRIVATE KEY-----\nafter"
     assert got[2] == "-----BEGIN PGP PRIVATE KEY BLOCK-----****"
     assert got[3] == "A=1\nexport API_KEY=****\nSECRET=short"
+
+
+def test_spans_of_all_rules_are_masked_once(spark):
+    """Rules that overlap: the union of their spans on the text as it is, whatever the order of rules; masks stay as they are."""
+    import itertools
+    import random
+    r = random.Random(2)
+    pieces = ["password = 'postgres://u:secretpw@h/x'", "AKIA" + "ABCDEFGHIJKLMNOP", "token: \"" + "xo" + "xb-1234567890-abc\"", "MY_SECRET_KEY=abcdefgh1", " ", "\n", "é 日 ",
+              "-----BEGIN RSA PRIVATE KEY-----\nsecret='abcdefghij'\n-----END RSA PRIVATE KEY-----", "ftp://a:" + "AKIA" + "ABCDEFGHIJKLMNOP@host", "key='12345678", "'", "\x02", "plain"]
+    texts = ["", None, *("".join(r.choice(pieces) for _ in range(r.randrange(1, 9))) for _ in range(120))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x for x in df.select("i", "t", secrets.secret_spans(F.col("t")).alias("s"), secrets.mask_text(F.col("t")).alias("m"),
+                                     secrets.mask_text(F.col("t"), secrets.RULES[::-1]).alias("back")).collect()}
+    for i, t in enumerate(texts):
+        x = got[i]
+        if t is None:
+            assert x.m is None
+            continue
+        assert all(a.end <= b.start for a, b in itertools.pairwise(x.s)) and all(s.start < s.end <= len(t) for s in x.s)
+        out, at = "", 0
+        for s in x.s:
+            out, at = out + t[at:s.start] + "****", s.end
+        assert x.m == x.back == out + t[at:]
+    again = spark.createDataFrame([(i, x.m) for i, x in got.items()], "i int, t string").select("t", secrets.mask_text(F.col("t")).alias("m"))
+    assert all(a.t == a.m for a in again.collect())
+    hidden = ["secretpw", "ABCDEFGHIJKLMNOP", "1234567890-abc", "abcdefghij"]
+    whole = "\n".join(pieces[:4] + pieces[7:9])
+    masked = spark.createDataFrame([(whole,)], "t string").select(secrets.mask_text(F.col("t"))).first()[0]
+    assert not any(h in masked for h in hidden)
