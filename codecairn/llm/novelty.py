@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -90,19 +93,40 @@ def _identifiers() -> bytes:
     return " ".join(f(w) for f in (str.upper, str.capitalize, str.lower) for w in words).encode() + b" " + identifiers()
 
 
-def shared_runs(candidate: bytes, text: bytes) -> bytes:
-    """The longest runs of the candidate, from left to right, that the text has too."""
-    runs, at = [], 0
-    while at + SHARED <= len(candidate):
-        n = SHARED
-        if candidate[at:at + n] not in text:
-            at += 1
-            continue
-        while at + n < len(candidate) and candidate[at:at + n + 1] in text:
+class Runs:
+    """The runs of ``SHARED`` bytes of a text with their places, sorted once; candidates are looked up in it."""
+
+    def __init__(self, text: bytes):
+        self.text = np.frombuffer(text, np.uint8)
+        n = max(0, len(text) - SHARED + 1)
+        padded = np.frombuffer(text + bytes(8), np.uint8)
+        grams = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (n,), (1,)) & np.uint64((1 << 8 * SHARED) - 1) if n else np.empty(0, np.uint64)
+        self.at = np.argsort(grams, kind="stable")
+        self.grams = grams[self.at]
+
+    def longest(self, candidate: bytes, at: int) -> int:
+        """The most bytes from ``at`` on that stand somewhere in the text; 0 if fewer than ``SHARED`` do."""
+        gram = np.uint64(int.from_bytes(candidate[at:at + SHARED], "little"))
+        first, end = np.searchsorted(self.grams, gram), np.searchsorted(self.grams, gram, side="right")
+        if first == end:
+            return 0
+        places, n = self.at[first:end] + SHARED, SHARED
+        while at + n < len(candidate):
+            places = places[places < len(self.text)]
+            places = places[self.text[places] == candidate[at + n]] + 1
+            if not len(places):
+                break
             n += 1
-        runs.append(candidate[at:at + n])
-        at += n
-    return b" ".join(runs)
+        return n
+
+    def shared(self, candidate: bytes) -> bytes:
+        """The longest runs of the candidate, from left to right, that the text has too."""
+        runs, at = [], 0
+        while at + SHARED <= len(candidate):
+            if n := self.longest(candidate, at):
+                runs.append(candidate[at:at + n])
+            at += n or 1
+        return b" ".join(runs)
 
 
 def novelty(candidate: bytes, before: bytes, after: bytes) -> float:
@@ -147,13 +171,16 @@ def novel_spans(data: bytes, known: list[tuple[int, int, int]], least: float = N
         others[s:e] = b" " * (e - s)
     text = bytes(others)
     known_at = sorted(known)
-    out = []
+    starts, ends = [a for a, _, _ in known_at], list(accumulate((z for _, z, _ in known_at), max))
+    out, runs = [], None
     for s, e in sorted(spans):
-        if any(a < e and s < z for a, z, _ in known_at):
+        before_end = bisect_left(starts, e)
+        if before_end and ends[before_end - 1] > s:  # some known span begins before this one's end and ends after its start
             continue
+        runs = runs or Runs(text)
         candidate = data[s:e]
         before, after = text[max(0, s - AROUND):s], text[e:e + AROUND]
-        if novelty(candidate, shared_runs(candidate, text) + b" " + before, after) >= least:
+        if novelty(candidate, runs.shared(candidate) + b" " + before, after) >= least:
             out.append((s, e, 3))
     return out
 

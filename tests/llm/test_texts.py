@@ -230,3 +230,43 @@ def test_natural_words_are_not_novel(text):
 
 def test_names_used_far_away_are_not_novel():
     assert novelty.secret_spans("Zk9mQuX2vBnLpR_handler()\n" + "some filler words\n" * 500 + "token Zk9mQuX2vBnLpR_handler") == []
+
+
+def test_shared_runs_equal_a_direct_search():
+    r = random.Random(3)
+    for _ in range(60):
+        text = "".join(r.choice("abc ") for _ in range(r.randrange(0, 400))).encode()
+        runs = novelty.Runs(text)
+        for _ in range(10):
+            candidate = "".join(r.choice("abc") for _ in range(r.randrange(0, 40))).encode()
+            want, at = [], 0
+            while at + novelty.SHARED <= len(candidate):
+                n = next((n for n in range(len(candidate) - at, novelty.SHARED - 1, -1) if candidate[at:at + n] in text), 0)
+                want += [candidate[at:at + n]] if n else []
+                at += n or 1
+            assert runs.shared(candidate) == b" ".join(want)
+
+
+def test_many_candidates_in_a_long_text():
+    """One candidate a line: the search is indexed, so this takes seconds and not hours."""
+    r = random.Random(4)
+    lines = [f"access key {''.join(r.choice('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789') for _ in range(24))} of host {i}" for i in range(12_000)]
+    spans = novelty.secret_spans("\n".join(lines))
+    assert len(spans) > 11_000 and {k for k, _, _ in spans} <= {"novel", "hex"}
+
+
+PATTERNS = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"(AKIA[A-Z0-9]+)", "hex": r"([0-9a-f]+)"}
+
+
+def test_base_spans_equal_a_scan_by_hand():
+    """Leftmost non-overlapping matches of each kind, failing ones dropped, from another engine and on code points."""
+    import regex
+    r = random.Random(9)
+    pieces = ["password", "Secret", "api_key", "apikey", "TOKEN", "=", " : ", "'", '"', "abcdefghijkl", "0123456789abcdef", "AKIA", "ABCDEFGHIJKLMN", " ", "\n", "é", "日", "x.y=z-", "DEADBEEF"]
+    least = {"assign": 12, "access": 18, "hex": 16}
+    for _ in range(300):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(0, 60)))
+        want = sorted(((m.start(), list(PATTERNS).index(kind), kind, m.end()) for kind, p in PATTERNS.items()
+                       for m in regex.finditer(p, text) if len(m.group(1)) >= least[kind]))
+        got = [s for s in novelty.secret_spans(text) if s[0] != "novel"]
+        assert got == [(kind, s, e) for s, _, kind, e in want]
