@@ -1,17 +1,19 @@
 """Jaccard near-duplicates of documents by shingles: an exact metric-space join over pivots.
 
 Distance is 1 - |x & y| / |x | y| over sets of 5-word shingles; documents link at a distance of at most 1/4.
-Unrelated documents are all at distance 1, so Voronoi cells around documents alone would put everything in
-everyone's window. The first pivots are therefore single shingles, in a fixed order: a document lies in the cell of its first
-shingle, and its window reaches over the first |x| - ceil(3/4 |x|) + 1 of them. A document within 1/4 lacks too few shingles to avoid all
-of these cells, so two linked documents meet in at least one. Shingles that very many documents have come last in that order.
-
-Inside a cell documents are the pivots. Every document is compared with its cell's pivot; those linked with it are in its
-region, and connected, so that pairs within a region need no comparison. Between regions, the triangle inequality in a
-space that is cheaper than the documents decides what can be near at all: shingles fall into hash classes, and the counts
-of two documents by class differ by at most the symmetric difference of the sets. What passes is compared on the
-whole texts. Cells with many regions left are cut again around further pivots as long as that links any of them; at last
-the documents outside the largest region of a cell are compared with those of the other regions.
+Unrelated documents are all at distance 1, so distances alone would put everything into every window. Regions therefore come
+from shingles: taken in a fixed order, two linked documents share one of their first |x| - ceil(3/4 |x|) + 1. The pivot of a shingle is the
+document of least hash among those that have it there; a document is in the regions of the pivots of all these shingles, and at home in
+that of the pivot it shares most of them with. Two linked documents share a shingle and with it a region, so regions are joined one by one.
+Shingles that very many documents have come last in the order.
+
+A document's distance to its home pivot is measured first, then those to its other pivots as far as they are not connected yet.
+What is linked with its pivot is connected, so pairs of a region matter only where a document is left outside of its largest component: by
+the triangle inequality it can only be near those whose distance to the pivot differs by at most 1/4 from its own. A region is joined in
+one task, a larger one by pairs of blocks; a member travels once for each block of its region.
+
+Distances are bounded before they are measured: shingles fall into hash classes, and the counts of two documents by class differ
+by at most the symmetric difference of the sets. Only pairs that these bounds leave open are compared on their whole texts.
 
 Rows: one per input row. A null text or one without words has an empty set: n_shingles 0, a component of its own. With fewer
 than five words the sequence is one shingle. Texts with equal sets are one node, whatever their doc_id. A component's id is
@@ -31,11 +33,13 @@ from codecairn.llm.components import components
 from codecairn.llm.shared_keys import shared_keys, signed
 from codecairn.llm.tables import fields, map_rows, table, typed
 from codecairn.llm.words import blocks, distinct, windows, word_hashes
-from codecairn.sources.scratch import saved
+from codecairn.sources.scratch import discard, saved
 
 SHINGLE = 5
-#: A cell with more documents is hot; of such shingles, the most frequent (a bound for what is sent to tasks) come last in the order.
+#: A shingle of more documents is hot; of such ones, the most frequent (a bound for what is sent to tasks) come last in the order.
 CELL, LATE_KEYS = 64, 200_000
+#: Members of a region that meet in one task, about.
+BLOCK = 500
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -64,18 +68,36 @@ def prefix(shingles: np.ndarray, late: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Counts by hash class, one byte each (four where one is above 255), about 4 to 8 shingles a class."""
-    classes = 1 << max(4, int(len(shingles) // 8).bit_length())
-    counts = np.bincount((shingles & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
-    kind = np.uint8 if counts.max() < 256 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+    """Counts by hash class, about one shingle a class, two bits each: 3 stands for 3 or more."""
+    classes = 1 << min(16, max(4, int(len(shingles) - 1).bit_length()))
+    counts = np.minimum(np.bincount((shingles & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 3).astype(np.uint8)
+    return (counts[::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6).tobytes()
+
+
+def counts_of(sketches: list[bytes]) -> np.ndarray:
+    """The counts of sketches of one length, a row each."""
+    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return np.stack([packed & 3, packed >> 2 & 3, packed >> 4 & 3, packed >> 6], axis=2).reshape(len(sketches), -1)
+
+
+def folded(counts: np.ndarray, classes: int) -> np.ndarray:
+    """Rows of counts in fewer classes; a sum of cut counts is cut again, which a cut sum of whole ones would be too."""
+    return counts if counts.shape[1] == classes else np.minimum(counts.reshape(len(counts), -1, classes).sum(axis=1), 3).astype(np.uint8)
 
 
 def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference: the classes of the finer sketch are added up to those of the coarser."""
-    x, y = (np.frombuffer(s, np.uint8 if s[0] == 1 else np.uint32, offset=1).astype(np.int64) for s in (a, b))
-    n = min(len(x), len(y))
-    return int(np.abs(x.reshape(-1, n).sum(axis=0) - y.reshape(-1, n).sum(axis=0)).sum())
+    """A lower bound of the symmetric difference: the classes of the finer sketch are added up to those of the coarser.
+
+    A count cut at 3 differs from another one by no more than the whole counts do.
+    """
+    return int(least_differences(counts_of([a]), counts_of([b]))[0])
+
+
+def least_differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same for rows of counts, or one row against many."""
+    n = min(x.shape[1], y.shape[1])
+    x, y = folded(x, n), folded(y, n)
+    return np.where(x > y, x - y, y - x).sum(axis=1, dtype=np.int64)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -114,21 +136,34 @@ def cells(docs: DataFrame, late: np.ndarray, parts: int) -> DataFrame:
     return shared_keys(docs, ["text"], make, parts, CELL)
 
 
-def near_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) of nodes, those that link: by sizes, by sketches, then by the whole texts."""
+_PAIR = "a bigint, b bigint, low double, high double, linked boolean"
+
+
+def measured(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes with bounds ``low`` and ``high`` of their distance and whether they are ``linked``.
+
+    The bounds are one where the whole texts were compared: that is where sizes and sketches leave a link possible.
+    """
     a, b = (nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-    sized = pairs.join(a, "a").join(b, "b").filter((F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3))
-    pair = T.StructType(typed("a bigint, b bigint"))
+    result = T.StructType(typed(_PAIR + ", open boolean"))
 
     def by_sketch(rows):
         for r in rows:
-            n_a, n_b, s_a, s_b = (r.column(i).to_pylist() for i in range(2, 6))
-            near = pa.array([7 * least_difference(x, y) <= m + n for m, n, x, y in zip(n_a, n_b, s_a, s_b)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([r.column(0).filter(near), r.column(1).filter(near)], pair.names)
+            m, n = (r.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            differ = np.maximum(np.array([least_difference(x, y) for x, y in zip(r.column(4).to_pylist(), r.column(5).to_pylist())], np.int64), np.abs(m - n))
+            low, count = 2 * differ / np.maximum(m + n + differ, 1), r.num_rows
+            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(low), pa.array(np.ones(count)), pa.array(np.zeros(count, bool)),
+                                              pa.array(7 * differ <= m + n)], result.names)
+
+    bounds = saved(map_rows(pairs.join(a, "a").join(b, "b"), ["a", "b", "n_a", "n_b", "s_a", "s_b"], result, by_sketch), "bounds")
+    return bounds.filter("not open").drop("open").unionAll(compared(bounds.filter("open").select("a", "b"), docs))
+
 
-    hopeful = saved(map_rows(sized, ["a", "b", "n_a", "n_b", "s_a", "s_b"], pair, by_sketch), "hopeful")
-    texts = texts_of(docs, hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    both = hopeful.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("t_a")), "a").join(
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs with their distances from the whole texts."""
+    result = T.StructType(typed(_PAIR))
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("t_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("packed").alias("t_b")), "b")
 
     def by_text(rows):
@@ -139,15 +174,17 @@ def near_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
             return shingle_sets([z.decompress(packed)])[0]
 
         for r in rows:
-            near = []
+            away, linked = [], []
             for x, y in zip(r.column(2).to_pylist(), r.column(3).to_pylist()):
                 x, y = of(x), of(y)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(100 * common >= 75 * (len(x) + len(y) - common))
-            near = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([r.column(0).filter(near), r.column(1).filter(near)], pair.names)
+                union = len(x) + len(y) - common
+                away.append(1 - common / union)
+                linked.append(100 * common >= 75 * union)
+            away = pa.array(away, pa.float64())
+            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), away, away, pa.array(linked, pa.bool_())], result.names)
 
-    return saved(map_rows(both, ["a", "b", "t_a", "t_b"], pair, by_text), "links")
+    return saved(map_rows(both, ["a", "b", "t_a", "t_b"], result, by_text), "distances")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -166,47 +203,118 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return packed.groupBy("node").agg(F.first("packed").alias("packed"))
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links (a, b); only roots that these connect are looked at."""
+    def root_of(c: str) -> DataFrame:
+        return roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
 
+    edges = found.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b"))
+    new = components(edges).withColumnRenamed("root", "to")
+    known = roots.join(new.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    others = new.join(roots.select("node"), "node", "left_anti").select("node", F.col("to").alias("root"))
+    return saved(known.unionAll(others), "roots")
 
-def regions(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root) of the cells that still have two regions or more."""
-    labelled = rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_cells = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    return labelled.join(open_cells, "key", "left_semi")
+
+def in_open_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(pivot, node, low, high, root): the members of the regions that hold two components or more."""
+    labelled = members.join(roots, "node", "left").select("pivot", "node", "low", "high", F.coalesce("root", "node").alias("root"))
+    several = labelled.groupBy("pivot").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("pivot")
+    return saved(labelled.join(several, "pivot", "left_semi"), "open-regions")
+
+
+def joined(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of open regions (pivot, node, low, high, root) that may be linked though their roots differ.
+
+    One of the two is outside the largest component of the region. Sizes, windows and sketches are tested where a block of a region meets another.
+    """
+    sizes = left.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("n"))
+    regions = sizes.groupBy("pivot").agg(F.max(F.struct("n", "root")).alias("m"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    placed = left.join(regions.select("pivot", F.col("m.root").alias("largest"), "blocks"), "pivot").join(
+        nodes.select("node", "n_shingles", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "low", "high", "root",
+        (F.col("root") != F.col("largest")).alias("outside"), "n_shingles", "sketch")
+    result = T.StructType(typed("a bigint, b bigint"))
+
+    def meet(rows: list[dict]) -> tuple[list[int], list[int]]:
+        names = ("node", "root", "own", "n_shingles", "low", "high", "outside")
+        node, root, own, n, low, high, outside = (np.array([r[c] for r in rows]) for c in names)
+        across = rows[0]["i"] != rows[0]["j"]
+        by_length: dict[int, list[int]] = {}
+        for k, r in enumerate(rows):
+            by_length.setdefault(len(r["sketch"]), []).append(k)
+        groups = {size: (np.array(at), counts_of([rows[k]["sketch"] for k in at])) for size, at in by_length.items()}
+        a, b = [], []
+        for size, (at, counts) in groups.items():
+            for row, x in enumerate(at):
+                if not outside[x]:
+                    continue
+                may = (root != root[x]) & (4 * np.minimum(n, n[x]) >= 3 * np.maximum(n, n[x])) & (low <= high[x] + 0.25 + 1e-9) & (low[x] <= high + 0.25 + 1e-9)
+                if across:
+                    may &= own != own[x]
+                if not may.any():
+                    continue
+                for others, theirs in groups.values():
+                    here = np.flatnonzero(may[others])
+                    if len(here):
+                        near = others[here[7 * least_differences(counts[row:row + 1], theirs[here]) <= n[x] + n[others[here]]]]
+                        a += [int(node[x])] * len(near)
+                        b += node[near].tolist()
+        return a, b
+
+    def task(batches):
+        key, held = None, []
+        for batch in batches:
+            a, b = [], []
+            for r in batch.to_pylist():
+                if (r["pivot"], r["i"], r["j"]) != key:
+                    if held:
+                        found = meet(held)
+                        a, b = a + found[0], b + found[1]
+                    key, held = (r["pivot"], r["i"], r["j"]), []
+                held.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], result.names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in meet(held)], result.names)
+
+    ordered = dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    return map_rows(ordered, ordered.columns, result, task)
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes at a distance of at most 1/4 that connect all that such pairs connect."""
+    """(node, root): equal roots for the nodes that links connect; nodes without a link may be missing."""
     spark = docs.sparkSession
     parts = max(8, docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = cells(docs, np.empty(0, np.uint64), parts).filter("node is null").orderBy(F.desc("n"), "key").limit(LATE_KEYS)
     late = np.sort(np.array([r["key"] for r in hot.select("key").toLocalIterator()], np.int64).view(np.uint64))
     rows = saved(cells(docs, late, parts).filter("node is not null").select("node", "key"), "cells")
-    found = seen = rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    left, turn = rows.withColumn("root", F.col("node")), 0
-    crowded = left
-    while True:
-        pivots = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"),
-                                                           F.col("root").alias("pivot_root"))).alias("p")).select("key", "p.pivot", "p.pivot_root")
-        star = crowded.join(pivots, "key").filter("root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        star = saved(ordered(star).join(seen, ["a", "b"], "left_anti"), "star")
-        near = near_pairs(star, docs, nodes)
-        seen, found, turn = seen.unionAll(star), found.unionAll(near), turn + 1
-        linked = near.limit(1).count()
-        if linked:
-            left = saved(regions(rows, components(found)), "regions")
-        crowd = left.groupBy("key").agg(F.count_distinct("root").alias("regions")).filter(F.col("regions") > CELL).select("key")
-        crowded = saved(left.join(crowd, "key", "left_semi"), "crowded")
-        if not linked or not crowded.limit(1).count():
-            break
-    sizes = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("largest"))
-    outside = left.join(largest, "key").filter("root <> largest").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    facing = outside.join(left, "key").filter("root <> root_a").select("a", F.col("node").alias("b"))
-    rest = saved(ordered(facing).join(seen, ["a", "b"], "left_anti"), "facing")
-    return found.unionAll(near_pairs(rest, docs, nodes))
+    pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    regions = saved(rows.join(pivots, "key").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n")), "regions")
+    discard(rows)
+
+    def new(pairs: DataFrame, seen: DataFrame | None) -> DataFrame:
+        """Distinct pairs (a, b), a < b, that were not measured before."""
+        ordered = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return ordered if seen is None else ordered.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+
+    home = regions.filter("pivot <> node").groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("m")).select(
+        F.col("node").alias("a"), F.col("m.pivot").alias("b"))
+    seen = measured(new(home, None), docs, nodes)
+    roots = saved(components(seen.filter("linked").select("a", "b")), "roots")
+    unknown = regions.select("pivot", "node", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    apart = in_open_regions(unknown, roots)
+    of_pivot = apart.filter("pivot = node").select("pivot", F.col("root").alias("pivot_root"))
+    others = apart.join(of_pivot, "pivot").filter("root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    more = measured(new(others, seen), docs, nodes)
+    seen, roots = seen.unionAll(more), merged(roots, more.filter("linked").select("a", "b"))
+    away = seen.select("a", "b", "low", "high").unionAll(seen.select(F.col("b").alias("a"), F.col("a").alias("b"), "low", "high"))
+    known = regions.select("pivot", "node").join(away.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "low", "high"), ["pivot", "node"], "left")
+    at_home = F.col("pivot") == F.col("node")
+    members = saved(known.select("pivot", "node", F.when(at_home, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"),
+                                 F.when(at_home, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high")), "members")
+    found = compared(saved(new(joined(in_open_regions(members, roots), nodes), seen), "hopeful"), docs)
+    return merged(roots, found.filter("linked").select("a", "b"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -214,7 +322,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     profile = saved(profiles(docs), "profiles")
     nodes = saved(profile.filter("node is not null").groupBy("node").agg(
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
-    roots = components(links(docs, nodes))
+    roots = links(docs, nodes)
     return profile.select("doc_id", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

@@ -132,10 +132,11 @@ def expected_components(rows):
     return [(i, len(s), min((x for x in ids[t] if x is not None), default=None)) for (i, _), s, t in zip(rows, sets, top)], top
 
 
-@pytest.mark.parametrize("cell, late", [(64, 200_000), (2, 0), (2, 50)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, cell, late):
+@pytest.mark.parametrize("cell, late, block", [(64, 200_000, 500), (2, 0, 3), (2, 50, 10)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, cell, late, block):
     monkeypatch.setattr(jaccard, "CELL", cell)
     monkeypatch.setattr(jaccard, "LATE_KEYS", late)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = corpus()
     got = jaccard.near_duplicates(table_of(spark, rows).withColumn("node", F.lit("clash")).repartition(5)).collect()
     assert Counter(map(tuple, got)) == Counter(expected_components(rows)[0])
