@@ -12,8 +12,8 @@ What is linked with its pivot is connected, so pairs of a region matter only whe
 the triangle inequality it can only be near those whose distance to the pivot differs by at most 1/4 from its own. A region is joined in
 one task, a larger one by pairs of blocks; a member travels once for each block of its region.
 
-Distances are bounded before they are measured: shingles fall into hash classes, and the counts of two documents by class differ
-by at most the symmetric difference of the sets. Only pairs that these bounds leave open are compared on their whole texts.
+Distances are bounded before they are measured: shingles fall into hash classes, and where a class has an odd number of shingles in one
+document and an even one in the other, their sets differ. Only pairs that these bounds leave open are compared on their whole texts.
 
 Rows: one per input row. A null text or one without words has an empty set: n_shingles 0, a component of its own. With fewer
 than five words the sequence is one shingle. Texts with equal sets are one node, whatever their doc_id. A component's id is
@@ -68,36 +68,31 @@ def prefix(shingles: np.ndarray, late: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Counts by hash class, about one shingle a class, two bits each: 3 stands for 3 or more."""
-    classes = 1 << min(16, max(4, int(len(shingles) - 1).bit_length()))
-    counts = np.minimum(np.bincount((shingles & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 3).astype(np.uint8)
-    return (counts[::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6).tobytes()
+    """A bit per hash class, about four classes a shingle: whether the class has an odd number of shingles."""
+    classes = 1 << min(19, max(6, int(len(shingles) - 1).bit_length() + 2))
+    counts = np.bincount((shingles & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
 
 
-def counts_of(sketches: list[bytes]) -> np.ndarray:
-    """The counts of sketches of one length, a row each."""
-    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    return np.stack([packed & 3, packed >> 2 & 3, packed >> 4 & 3, packed >> 6], axis=2).reshape(len(sketches), -1)
+def rows_of(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length as rows of bytes."""
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
 
 
-def folded(counts: np.ndarray, classes: int) -> np.ndarray:
-    """Rows of counts in fewer classes; a sum of cut counts is cut again, which a cut sum of whole ones would be too."""
-    return counts if counts.shape[1] == classes else np.minimum(counts.reshape(len(counts), -1, classes).sum(axis=1), 3).astype(np.uint8)
+def folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Rows of sketches in fewer classes: an odd number of odd ones is odd."""
+    return sketches if sketches.shape[1] == size else np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, size), axis=1)
 
 
 def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference: the classes of the finer sketch are added up to those of the coarser.
-
-    A count cut at 3 differs from another one by no more than the whole counts do.
-    """
-    return int(least_differences(counts_of([a]), counts_of([b]))[0])
+    """A lower bound of the symmetric difference: where a class is odd in one and even in the other, the sets differ there."""
+    return int(least_differences(rows_of([a]), rows_of([b]))[0])
 
 
 def least_differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The same for rows of counts, or one row against many."""
+    """The same for rows of sketches, or one row against many; the finer ones are folded."""
     n = min(x.shape[1], y.shape[1])
-    x, y = folded(x, n), folded(y, n)
-    return np.where(x > y, x - y, y - x).sum(axis=1, dtype=np.int64)
+    return np.bitwise_count(folded(x, n) ^ folded(y, n)).sum(axis=1, dtype=np.int64)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -223,10 +218,11 @@ def in_open_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
     return saved(labelled.join(several, "pivot", "left_semi"), "open-regions")
 
 
-def joined(left: DataFrame, nodes: DataFrame) -> DataFrame:
+def joined(left: DataFrame, nodes: DataFrame, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) of members of open regions (pivot, node, low, high, root) that may be linked though their roots differ.
 
     One of the two is outside the largest component of the region. Sizes, windows and sketches are tested where a block of a region meets another.
+    With ``nearest``, only the pair of least bound for each member outside and other component of a block.
     """
     sizes = left.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("n"))
     regions = sizes.groupBy("pivot").agg(F.max(F.struct("n", "root")).alias("m"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
@@ -244,7 +240,7 @@ def joined(left: DataFrame, nodes: DataFrame) -> DataFrame:
         by_length: dict[int, list[int]] = {}
         for k, r in enumerate(rows):
             by_length.setdefault(len(r["sketch"]), []).append(k)
-        groups = {size: (np.array(at), counts_of([rows[k]["sketch"] for k in at])) for size, at in by_length.items()}
+        groups = {size: (np.array(at), rows_of([rows[k]["sketch"] for k in at])) for size, at in by_length.items()}
         a, b = [], []
         for size, (at, counts) in groups.items():
             for row, x in enumerate(at):
@@ -255,12 +251,21 @@ def joined(left: DataFrame, nodes: DataFrame) -> DataFrame:
                     may &= own != own[x]
                 if not may.any():
                     continue
+                near, bound = [], []
                 for others, theirs in groups.values():
                     here = np.flatnonzero(may[others])
                     if len(here):
-                        near = others[here[7 * least_differences(counts[row:row + 1], theirs[here]) <= n[x] + n[others[here]]]]
-                        a += [int(node[x])] * len(near)
-                        b += node[near].tolist()
+                        differ = least_differences(counts[row:row + 1], theirs[here])
+                        possible = 7 * differ <= n[x] + n[others[here]]
+                        near.append(others[here[possible]])
+                        bound.append(differ[possible])
+                near, bound = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (near, bound))
+                if nearest and len(near):
+                    order = np.lexsort((node[near], bound, root[near]))
+                    near = near[order]
+                    near = near[np.concatenate([[True], root[near][1:] != root[near][:-1]])]
+                a += [int(node[x])] * len(near)
+                b += node[near].tolist()
         return a, b
 
     def task(batches):
@@ -313,8 +318,11 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     at_home = F.col("pivot") == F.col("node")
     members = saved(known.select("pivot", "node", F.when(at_home, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"),
                                  F.when(at_home, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high")), "members")
-    found = compared(saved(new(joined(in_open_regions(members, roots), nodes), seen), "hopeful"), docs)
-    return merged(roots, found.filter("linked").select("a", "b"))
+    # First the nearest pair of a member and a component: most components that belong together are one then, and their other pairs need no look.
+    for nearest in (True, True, False):
+        found = compared(saved(new(joined(in_open_regions(members, roots), nodes, nearest), seen), "hopeful"), docs)
+        seen, roots = seen.unionAll(found), merged(roots, found.filter("linked").select("a", "b"))
+    return roots
 
 
 def grouped(docs: DataFrame) -> DataFrame:
