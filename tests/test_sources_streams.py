@@ -306,3 +306,33 @@ def test_edge_changes_over_batches(spark, files, tmp_path):
         seen.append(changes.count())
     assert seen == [3, 5, 5, 6]
     assert sorted((r.source, r.target) for r in streams.current_edges(changes).collect()) == [("a.py", "w"), ("a.py", "y")]
+
+
+def test_many_small_files_of_a_tree_are_few_tasks(spark, tmp_path):
+    root = tmp_path / "a b%20é"
+    for k in range(240):
+        f = root / f"r{k % 12}" / f"d{k % 5}" / f"f{k}.txt"
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x" * (k + 1))
+    for p, data in {"r1/a%2Fb c/é#?.py": "é", "r1/empty.py": "", "r1/.git/x.py": "x", "r1/.env": "x", "r1/_x/y.py": "x", "r1/_k=v/z.py": "z",
+                    "r1/p._COPYING_": "x", "_r=2/a.py": "2", ".r3/a.py": "x", "above.py": "x", "r1/deep/er/and/er/q.py": "q"}.items():
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(data)
+    (root / "no files").mkdir()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")  # two files to a task of the source, at 4 MB for opening each
+    try:
+        read = tree.read_tree(spark, str(root))
+        assert read.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        whole = spark._jvm.org.apache.hadoop.fs.Path(str(root)).toString()
+        source = tree._by_source(spark, str(root), f"file:{whole}/", 100)
+        tasks = tree._by_tasks(spark, spark._jvm.java.io.File(str(root)).toURI().toASCIIString().replace("file:/", "file:///", 1).rstrip("/"), 100)
+        rows = lambda df: sorted((r.inside, r.length, r.content and bytes(r.content)) for r in df.collect())
+        assert rows(tasks) == [r for r in rows(source) if "/" in r[0]] and len(rows(tasks)) == 244
+        assert sum(r[2] is None for r in rows(tasks)) == 140
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "read(" not in read.select("path")._jdf.queryExecution().optimizedPlan().toString()
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert tree.read_tree(spark, str(empty)).collect() == []
