@@ -2,6 +2,7 @@ import io
 import random
 import warnings
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -336,3 +337,38 @@ def test_many_small_files_of_a_tree_are_few_tasks(spark, tmp_path):
     empty = tmp_path / "empty"
     empty.mkdir()
     assert tree.read_tree(spark, str(empty)).collect() == []
+
+
+def test_small_archives_are_listed_by_few_tasks(spark, tmp_path):
+    folder = tmp_path / "zips"
+    folder.mkdir()
+    for k in range(120):
+        (folder / f"z{k:03}.zip").write_bytes(zipped({"a.py": f"import m{k}"}))
+    (folder / "bad.zip").write_bytes(b"no")
+    before, scratch = spark.conf.get("spark.sql.files.maxPartitionBytes"), Path(spark.conf.get("spark.checkpoint.dir"))
+    lists = set(scratch.glob("members-*"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # an archive to a task, at 4 MB for opening each
+    try:
+        members = archives.read_archives_by_range(spark, str(folder / "*.zip"))
+        assert sorted(r.content for r in archives.files_of(members).collect()) == sorted(f"import m{k}" for k in range(120))
+        assert [b.repo_id for b in archives.bad_archives(members).collect()] == ["bad"]
+        listing = [f for new in set(scratch.glob("members-*")) - lists for f in new.glob("part-*")]
+        assert 0 < len(listing) <= archives.LISTING_TASKS * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_archives_of_a_batch_are_taken_out_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+    data = random.Random(3).randbytes(500_000)
+    good = zipped({"a.bin": data, "node_modules/b.js": data})
+    rows = [*((f"z{k}", f"r{k}", good) for k in range(80)), ("cut", "cut", good[:99]), ("none", "none", None), (None, None, good)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], ["archive", "repo_id", "content"])
+    tracemalloc.start()
+    sizes = [(b.num_rows, b.column("error").null_count) for b in archives._unpack(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in sizes) == 83 and sum(n - good for n, good in sizes) == 2
+    assert peak < 40 << 20 < batch.nbytes  # what is handed over at a time, not the batch once more
