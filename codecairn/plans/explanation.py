@@ -42,13 +42,18 @@ def repository_diagrams(a: Analysis) -> DataFrame:
 def drawn(a: Analysis, runs: DataFrame, flows: DataFrame) -> DataFrame:
     """(repo_id, run_id, diagram, text): the three diagrams of the repository in each of its runs, and the flow of the run."""
     columns = ["repo_id", "run_id", "diagram", "text"]
+    repositories = runs.select("repo_id").distinct()
+    a = a._replace(**{t: getattr(a, t).join(repositories, "repo_id", "left_semi") for t in ("tech", "inventory", "important")})
     return repository_diagrams(a).join(runs, "repo_id").select(columns).unionByName(flows.select(columns))
 
 
-def checked(a: Analysis, sections: DataFrame, diagrams: DataFrame) -> DataFrame:
-    """The validation report of every run, over all of its diagrams (repo_id, run_id, diagram, text)."""
+def checked(a: Analysis, sections: DataFrame, diagrams: DataFrame, masked: DataFrame | None = None) -> DataFrame:
+    """The validation report of every run, over all of its diagrams (repo_id, run_id, diagram, text).
+
+    ``masked``: the masked sections, if the caller has them written.
+    """
     known = validate.known_components(a.important, a.relationships)
-    return validate.validation_report(sections, a.inventory, validate.unresolved_components(validate.diagram_labels(diagrams), known))
+    return validate.validation_report(sections, a.inventory, validate.unresolved_in_diagrams(diagrams, known), masked)
 
 
 def explain(spark: SparkSession, a: Analysis, projects: DataFrame, model: Model, partitions: int | None = None,
@@ -67,8 +72,9 @@ def explain(spark: SparkSession, a: Analysis, projects: DataFrame, model: Model,
         .withColumn("run_id", F.col("repo_id"))
     flows = graphs.diagram_text(*graphs.user_flow(sections.filter(F.col("section") == "06_main_user_flow")), keys=["repo_id", "run_id"])
     diagrams = saved(drawn(a, sections.select("repo_id", "run_id").distinct(), flows), "diagrams")
-    report = saved(checked(a, sections, diagrams), "reports")
+    masked = saved(validate.masked_sections(sections), "masked-sections")
+    report = saved(checked(a, sections, diagrams, masked), "reports")
     if directory:
         write_artifacts({"plan": plans.select("repo_id", *prompts.PLAN_FIELDS), "validation_report": report}, directory,
                         repositories=projects.select("repo_id"))
-    return results.results_payload(validate.masked_sections(sections), diagrams, tech.tech_summary(a.tech), report)
+    return results.results_payload(masked, diagrams, tech.tech_summary(a.tech), report)

@@ -100,3 +100,18 @@ def test_failed_model_call_is_a_row(spark):
     rows = spark.createDataFrame([("r", "01_start_here", "s", "p")], "repo_id string, section string, system_prompt string, prompt string")
     r = prompts.sections_from_answers(prompts.apply_text_model(rows, model)).first()
     assert r.markdown.startswith("# 01 Start Here\n\n> ⚠️") and "down" in r.markdown
+
+
+def test_a_diagram_of_all_runs_is_read_once(spark, monkeypatch):
+    texts = {"architecture": "A[Ghost box] --> B[main.py]", "entity": "X[\"db\"] --> Y(Other)"}
+    rows = [(repo, f"run-{k}", d, t) for repo in ("r", "s") for k in range(30) for d, t in texts.items()]
+    rows += [("r", f"run-{k}", "main_user_flow", f"participant p{k % 3}") for k in range(30)]
+    rows += [("r", "run-0", "architecture", "Z[Second text]"), ("r", "run-1", "none", None), ("r", None, "entity", texts["entity"]), (None, "run-1", "entity", texts["entity"])]
+    diagrams = spark.createDataFrame(rows, "repo_id string, run_id string, diagram string, text string")
+    known = spark.createDataFrame([("r", "src/main.py"), ("r", "p1"), ("s", "y(other"), ("t", "ghost box")], "repo_id string, component string")
+    want = validate.unresolved_components(validate.diagram_labels(diagrams), known).collect()
+    seen, labels = [], validate.diagram_labels
+    monkeypatch.setattr(validate, "diagram_labels", lambda df: (seen.append(df.count()), labels(df))[1])
+    got = validate.unresolved_in_diagrams(diagrams, known).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 150
+    assert len(seen) == 1 and seen[0] < 12  # distinct texts of a repository, not runs
