@@ -2,7 +2,8 @@
 
 Distance is 1 - |x & y| / |x | y| over sets of 5-word shingles; documents link at a distance of at most 1/4.
 Unrelated documents are all at distance 1, so distances alone would put everything into every window. Regions therefore come
-from shingles: taken in a fixed order, two linked documents share one of their first |x| - ceil(3/4 |x|) + 1. The pivot of a shingle is the
+from shingles: taken in a fixed order, two linked documents share k of their first |x| - ceil(3/4 |x|) + k. Prefixes are longer by an eighth of
+the size than they must be for k = 1, and a document that shares fewer with all others together than it would with one is left out. The pivot of a shingle is the
 document of least hash among those that have it there; a document is in the regions of the pivots of all these shingles, and at home in
 that of the pivot it shares most of them with. Two linked documents share a shingle and with it a region, so regions are joined one by one.
 Shingles that very many documents have come last in the order.
@@ -10,10 +11,12 @@ Shingles that very many documents have come last in the order.
 A document's distance to its home pivot is measured first, then those to its other pivots as far as they are not connected yet.
 What is linked with its pivot is connected, so pairs of a region matter only where a document is left outside of its largest component: by
 the triangle inequality it can only be near those whose distance to the pivot differs by at most 1/4 from its own. A region is joined in
-one task, a larger one by pairs of blocks; a member travels once for each block of its region.
+one task, a larger one by pairs of blocks; a member travels once for each block of its region. Where a block has more pairs left than members,
+those of the nearest members come first; only regions with such a block are joined again.
 
 Distances are bounded before they are measured: shingles fall into hash classes, and where a class has an odd number of shingles in one
-document and an even one in the other, their sets differ. Only pairs that these bounds leave open are compared on their whole texts.
+document and an even one in the other, their sets differ. Only pairs that these bounds leave open are compared on their whole texts; these
+are found by a hash of the text, so other texts are neither cut into shingles again nor shuffled.
 
 Rows: one per input row. A null text or one without words has an empty set: n_shingles 0, a component of its own. With fewer
 than five words the sequence is one shingle. Texts with equal sets are one node, whatever their doc_id. A component's id is
@@ -22,12 +25,13 @@ its smallest known doc_id (null if none is). Other columns are not read. Sets an
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codecairn.llm.components import components
 from codecairn.llm.shared_keys import shared_keys, signed
@@ -40,6 +44,10 @@ SHINGLE = 5
 CELL, LATE_KEYS = 64, 200_000
 #: Members of a region that meet in one task, about.
 BLOCK = 500
+#: Up to so many wanted texts, their hashes are sent to the tasks that read the documents; of more, the texts are packed and shuffled.
+SENT = 1_000_000
+#: Pairs, or bytes of sketches, that a task looks at in one step.
+STEP = 1 << 17
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -58,13 +66,23 @@ def node_of(shingles: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def spare(n: int) -> int:
+    """By how many shingles a prefix is longer than it has to be for one shared shingle; grows with the size."""
+    return n // 8
+
+
+def least_shared(n: Column) -> Column:
+    """So many shingles of its prefix a document of ``n`` shares with that of any that it is linked with, whose size is ceil(3/4 n) at least."""
+    return 1 + F.floor(F.ceil(n * 3 / 4) / 8)
+
+
 def prefix(shingles: np.ndarray, late: np.ndarray) -> np.ndarray:
     """The shingles whose cells the document is in: those outside ``late`` (sorted) first, then by hash."""
     n = len(shingles)
     if len(late):
         is_late = late[np.minimum(np.searchsorted(late, shingles), len(late) - 1)] == shingles
         shingles = np.concatenate([shingles[~is_late], shingles[is_late]])
-    return shingles[:n - (3 * n + 3) // 4 + 1]
+    return shingles[:n - (3 * n + 3) // 4 + 1 + spare(n)]
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -96,17 +114,17 @@ def least_differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, node (null for an empty set), n_shingles, sketch."""
-    schema = T.StructType([*fields(docs, "doc_id"), *typed("node bigint, n_shingles bigint, sketch binary")])
+    """doc_id, code (a hash of the text), node (null for an empty set), n_shingles, sketch."""
+    schema = T.StructType([*fields(docs, "doc_id"), *typed("code bigint, node bigint, n_shingles bigint, sketch binary")])
 
     def task(rows):
         for b in rows:
-            sets = shingle_sets([(t or "").encode() for t in b.column(1).to_pylist()])
+            sets = shingle_sets([(t or "").encode() for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], schema.names)
+                [b.column(0), b.column(1), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], schema.names)
 
-    return map_rows(docs, ["doc_id", "text"], schema, task)
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("code"), "text"), ["doc_id", "code", "text"], schema, task)
 
 
 def cells(docs: DataFrame, late: np.ndarray, parts: int) -> DataFrame:
@@ -151,13 +169,14 @@ def measured(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                                               pa.array(7 * differ <= m + n)], result.names)
 
     bounds = saved(map_rows(pairs.join(a, "a").join(b, "b"), ["a", "b", "n_a", "n_b", "s_a", "s_b"], result, by_sketch), "bounds")
-    return bounds.filter("not open").drop("open").unionAll(compared(bounds.filter("open").select("a", "b"), docs))
+    return bounds.filter("not open").drop("open").unionAll(compared(bounds.filter("open").select("a", "b"), docs, nodes))
 
 
-def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs with their distances from the whole texts."""
     result = T.StructType(typed(_PAIR))
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "code"), "node")
+    texts = texts_of(docs, saved(wanted, "wanted"))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("t_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("packed").alias("t_b")), "b")
 
@@ -179,23 +198,31 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             away = pa.array(away, pa.float64())
             yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), away, away, pa.array(linked, pa.bool_())], result.names)
 
-    return saved(map_rows(both, ["a", "b", "t_a", "t_b"], result, by_text), "distances")
+    distances = saved(map_rows(both, ["a", "b", "t_a", "t_b"], result, by_text), "distances")
+    discard(texts)
+    return distances
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, packed): one compressed text per wanted node."""
+    """(node, packed): one compressed text per wanted node (node, code)."""
     schema = T.StructType(typed("node bigint, packed binary"))
 
     def task(rows):
-        z = zstandard.ZstdCompressor(level=3)
+        z, seen = zstandard.ZstdCompressor(level=3), set()
         for b in rows:
-            texts = [t.encode() for t in b.column(0).to_pylist()]
-            nodes = [(node_of(s), z.compress(t)) for s, t in zip(shingle_sets(texts), texts) if len(s)]
+            texts, nodes = [t.encode() for t in b.column(0).to_pylist()], []
+            for s, t in zip(shingle_sets(texts), texts):
+                if len(s) and (node := node_of(s)) not in seen:
+                    seen.add(node)
+                    nodes.append((node, z.compress(t)))
             yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in nodes], pa.int64()), pa.array([n[1] for n in nodes], pa.binary())],
                                              schema.names)
 
-    packed = map_rows(docs.filter("text is not null"), ["text"], schema, task).join(wanted, "node", "left_semi")
-    return packed.groupBy("node").agg(F.first("packed").alias("packed"))
+    rows = docs.filter("text is not null").select("text")
+    if wanted.count() <= SENT:
+        rows = rows.withColumn("code", F.xxhash64("text")).join(F.broadcast(wanted.select("code").distinct()), "code", "left_semi")
+    packed = map_rows(rows, ["text"], schema, task).join(wanted.select("node"), "node", "left_semi")
+    return saved(packed.groupBy("node").agg(F.first("packed").alias("packed")), "texts")
 
 
 def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -218,11 +245,38 @@ def in_open_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
     return saved(labelled.join(several, "pivot", "left_semi"), "open-regions")
 
 
+def possible_pairs(n: np.ndarray, root: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, outside: np.ndarray,
+                   sketches: list[bytes], across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices (x, y) of members that may be linked, x outside the largest component, and the least differences of their sets."""
+    sizes = np.array([len(s) for s in sketches])
+    tables = {size: (np.cumsum(sizes == size) - 1, rows_of([s for s in sketches if len(s) == size]).view(np.uint64)) for size in set(sizes.tolist())}
+    at, out = np.flatnonzero(outside), []
+    step = max(1, STEP // len(n))
+    for start in range(0, len(at), step):
+        mine = at[start:start + step, None]
+        may = (root != root[mine]) & (4 * np.minimum(n, n[mine]) >= 3 * np.maximum(n, n[mine])) & (low <= high[mine] + 0.25 + 1e-9) & (low[mine] <= high + 0.25 + 1e-9)
+        if across:
+            may &= own != own[mine]
+        x, y = np.nonzero(may)
+        x = mine[x, 0]
+        differ = np.zeros(len(x), np.int64)
+        for (i, mine_of), (j, theirs_of) in ((a, b) for a in tables.items() for b in tables.items()):
+            here = np.flatnonzero((sizes[x] == i) & (sizes[y] == j))
+            few = max(1, STEP // max(i, j))
+            for k in range(0, len(here), few):
+                pairs = here[k:k + few]
+                differ[pairs] = least_differences(mine_of[1][mine_of[0][x[pairs]]], theirs_of[1][theirs_of[0][y[pairs]]])
+        possible = 7 * differ <= n[x] + n[y]
+        out.append((x[possible], y[possible], differ[possible]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+
+
 def joined(left: DataFrame, nodes: DataFrame, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) of members of open regions (pivot, node, low, high, root) that may be linked though their roots differ.
 
     One of the two is outside the largest component of the region. Sizes, windows and sketches are tested where a block of a region meets another.
-    With ``nearest``, only the pair of least bound for each member outside and other component of a block.
+    With ``nearest``, a block with more such pairs than members gives only the pair of least bound for each member outside and other component,
+    and (pivot, null) to say so.
     """
     sizes = left.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("n"))
     regions = sizes.groupBy("pivot").agg(F.max(F.struct("n", "root")).alias("m"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
@@ -232,56 +286,36 @@ def joined(left: DataFrame, nodes: DataFrame, nearest: bool = False) -> DataFram
         "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "low", "high", "root",
         (F.col("root") != F.col("largest")).alias("outside"), "n_shingles", "sketch")
     result = T.StructType(typed("a bigint, b bigint"))
-
-    def meet(rows: list[dict]) -> tuple[list[int], list[int]]:
-        names = ("node", "root", "own", "n_shingles", "low", "high", "outside")
-        node, root, own, n, low, high, outside = (np.array([r[c] for r in rows]) for c in names)
-        across = rows[0]["i"] != rows[0]["j"]
-        by_length: dict[int, list[int]] = {}
-        for k, r in enumerate(rows):
-            by_length.setdefault(len(r["sketch"]), []).append(k)
-        groups = {size: (np.array(at), rows_of([rows[k]["sketch"] for k in at])) for size, at in by_length.items()}
-        a, b = [], []
-        for size, (at, counts) in groups.items():
-            for row, x in enumerate(at):
-                if not outside[x]:
-                    continue
-                may = (root != root[x]) & (4 * np.minimum(n, n[x]) >= 3 * np.maximum(n, n[x])) & (low <= high[x] + 0.25 + 1e-9) & (low[x] <= high + 0.25 + 1e-9)
-                if across:
-                    may &= own != own[x]
-                if not may.any():
-                    continue
-                near, bound = [], []
-                for others, theirs in groups.values():
-                    here = np.flatnonzero(may[others])
-                    if len(here):
-                        differ = least_differences(counts[row:row + 1], theirs[here])
-                        possible = 7 * differ <= n[x] + n[others[here]]
-                        near.append(others[here[possible]])
-                        bound.append(differ[possible])
-                near, bound = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (near, bound))
-                if nearest and len(near):
-                    order = np.lexsort((node[near], bound, root[near]))
-                    near = near[order]
-                    near = near[np.concatenate([[True], root[near][1:] != root[near][:-1]])]
-                a += [int(node[x])] * len(near)
-                b += node[near].tolist()
-        return a, b
+    names = ("pivot", "i", "j", "node", "root", "own", "n_shingles", "low", "high", "outside")
+
+    def meet(pivot, i, j, node, root, own, n, low, high, outside, sketches):
+        x, y, differ = possible_pairs(n, root, own, low, high, outside, sketches, i[0] != j[0])
+        once = ~outside[y] | (x < y)
+        if not nearest or np.count_nonzero(once) <= len(node):
+            return node[x[once]], node[y[once]], []
+        order = np.lexsort((node[y], differ, root[y], x))
+        x, y = x[order], y[order]
+        first = np.concatenate([[True], (x[1:] != x[:-1]) | (root[y[1:]] != root[y[:-1]])])
+        return node[x[first]], node[y[first]], [int(pivot[0])]
 
     def task(batches):
-        key, held = None, []
-        for batch in batches:
-            a, b = [], []
-            for r in batch.to_pylist():
-                if (r["pivot"], r["i"], r["j"]) != key:
-                    if held:
-                        found = meet(held)
-                        a, b = a + found[0], b + found[1]
-                    key, held = (r["pivot"], r["i"], r["j"]), []
-                held.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], result.names)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in meet(held)], result.names)
+        held = None
+        for batch in chain(batches, [None]):
+            parts = [b for b in (held, batch) if b is not None and b.num_rows]
+            if not parts:
+                continue
+            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            columns = [rows.column(c).to_numpy(zero_copy_only=False) for c in names]
+            key = np.stack(columns[:3])
+            starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [rows.num_rows]])
+            last = len(starts) - 1 if batch is None else len(starts) - 2  # the last region may go on in the next batch
+            sketches = rows.column("sketch").slice(0, starts[last]).to_pylist()
+            found = [meet(*(c[s:e] for c in columns), sketches[s:e]) for s, e in zip(starts[:last], starts[1:last + 1])]
+            a = np.concatenate([np.empty(0, np.int64), *(f[0] for f in found)])
+            b = np.concatenate([np.empty(0, np.int64), *(f[1] for f in found)])
+            more = [p for f in found for p in f[2]]
+            yield pa.RecordBatch.from_arrays([pa.array(a.tolist() + more, pa.int64()), pa.array(b.tolist() + [None] * len(more), pa.int64())], result.names)
+            held = rows.slice(starts[last])
 
     ordered = dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
     return map_rows(ordered, ordered.columns, result, task)
@@ -293,7 +327,11 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     parts = max(8, docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = cells(docs, np.empty(0, np.uint64), parts).filter("node is null").orderBy(F.desc("n"), "key").limit(LATE_KEYS)
     late = np.sort(np.array([r["key"] for r in hot.select("key").toLocalIterator()], np.int64).view(np.uint64))
-    rows = saved(cells(docs, late, parts).filter("node is not null").select("node", "key"), "cells")
+    listed = saved(cells(docs, late, parts).filter("node is not null").select("node", "key"), "cells")
+    enough = listed.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(nodes.select("node", "n_shingles"), "node").filter(
+        F.col("shared") >= least_shared(F.col("n_shingles")))
+    rows = saved(listed.join(enough.select("node"), "node", "left_semi"), "cells")
+    discard(listed)
     pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
     regions = saved(rows.join(pivots, "key").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n")), "regions")
     discard(rows)
@@ -320,8 +358,13 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                                  F.when(at_home, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high")), "members")
     # First the nearest pair of a member and a component: most components that belong together are one then, and their other pairs need no look.
     for nearest in (True, True, False):
-        found = compared(saved(new(joined(in_open_regions(members, roots), nodes, nearest), seen), "hopeful"), docs)
+        met = saved(joined(in_open_regions(members, roots), nodes, nearest), "met")
+        found = compared(saved(new(met.filter("b is not null"), seen), "hopeful"), docs, nodes)
         seen, roots = seen.unionAll(found), merged(roots, found.filter("linked").select("a", "b"))
+        unfinished = met.filter("b is null").select(F.col("a").alias("pivot")).distinct()
+        if not unfinished.limit(1).count():
+            break
+        members = members.join(unfinished, "pivot", "left_semi")
     return roots
 
 
@@ -329,7 +372,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (equal for texts with equal sets), root (equal within a component); both null for empty sets."""
     profile = saved(profiles(docs), "profiles")
     nodes = saved(profile.filter("node is not null").groupBy("node").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
+        F.first("code").alias("code"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
     roots = links(docs, nodes)
     return profile.select("doc_id", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from codecairn.llm import components, jaccard, line_rules, mixing, neighbours, rollups, substrings
@@ -142,6 +143,64 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, cell, late, block):
     assert Counter(map(tuple, got)) == Counter(expected_components(rows)[0])
 
 
+def test_jaccard_joins_a_region_again_only_where_pairs_were_left(spark, monkeypatch):
+    r = random.Random(8)
+    passage = prose(40, r)
+    rows = [(i, passage + " " + prose(20, r)) for i in range(30)] + [(100 + i, prose(60, r)) for i in range(30)]
+    rows += [(200 + i, t + " more") for i, t in rows[40:50]]
+    seen, joined = [], jaccard.joined
+    monkeypatch.setattr(jaccard, "joined", lambda left, *a: seen.append(left.count()) or joined(left, *a))
+    got = jaccard.near_duplicates(table_of(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == Counter(expected_components(rows)[0])
+    assert seen[0] >= 30 and sum(seen[1:]) == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_jaccard_reads_the_wanted_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "SENT", sent)
+    rows = corpus()
+    docs = table_of(spark, rows)
+    profile = {p["node"]: (p["code"], p["n_shingles"]) for p in jaccard.profiles(docs).collect() if p["n_shingles"]}
+    some = sorted(profile)[::5]
+    wanted = spark.createDataFrame([(node, profile[node][0]) for node in some], "node bigint, code bigint")
+    texts = {t["node"]: zstandard.ZstdDecompressor().decompress(t["packed"]).decode() for t in jaccard.texts_of(docs, wanted).collect()}
+    assert sorted(texts) == some and all(len(shingles(t)) == profile[node][1] for node, t in texts.items())
+
+
+def test_jaccard_regions_of_many_batches(spark, monkeypatch):
+    r = random.Random(9)
+    base = [[r.randrange(1 << 64) for _ in range(r.choice((20, 30, 70)))] for _ in range(100)]
+    sets = [np.unique(np.array(r.choice(base) + [r.randrange(1 << 64) for _ in range(r.randrange(1, 9))], np.uint64)) for _ in range(1300)]
+    low = [r.choice((0.0, 0.2, 0.6)) for _ in sets]
+    high = [x if x else 1.0 for x in low]
+    root = [r.choice((k, 0)) for k in range(len(sets))]
+    members = [(p, k, low[k], high[k], root[k]) for p, ks in ((5, range(1200)), (6, range(1100, 1300)), (7, range(3))) for k in ks]
+    left = spark.createDataFrame(members, "pivot bigint, node bigint, low double, high double, root bigint")
+    nodes = spark.createDataFrame([(k, len(x), jaccard.sketch(x)) for k, x in enumerate(sets)], "node bigint, n_shingles bigint, sketch binary")
+    bits = [jaccard.sketch(x) for x in sets]
+    near = defaultdict(dict)  # region: pair -> least difference
+    for p in (5, 6, 7):
+        own = [m[1] for m in members if m[0] == p]
+        largest = max(Counter(root[k] for k in own).items(), key=lambda c: c[::-1])[0]
+        for x, y in ((x, y) for x in own for y in own if root[x] != root[y] and root[x] != largest):
+            m, n = len(sets[x]), len(sets[y])
+            if 4 * min(m, n) >= 3 * max(m, n) and low[x] <= high[y] + 0.25 and low[y] <= high[x] + 0.25:
+                if 7 * (differ := jaccard.least_difference(bits[x], bits[y])) <= m + n:
+                    near[p][x, y] = differ
+    assert len(near[5]) > 1200 and len(near[6]) < 200
+    for block in (5000, 400):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        every = {tuple(sorted(m)) for m in jaccard.joined(left, nodes).collect()}
+        assert every == {tuple(sorted(m)) for p in near for m in near[p]}
+    monkeypatch.setattr(jaccard, "BLOCK", 5000)
+    got = [tuple(m) for m in jaccard.joined(left, nodes, True).collect()]
+    first = {}
+    for (x, y), differ in near[5].items():
+        first[x, root[y]] = min(first.get((x, root[y]), (differ, y)), (differ, y))
+    assert [p for p, y in got if y is None] == [5]
+    assert {tuple(sorted(m)) for m in got if m[1] is not None} == {tuple(sorted(m)) for m in [*near[6], *near[7], *((x, y) for (x, _), (_, y) in first.items())]}
+
+
 def test_jaccard_empty_and_representatives(spark):
     rows = corpus()
     docs = table_of(spark, rows)
