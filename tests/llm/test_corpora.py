@@ -167,6 +167,23 @@ def test_jaccard_reads_the_wanted_texts(spark, monkeypatch, sent):
     assert sorted(texts) == some and all(len(shingles(t)) == profile[node][1] for node, t in texts.items())
 
 
+def test_jaccard_linked_documents_share_enough_of_their_prefixes(spark):
+    r = np.random.default_rng(10)
+    least = [1 + -(-3 * n // 4) // 8 for n in range(1, 400)]
+    sizes = spark.createDataFrame([(n,) for n in range(1, 400)], "n bigint")
+    assert [x[0] for x in sizes.orderBy("n").select(jaccard.least_shared(F.col("n"))).collect()] == least
+    for n in range(1, 400):
+        x = np.sort(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for extra in (0, n // 8, n // 3):
+            gone = min((n - 3 * (n + extra) // 4 - 1), n // 4)
+            for y in (np.concatenate([x, r.integers(0, 1 << 63, extra).astype(np.uint64)]), r.choice(x, n - max(0, gone), replace=False)):
+                y, late = np.sort(y), np.sort(r.choice(x, n // 3, replace=False))
+                common, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+                if 100 * common >= 75 * union:
+                    shared = len(np.intersect1d(jaccard.prefix(x, late), jaccard.prefix(y, late)))
+                    assert shared >= max(least[len(x) - 1], least[len(y) - 1] if len(y) < 400 else 0)
+
+
 def test_jaccard_regions_of_many_batches(spark, monkeypatch):
     r = random.Random(9)
     base = [[r.randrange(1 << 64) for _ in range(r.choice((20, 30, 70)))] for _ in range(100)]
