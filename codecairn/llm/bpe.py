@@ -19,8 +19,8 @@ from codecairn.llm.tables import fields, map_rows, table, typed
 
 #: Fixed value: how byte-level BPE splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers. The memory this takes is bounded; results do not depend on it.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers in each of two generations, about 26 MB in all, which it keeps for as long as it lives; results do not depend on it.
+REMEMBERED = 100_000
 
 
 def byte_letters() -> list[str]:

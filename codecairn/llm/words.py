@@ -26,7 +26,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def blocks(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about ``limit`` bytes; one longer text is a range of its own."""
     first, size = 0, 0
     for i, t in enumerate(texts):
